@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import json
 import tempfile
+from collections import namedtuple
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
-
-from matchloom.operators.scan import BLOCK
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -30,25 +30,46 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _runner(kernel, key: list[str], order: list[str], fields: list[str]):
-    def run(_, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        names = [*key, BLOCK, *fields, "_exit", "_used"]
-        if entry.empty or rows.empty:
-            return pd.DataFrame(columns=names)
-        head = entry.iloc[0]
-        used = head["_entry"]
-        used = None if pd.isna(used) else used
-        state = json.loads(used) if used else kernel.fresh()
-        out = []
-        for row in rows.sort_values(order, kind="stable").itertuples(index=False):
-            out.extend(kernel.step(state, row))
-        exit_state = json.dumps(state, sort_keys=True)
-        if head["_last"]:
-            out.extend(kernel.close(state))
-        prefix = [head[c] for c in [*key, BLOCK]]
-        body = [[*prefix, *r, None, None] for r in out]
-        body.append([*prefix, *([None] * len(fields)), exit_state, used or ""])
-        return pd.DataFrame(body, columns=names, dtype=object)
+def _walker(kernel, columns: list[str], key: list[str], fields: list[str], arrow: pa.Schema):
+    """Stream over sorted rows; each block is preceded by its header row.
+
+    Nothing but the kernel state and one output batch is held, so a block may be
+    larger than memory.
+    """
+    def run(batches):
+        Row = namedtuple("Row", columns)
+        state = close = used = None
+        prefix: list = []
+        out: list[tuple] = []
+
+        def finish():
+            if state is None:
+                return
+            exit_state = json.dumps(state, sort_keys=True)
+            if close:
+                out.extend((*prefix, *r, None, None) for r in kernel.close(state))
+            out.append((*prefix, *([None] * len(fields)), exit_state, used))
+
+        def flush():
+            cols = list(zip(*out)) if out else [[] for _ in arrow]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for values in zip(*[c.to_pylist() for c in batch.columns]):
+                row = Row(*values)
+                if row.blk_row == 0:
+                    finish()
+                    used, close = row.blk_entry or "", row.blk_last
+                    state = json.loads(used) if used else kernel.fresh()
+                    prefix = [getattr(row, c) for c in [*key, "blk_id"]]
+                else:
+                    out.extend((*prefix, *r, None, None) for r in kernel.step(state, row))
+            if len(out) > 20_000:
+                yield flush()
+        finish()
+        yield flush()
     return run
 
 
@@ -60,40 +81,42 @@ def run_blocks(
     kernel,
 ) -> DataFrame:
     """Run ``kernel`` over every key; returns ``key`` + ``kernel.schema`` columns."""
-    key, order = list(key), list(order)
-    rows = durable(df.withColumn(BLOCK, block))
-    out_type = T.StructType.fromDDL(kernel.schema) if isinstance(kernel.schema, str) else kernel.schema
+    key, order, spot = list(key), list(order), [*key, "blk_id"]
+    rows = durable(df.withColumn("blk_id", block))
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out_type = T.StructType.fromDDL(kernel.schema)
     fields = out_type.fieldNames()
     schema = T.StructType(
-        [rows.schema[c] for c in [*key, BLOCK]] + list(out_type)
-        + [T.StructField("_exit", T.StringType()), T.StructField("_used", T.StringType())])
-    ws = W.partitionBy(*key).orderBy(BLOCK)
-    entry = rows.select(*key, BLOCK).distinct().select(
-        *key, BLOCK, F.lit(None).cast("string").alias("_entry"),
-        F.lead(BLOCK).over(ws).isNull().alias("_last"))
+        [rows.schema[c] for c in spot] + list(out_type)
+        + [T.StructField("blk_exit", T.StringType()), T.StructField("blk_used", T.StringType())])
+    walk = _walker(kernel, [*rows.columns, "blk_row", "blk_entry", "blk_last"], key, fields, to_arrow_schema(schema))
+    ws = W.partitionBy(*key).orderBy("blk_id")
+    entry = rows.select(*spot).distinct().select(
+        *spot, F.lit("").alias("blk_entry"), F.lead("blk_id").over(ws).isNull().alias("blk_last"))
     passes: list[DataFrame] = []
     current: DataFrame | None = None
     while True:
-        todo = rows if not passes else rows.join(entry.select(*key, BLOCK), [*key, BLOCK], "left_semi")
-        done = todo.groupBy(*key, BLOCK).cogroup(entry.groupBy(*key, BLOCK)).applyInPandas(
-            _runner(kernel, key, order, fields), schema)
-        done = durable(done.withColumn("_pass", F.lit(len(passes))))
+        todo = rows if not passes else rows.join(entry.select(*spot), spot, "left_semi")
+        lines = todo.withColumn("blk_row", F.lit(1)).unionByName(
+            entry.withColumn("blk_row", F.lit(0)), allowMissingColumns=True)
+        lines = lines.select(*rows.columns, "blk_row", "blk_entry", "blk_last").repartition(tasks, *spot)
+        done = lines.sortWithinPartitions(*spot, "blk_row", *order).mapInArrow(walk, schema)
+        done = durable(done.withColumn("blk_pass", F.lit(len(passes))))
         passes.append(done)
-        exits = done.filter(F.col("_exit").isNotNull()).select(*key, BLOCK, "_exit", "_used", "_pass")
+        exits = done.filter(F.col("blk_exit").isNotNull()).select(*spot, "blk_exit", "blk_used", "blk_pass")
         if current is not None:
-            exits = current.join(exits.select(*key, BLOCK), [*key, BLOCK], "left_anti").unionByName(exits)
+            exits = current.join(exits.select(*spot), spot, "left_anti").unionByName(exits)
         current = exits
-        nextup = current.select(
-            *key, BLOCK, "_used",
-            F.coalesce(F.lag("_exit").over(ws), F.lit("")).alias("_entry"),
-            F.lead(BLOCK).over(ws).isNull().alias("_last"))
-        entry = nextup.filter(F.col("_entry") != F.col("_used")).select(*key, BLOCK, "_entry", "_last")
+        entry = current.select(
+            *spot, "blk_used", F.coalesce(F.lag("blk_exit").over(ws), F.lit("")).alias("blk_entry"),
+            F.lead("blk_id").over(ws).isNull().alias("blk_last"))
+        entry = durable(entry.filter(F.col("blk_entry") != F.col("blk_used")).select(*spot, "blk_entry", "blk_last"))
         if entry.isEmpty():
             break
-        entry = durable(entry)
     result = passes[0]
     for p in passes[1:]:
         result = result.unionByName(p)
     if len(passes) > 1:
-        result = result.join(current.select(*key, BLOCK, "_pass"), [*key, BLOCK, "_pass"], "left_semi")
-    return result.filter(F.col("_exit").isNull()).select(*key, *fields)
+        result = result.join(current.select(*spot, "blk_pass"), [*spot, "blk_pass"], "left_semi")
+    return result.filter(F.col("blk_exit").isNull()).select(*key, *fields)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from matchloom.operators.blocks import run_blocks
+from matchloom.operators.blocks import durable, run_blocks
 from matchloom.operators.intervals import interval_join
 from matchloom.operators.kernels import OrphanEpisodes, RowTracks
 from matchloom.operators.scan import block_of, islands, scan
@@ -90,7 +90,7 @@ def feed_row_tracks(samples: DataFrame, width: int, gap, retention) -> DataFrame
     ``samples`` holds video_id, seq, t, highlight_score, prints, positions.
     """
     key, order, block = ["video_id"], ["t", "seq"], block_of("t", width)
-    episodes = gap_islands(samples, key, order, block, "t", gap)
+    episodes = durable(gap_islands(samples, key, order, block, "t", gap))
     limits = episode_row_limits(episodes, [*key, "episode"], order, block)
     rows = episodes.join(limits, [*key, "episode"])
     fed = rows.select("video_id", "seq", "t", "prints", "episode", "row_limit")
@@ -125,7 +125,7 @@ def native_kills(
     kills = tracks.groupBy("video_id", "track_seq", "track_no").agg(
         F.min("t").alias("t"), F.max("t").alias("until"), F.max("highlight_score").alias("score"),
         F.count_distinct("seq").alias("observations"))
-    placed = first_round(kills, rounds, "t", width)
+    placed = durable(first_round(durable(kills), durable(rounds), "t", width))
     fights = firefights.filter("first_shot IS NOT NULL").select(
         "video_id", "rid", "episode", "first_shot", (F.col("first_shot") - .75 * unit).alias("lo"),
         F.greatest(F.col("last_t") + 3.0 * unit, F.col("first_shot") + 3.5 * unit).alias("hi"))
@@ -153,6 +153,7 @@ def _missing_runs(current: DataFrame, state: Column, block: Column, order: list[
 def native_deaths(
     rounds: DataFrame, samples: DataFrame, width: int, unit: float,
     min_missing: float = .75, max_missing: float = 5.0, min_prior: float = 1.0,
+    min_coverage: float = .35, min_eligible: float = .6,
 ) -> DataFrame:
     """At most one death per closed round from a supported disappearance.
 
@@ -162,7 +163,7 @@ def native_deaths(
     order, block = ["t", "seq"], block_of("t", width)
     u = float(unit)
     all_seen = scan(samples, ["video_id"], order, block, last={"flash_before": F.when(F.col("flashed"), F.col("t"))})
-    closed = rounds.filter("e IS NOT NULL").select("video_id", "rid", "s", "e")
+    closed = durable(rounds.filter("e IS NOT NULL").select("video_id", "rid", "s", "e"))
     current = interval_join(all_seen.filter("NOT flashed"), closed, ["video_id"], "t", "s", "e", width)
     hit = F.when(F.col("damage"), F.col("t"))
     current = scan(current, ROUND, order, block, prev={"_pt": F.col("t")}, last={"_dmg_before": hit}, ahead={"_dmg_after": hit})
@@ -174,10 +175,12 @@ def native_deaths(
         F.median(F.when(F.col("right_alive").isNotNull(), F.col("right_score"))).alias("right_med"))
     stats = stats.filter("n >= 4 AND visible >= 2").select(
         *ROUND, "step", F.coalesce("left_med", F.lit(0.0)).alias("left_med"), F.coalesce("right_med", F.lit(0.0)).alias("right_med"))
+    stats = durable(stats)
     current = current.join(stats, ROUND).withColumn(
         "damage_near", F.coalesce(F.col("damage"), F.lit(False))
         | F.coalesce(F.col("t") - F.col("_dmg_before") <= 2 * u, F.lit(False))
         | F.coalesce(F.col("_dmg_after") - F.col("t") <= 2 * u, F.lit(False)))
+    current = durable(current)
 
     def candidates(rows: DataFrame, state: Column, method: str) -> DataFrame:
         runs = _missing_runs(rows, state, block, order)
@@ -199,7 +202,7 @@ def native_deaths(
             *ROUND, "d.seq", F.col("d.hi").alias("t"), "d.missing", "d.prior", "d.damage_near", "d.flash_bridge",
             F.lit(method).alias("method"))
 
-    primary = candidates(current, F.coalesce(F.col("health"), F.lit(False)), "health")
+    primary = durable(candidates(current, F.coalesce(F.col("health"), F.lit(False)), "health"))
     left = F.col("left_med") > F.col("right_med")
     cards = current.filter(F.greatest("left_med", "right_med") >= .12)
     card = F.when(left, F.col("left_alive")).otherwise(F.col("right_alive"))
@@ -215,5 +218,5 @@ def native_deaths(
     done = closed.groupBy("video_id").agg(F.count(F.lit(1)).alias("completed"))
     eligible = stats.groupBy("video_id").agg(F.count(F.lit(1)).alias("eligible"))
     gate = cover.join(done, "video_id").join(eligible, "video_id").filter(
-        (F.col("coverage") >= .35) & (F.col("eligible") / F.col("completed") >= .6))
+        (F.col("coverage") >= min_coverage) & (F.col("eligible") / F.col("completed") >= min_eligible))
     return found.join(gate.select("video_id"), "video_id", "left_semi")

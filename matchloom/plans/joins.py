@@ -68,7 +68,7 @@ def band_join(v: View):
 
 @query("nearest_event", on_rounds("""
 , kl AS (SELECT video_id, rid, seq, t FROM a WHERE type = 'player_kill'),
-sh AS (SELECT video_id, rid, seq AS shot_seq, t AS shot_t, t - 2700000000 AS lo, greatest(t + k*60000000 + 3*3600000000, t + 12600000000) AS hi FROM a WHERE type = 'engagement_candidate' AND k % 2 = 0),
+sh AS (SELECT video_id, rid, seq AS shot_seq, t AS shot_t, t - 2700000000 AS lo, greatest(t + CAST(k AS BIGINT)*60000000 + 3*3600000000, t + 12600000000) AS hi FROM a WHERE type = 'engagement_candidate' AND k % 2 = 0),
 c AS (SELECT kl.*, shot_seq, row_number() OVER (PARTITION BY kl.video_id, kl.seq ORDER BY abs(kl.t - shot_t), shot_seq) AS rn FROM kl LEFT JOIN sh ON sh.video_id = kl.video_id AND sh.rid = kl.rid AND kl.t >= lo AND kl.t <= hi)
 SELECT video_id, rid, seq, shot_seq FROM c WHERE rn = 1""".replace("\n, kl", ", kl", 1)))
 def nearest_event(v: View):
