@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "joins", "combat")
+MODULES = ("timeline", "joins", "combat", "reports")
 
 
 def load():
