@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "joins", "combat", "reports")
+MODULES = ("timeline", "joins", "combat", "reports", "context", "texts")
 
 
 def load():

@@ -199,7 +199,7 @@ su AS (
 sug AS (SELECT video_id, rid, category || '_' || name || '_' || lpad(CAST(rn AS VARCHAR), CAST(greatest(2, length(CAST(rn AS VARCHAR))) AS INTEGER), '0') AS suggestion_id, category, action, "at", round(confidence, 3) AS confidence
  FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY rid NULLS LAST, stage, pos, name) AS rn FROM su))"""
 SUG_PARTS = (S.format("m"), DET, S.format("a").replace("smp AS", "smp_a AS"), RS.replace("smp.", "smp_a.").replace("FROM smp JOIN", "FROM smp_a JOIN"),
-             MOMENTS.replace("ELSE 8*3600000000", "ELSE 4*1800000000").replace("THEN 2*3600000000", "THEN 1*1800000000"),
+             MOMENTS.replace("ELSE 8*3600000000", "ELSE 7200000000").replace("THEN 2*3600000000", "THEN 1800000000"),
              DEATHS.format(u="(9*3600000000)", share=.1), ST, KD, SUG)
 
 
