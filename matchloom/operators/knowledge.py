@@ -164,18 +164,26 @@ def fact_document(title: Column, facts: Column, notes: Column) -> Column:
 
 # -- embedding and index ----------------------------------------------------
 
-def normalise(vector: Column) -> Column:
-    """L2-normalised vector; a zero vector stays zero."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
-
-
-def term_vector(text: Column, vocabulary: Sequence[str]) -> Column:
-    """Default embedder: normalised counts of the vocabulary terms."""
-    low = F.lower(text)
-    counts = [((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("double") for t in vocabulary]
-    return normalise(F.array(*counts))
+def normalised(df: DataFrame, vector: Column, out: str = "vector") -> DataFrame:
+    """Add the L2-normalised vector; a zero vector stays zero.
+
+    The steps are separate projections, so the raw vector is computed once.
+    """
+    raw = df.withColumn("_raw", F.transform(vector, lambda x: x.cast("double")))
+    raw = raw.withColumn("_norm", F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x)))
+    unit = F.when(F.col("_norm") > 0, F.transform("_raw", lambda x: x / F.col("_norm"))).otherwise(F.col("_raw"))
+    return raw.withColumn(out, unit).drop("_raw", "_norm")
+
+
+def term_counts(text: Column, vocabulary: Sequence[str]) -> Column:
+    """Default embedder before normalisation: occurrences of each vocabulary term."""
+    return F.array(*[((F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / len(t)).cast("double") for t in vocabulary])
+
+
+def embed_terms(df: DataFrame, text: str, vocabulary: Sequence[str], out: str = "vector") -> DataFrame:
+    """Embedding column of normalised term counts."""
+    lowered = df.withColumn("_low", F.lower(text))
+    return normalised(lowered, term_counts(F.col("_low"), vocabulary), out).drop("_low")
 
 
 def embedder(encode, dimensions: int):

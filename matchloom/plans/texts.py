@@ -36,9 +36,12 @@ def best_sql(value):
     return "WITH " + TOK + f", s AS (SELECT doc_id, pos, conf, {value} AS v FROM td) SELECT doc_id, arg_max(v, (conf, pos)) AS value, round(max(conf), 4) AS confidence FROM s WHERE v IS NOT NULL GROUP BY doc_id"
 
 
-@query("token_clean_money", best_sql("CASE WHEN length(d) BETWEEN 1 AND 5 AND NOT regexp_matches(d, '^5[0-9]{2,3}$') AND CAST(d AS BIGINT) <= 16000 AND CAST(d AS BIGINT) % 50 = 0 THEN CAST(d AS INTEGER) END"))
+@query("token_clean_money", """WITH t AS (SELECT o_orderkey, '$' || (o_orderkey % 800) * 25 || CASE WHEN o_orderkey % 9 = 0 THEN '7' ELSE '' END AS tok FROM orders), d AS (SELECT *, regexp_replace(tok, '[^0-9]', '', 'g') AS d FROM t)
+SELECT o_orderkey, CASE WHEN length(d) BETWEEN 1 AND 5 AND NOT regexp_matches(d, '^5[0-9]{2,3}$') AND CAST(d AS BIGINT) <= 16000 AND CAST(d AS BIGINT) % 50 = 0 THEN CAST(d AS INTEGER) END AS money FROM d""")
 def token_clean_money(v: View):
-    return best_reading(tokens(v).withColumn("v", tx.money_value(F.col("tok"))))
+    k = F.col("o_orderkey")
+    raw = F.concat(F.lit("$"), (k % 800 * 25).cast("string"), F.when(k % 9 == 0, "7").otherwise(""))
+    return v.table("orders").select("o_orderkey", tx.money_value(raw).alias("money"))
 
 
 CLOCK = """CASE WHEN contains(regexp_replace(tok, '[^0-9:]', '', 'g'), ':') THEN CASE WHEN regexp_matches(regexp_replace(tok, '[^0-9:]', '', 'g'), '^[0-9]+:[0-9]+$') THEN
@@ -81,13 +84,14 @@ def titles(v: View):
     return v.table("documents").select("doc_id", tx.title_of(F.col("text"), F.col("source")).alias("title"))
 
 
-@query("inline_meta", """WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) AS pos FROM documents),
+@query("inline_meta", """WITH dd AS (SELECT doc_id, regexp_replace(text, '(?m)^([A-Za-z_]+) ', '\\1: ', 'g') AS text FROM documents), l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) AS pos FROM dd),
 m AS (SELECT doc_id, pos, lower(regexp_extract(line, '^\\s*([A-Za-z_]+)\\s*[:=]\\s*(\\S.*)$', 1)) AS key, regexp_replace(regexp_extract(line, '^\\s*([A-Za-z_]+)\\s*[:=]\\s*(\\S.*)$', 2), '\\s+$', '') AS value FROM l WHERE regexp_matches(line, '^\\s*[A-Za-z_]+\\s*[:=]\\s*\\S'))
 SELECT doc_id, key, arg_max(value, pos) AS value FROM m GROUP BY doc_id, key""")
 def inline_meta(v: View):
     """``key: value`` lines (here also ``key = value``); the last one of a key wins."""
     from matchloom.operators.knowledge import inline_metadata
-    return inline_metadata(v.table("documents"), "doc_id", "text", marks=":=")
+    keyed = v.table("documents").withColumn("text", F.regexp_replace("text", r"(?m)^([A-Za-z_]+) ", "$1: "))
+    return inline_metadata(keyed, "doc_id", "text", marks=":=")
 
 
 @query("truthiness", "SELECT vec_id, lower(trim(CASE vec_id % 6 WHEN 0 THEN 'TRUE ' WHEN 1 THEN 'yes' WHEN 2 THEN '1' WHEN 3 THEN 'no' WHEN 4 THEN '' END)) IN ('true','yes','1') IS TRUE AS flag FROM embeddings")
