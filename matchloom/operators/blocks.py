@@ -21,12 +21,18 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise on the shared checkpoint folder so lost executors cost no replay."""
-    sc = df.sparkSession.sparkContext
+def durable_folder(spark) -> str:
+    """The shared checkpoint folder of the session; a local one only where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise on the shared checkpoint folder so lost executors cost no replay."""
+    durable_folder(df.sparkSession)
     return df.checkpoint()
 
 

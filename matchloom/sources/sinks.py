@@ -12,8 +12,8 @@ from matchloom.operators.knowledge import upsert
 def round_documents(rounds: DataFrame, events: DataFrame) -> DataFrame:
     """One nested row per round with its ordered events.
 
-    The reference's unit is a recording; a round bounds the nested array, and the
-    recording is a folder of round rows, so a hot recording stays splittable.
+    A round bounds the nested array; a recording is a folder of round rows, so a
+    hot recording stays splittable.
     """
     item = F.struct("t", "seq", "event_id", "type", "confidence", "source")
     nested = events.groupBy("video_id", "rid").agg(F.sort_array(F.collect_list(item)).alias("events"))
