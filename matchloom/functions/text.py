@@ -139,12 +139,17 @@ def latin_count(text: Column) -> Column:
 
 
 def has_any(text: Column, terms) -> Column:
-    """Whether the lower-cased text contains one of the terms."""
-    low = F.lower(text)
-    out = F.lit(False)
-    for t in terms:
-        out = out | low.contains(t)
-    return out
+    """Whether the lower-cased text contains one of the terms.
+
+    The one-element array binds the lower-cased text, so it is computed once and
+    not once per term.
+    """
+    def chain(low):
+        out = F.lit(False)
+        for t in terms:
+            out = out | low.contains(t)
+        return out
+    return F.coalesce(F.exists(F.array(F.lower(text)), chain), F.lit(False))
 
 
 def number_tokens(text: Column) -> Column:

@@ -42,8 +42,13 @@ def match_size(stats: DataFrame) -> DataFrame:
 
 
 def kd_trend(stats: DataFrame) -> DataFrame:
-    """Kills per death of the two halves; recordings with three or more rounds."""
-    r = stats.join(match_size(stats), "video_id").filter("size >= 3").withColumn("mid", F.floor(F.col("size") / 2))
+    """Kills per death of the two halves; recordings with three or more rounds.
+
+    The size of a recording reaches its rounds through the block table, so a
+    recording with very many rounds is joined block by block.
+    """
+    blocks = stats.select("video_id", rid_block().alias("_b")).distinct().join(match_size(stats), "video_id")
+    r = stats.withColumn("_b", rid_block()).join(blocks, ["video_id", "_b"]).filter("size >= 3").withColumn("mid", F.floor(F.col("size") / 2))
     early = F.col("rid") <= F.col("mid")
     part = lambda cond, col: F.sum(F.when(cond, F.col(col)).otherwise(0))
     g = r.groupBy("video_id").agg(

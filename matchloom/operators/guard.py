@@ -85,6 +85,29 @@ def judge_drafts(drafts: DataFrame, hits: DataFrame, chunks: DataFrame, known: D
     return j.select(*key, "sid", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
+def judge_summaries(summaries: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Match-level gate: cited hits of the match only, supported numbers, wording, bias and freshness.
+
+    ``summaries``: match_id, text, source_text, citations; ``hits``: match_id, chunk_id, the
+    match's unique hits, all of which support numbers.
+    """
+    own = hits.select("match_id", "chunk_id").distinct().join(
+        chunks.select("chunk_id", "hard", "current", tx.number_tokens(F.col("content")).alias("_numbers")), "chunk_id")
+    allowed = own.select("match_id", F.explode("_numbers").alias("number")).distinct()
+    used = summaries.select("match_id", F.explode(F.array_except(
+        tx.number_tokens(F.col("text")), tx.number_tokens(F.col("source_text")))).alias("number"))
+    loose = used.join(allowed, ["match_id", "number"], "left_anti").groupBy("match_id").agg(F.count(F.lit(1)).alias("loose"))
+    cited = summaries.select("match_id", F.explode(F.array_distinct("citations")).alias("chunk_id"))
+    cited = cited.join(own.withColumn("_own", F.lit(True)), ["match_id", "chunk_id"], "left").groupBy("match_id").agg(
+        F.bool_and(F.col("_own").isNotNull()).alias("all_own"), F.bool_or(F.coalesce("hard", F.lit(False))).alias("any_hard"),
+        F.bool_and(F.coalesce("current", F.lit(False))).alias("all_current"))
+    j = summaries.join(cited, "match_id", "left").join(loose, "match_id", "left")
+    ok = (F.coalesce("all_own", F.lit(False)) & (F.coalesce("loose", F.lit(0)) == 0)
+          & ~breaks_rule_strength(F.col("text"), F.lit(True), F.coalesce("any_hard", F.lit(False)))
+          & ~outcome_bias(F.col("text")) & F.coalesce("all_current", F.lit(False)))
+    return j.select("match_id", ok.alias("summary_ok"))
+
+
 def draft_totals(judged: DataFrame, summary_accepted: DataFrame | None = None) -> DataFrame:
     """Accepted and rejected counts per match; all rejected means falling back to the rules.
 

@@ -105,10 +105,9 @@ def chunk_documents(docs: DataFrame, sep: str = "\n\n", size: int = 900, overlap
     """Structure-aware chunks of (document_id, content), streamed batch by batch."""
     def run(batches):
         for pdf in batches:
-            for doc, content in zip(pdf["document_id"], pdf["content"]):
-                rows = passages(content or "", sep, size, overlap, least)
-                if rows:
-                    yield pd.DataFrame([(doc, *r) for r in rows], columns=CHUNKS.fieldNames())
+            rows = [(doc, *r) for doc, content in zip(pdf["document_id"], pdf["content"])
+                    for r in passages(content or "", sep, size, overlap, least)]
+            yield pd.DataFrame(rows, columns=CHUNKS.fieldNames())
     return docs.select("document_id", "content").mapInPandas(run, CHUNKS)
 
 

@@ -301,7 +301,7 @@ SELECT frame, round(motion, 4) AS motion, round(greatest(0, least(1, (share - tr
 def trimmed_mean(v: View):
     t = v.table("lineitem").select(F.col("l_orderkey").alias("frame"), (F.col("l_extendedprice") / 100000).alias("d"),
                                    (F.col("l_discount") * 10).alias("valid"))
-    out = tr.trimmed_tiles(t, ["frame"], "d", "valid", ["d"])
+    out = tr.trimmed_tiles(t, ["frame"], "d", "valid", .05)
     return out.select("frame", F.round("motion", 4).alias("motion"), F.round("localized", 4).alias("localized"))
 
 

@@ -104,6 +104,28 @@ def draft_totals(v: View):
     return gd.draft_totals(j, summary)
 
 
+SUMM = """sv AS (SELECT conv_id AS match_id, text || CASE WHEN conv_id % 3 = 0 THEN ' ' || conv_id % 7 ELSE '' END || CASE WHEN conv_id % 4 = 0 THEN ' always' ELSE '' END AS text,
+  CASE WHEN conv_id % 9 = 0 THEN []::BIGINT[] ELSE [conv_id, conv_id + 1 + 4 * (CASE WHEN conv_id % 8 = 7 THEN 1 ELSE 0 END)] END AS cites FROM conversations WHERE turn = 0),
+sh AS (SELECT match_id, unnest([match_id, match_id + 1, match_id + 2]) AS chunk_id FROM sv),
+sk AS (SELECT doc_id AS chunk_id, """ + NUM.format("text") + """ AS nums, doc_id % 3 = 0 AS hard, doc_id % 11 <> 0 AS current FROM documents),
+so AS (SELECT match_id, sh.chunk_id, nums, hard, current FROM sh JOIN sk USING (chunk_id)),
+sa AS (SELECT match_id, flatten(list(nums)) AS nums FROM so GROUP BY 1),
+sc AS (SELECT c.match_id, bool_and(so.chunk_id IS NOT NULL) AS own, bool_or(coalesce(hard, false)) AS hard, bool_and(coalesce(current, false)) AS cur FROM (SELECT match_id, unnest(cites) AS chunk_id FROM sv) c LEFT JOIN so ON so.match_id = c.match_id AND so.chunk_id = c.chunk_id GROUP BY 1)"""
+
+
+@query("summary_gate", "WITH " + SUMM + " SELECT sv.match_id, coalesce(own, false) AND len(list_filter(" + NUM.format("text") + ", lambda x: x <> '3' AND NOT list_contains(coalesce(sa.nums, []), x))) = 0 AND NOT (NOT coalesce(hard, false) AND " + any_sql(gd.ABSOLUTE_TERMS, "lower(text)") + ") AND coalesce(cur, false) AS summary_ok FROM sv LEFT JOIN sa USING (match_id) LEFT JOIN sc USING (match_id)")
+def summary_gate(v: View):
+    c = F.col("conv_id")
+    text = F.concat("text", F.when(c % 3 == 0, F.concat(F.lit(" "), (c % 7).cast("string"))).otherwise(""), F.when(c % 4 == 0, " always").otherwise(""))
+    cites = F.when(c % 9 == 0, F.array().cast("array<bigint>")).otherwise(F.array(c, c + F.when(c % 8 == 7, 5).otherwise(1)))
+    s = v.table("conversations").filter("turn = 0").select(c.alias("match_id"), text.alias("text"), F.lit("base 3").alias("source_text"), cites.alias("citations"))
+    m = F.col("match_id")
+    hits = s.select("match_id", F.explode(F.array(m, m + 1, m + 2)).alias("chunk_id"))
+    i = F.col("doc_id")
+    chunks = v.table("documents").select(i.alias("chunk_id"), F.col("text").alias("content"), (i % 3 == 0).alias("hard"), (i % 11 != 0).alias("current"))
+    return gd.judge_summaries(s, hits, chunks)
+
+
 @query("preflight", """SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') AND count(*) % 3 = 0 THEN 'analysis_incomplete' WHEN count(*) % 4 = 0 THEN 'llm_unavailable' WHEN count(*) FILTER (o_orderstatus = 'O') = 0 THEN 'no_evidence_suggestions' WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'knowledge_index_empty' WHEN count(*) FILTER (o_orderpriority = '5-LOW') = 0 THEN 'retrieval_below_threshold' END AS fallback_reason FROM orders GROUP BY 1""")
 def preflight(v: View):
     n = F.count(F.lit(1))

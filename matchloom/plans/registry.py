@@ -40,6 +40,10 @@ class View:
     def table(self, name: str) -> DataFrame:
         return tables.table(self.spark, self.dir, name)
 
+    def texts(self, name: str = "documents") -> DataFrame:
+        """A text table with enough splits for per-document work."""
+        return tables.spread(self.table(name))
+
     @cached_property
     def m(self) -> DataFrame:
         """Typed events: video_id, seq, t (micros), type, score, k."""

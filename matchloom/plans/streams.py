@@ -13,8 +13,7 @@ from matchloom.streaming import live
 def typed(v: View, watermark: str = "1 hour"):
     """The event stream with its event time as a watermarked timestamp."""
     raw = live.read_table(v.spark, v.dir, "events")
-    if v.spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        v.spark.conf.set("spark.sql.session.timeZone", "UTC")
+    tables.configure(v.spark)
     m = tables.typed_events(raw)
     return m.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", watermark)
 

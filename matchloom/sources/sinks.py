@@ -48,7 +48,7 @@ def write_index(chunks: DataFrame, path: str, reset: bool = False) -> None:
     version = latest_version(spark, path)
     old = spark.read.parquet(f"{path}/v={version}") if version and not reset else None
     merged = upsert(old, chunks, "chunk_id", F.col("chunk_index"))
-    merged.write.partitionBy("layer").parquet(f"{path}/v={version + 1}")
+    merged.write.mode("overwrite").partitionBy("layer").parquet(f"{path}/v={version + 1}")
 
 
 def latest_version(spark, path: str) -> int:
