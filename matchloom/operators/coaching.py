@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from matchloom.operators.blocks import durable
 from matchloom.operators.rules import Rule, fire
 from matchloom.operators.scan import islands, scan
 from matchloom.operators.sessions import top_per_group
@@ -140,6 +141,7 @@ def suggestions(
     union = parts[0].select(*cols)
     for p in parts[1:]:
         union = union.unionByName(p.select(*cols))
+    union = durable(union)  # numbering reads it twice
     ranked = scan(union, ["video_id"], ["rid", "stage", "pos", "name"], rid_block(), rank="_n")
     return ranked.select(
         "video_id", F.when(F.col("rid") < (1 << 40), F.col("rid")).alias("rid"),

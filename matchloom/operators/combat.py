@@ -51,6 +51,7 @@ def engagement_episodes(
         F.min("s").alias("s"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
         F.min_by("own_team", F.struct("t", "seq")).alias("player_team"), best.alias("best"),
         F.count(F.lit(1)).alias("visible_samples"))
+    episodes = durable(episodes)
     bands = episodes.select(*ROUND, "episode", (F.col("first_t") - margin).alias("lo"), (F.col("last_t") + margin).alias("hi"))
     active = signals.filter("shot OR damage")
     near = interval_join(active, bands, ["video_id"], "t", "lo", "hi", width, "both")

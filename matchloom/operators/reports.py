@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from matchloom.operators.blocks import durable
 from matchloom.operators.rules import Rule, fire
 from matchloom.operators.scan import scan
 from matchloom.operators.sessions import top_per_group
@@ -84,7 +85,7 @@ def findings(stats: DataFrame, overview: DataFrame, per_block: int = 4096) -> Da
     cols = ["video_id", "rid", "rule_no", "name", "category", "severity", "confidence"]
     rounds = fire(stats, ROUND_FINDINGS, ROUND).select(*cols)
     match = fire(overview, MATCH_FINDINGS, ["video_id"]).withColumn("rid", F.lit(1 << 40).cast("long")).select(*cols)
-    both = rounds.unionByName(match)
+    both = durable(rounds.unionByName(match))  # numbering reads it twice
     ranked = scan(both, ["video_id"], ["rid", "rule_no"], F.floor(F.col("rid") / per_block).cast("long"), rank="_n")
     return ranked.select("video_id", F.when(F.col("rid") < (1 << 40), F.col("rid")).alias("rid"),
                          F.concat("name", F.format_string("_%03d", "_n")).alias("finding_id"), "category", "severity", "confidence")

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from matchloom.operators.blocks import durable
 from matchloom.operators.scan import islands, scan
 
 
@@ -73,7 +74,8 @@ def union_intervals(
     if duration is not None:
         s, e = F.least(s, duration), F.least(e, duration)
     rows = df.select(*key, s.alias("_s"), e.alias("_e")).filter(F.col("_e") > F.col("_s"))
-    rows = rows.groupBy(*key, "_s").agg(F.max("_e").alias("_e"))  # same start: the longest covers the rest
+    # same start: the longest covers the rest; written once because the two scans below read it four times
+    rows = durable(rows.groupBy(*key, "_s").agg(F.max("_e").alias("_e")))
     block = F.floor(F.col("_s") / width).cast("long")
     reach = scan(rows, key, ["_s"], block, peak={"_reach": F.col("_e")})
     opens = F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach") + gap), 1).otherwise(0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import scoring
 from matchloom.operators import context as cx
 from matchloom.operators import quality as q
-from matchloom.operators import sessions as ss
+from matchloom.operators.blocks import durable
 from matchloom.operators.coaching import field_lists
 from matchloom.plans.registry import HOUR, KEY, ORDER, S, View, on_events, on_rounds, query
 
@@ -82,7 +82,8 @@ def map_of(obs):
 
 def round_context_of(v: View):
     """One row per round; unknown fields stay NULL."""
-    obs = observations(v)
+    obs = durable(observations(v).select(
+        *ROUND, "t", "seq", "k", "team", "weapon", "weapon_conf", "weapon_source", "utility", "utility_conf", "position", "position_conf"))
     rounds = obs.select(*ROUND).distinct()
     side = side_of(obs).select(*ROUND, F.col("team").alias("player_side"), F.round("share", 4).alias("side_share"))
     weapon = cx.weighted_mode(weapons_of(obs), ROUND, "weapon", "weapon_conf", ORDER).select(*ROUND, "weapon")

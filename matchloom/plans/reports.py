@@ -111,7 +111,7 @@ cn AS (SELECT video_id, count(*) AS n, avg(kills) AS avg, min(kills) AS low, max
 
 @query("kd_trend", on_rounds('SELECT video_id, "at", round(early, 4) AS early, round(late, 4) AS late, trend FROM kd', ST, KD))
 def kd_trend(v: View):
-    return co.kd_trend(stats_of(v)).withColumn("early", F.round("early", 4)).withColumn("late", F.round("late", 4))
+    return co.kd_trend(durable(stats_of(v))).withColumn("early", F.round("early", 4)).withColumn("late", F.round("late", 4))
 
 
 def death_offsets(v: View):
@@ -121,12 +121,12 @@ def death_offsets(v: View):
 
 @query("early_deaths", on_rounds('SELECT video_id, total, early, "at" FROM ed', ST, KD))
 def early_deaths(v: View):
-    return co.early_deaths(stats_of(v), death_offsets(v), 30 * UNIT)
+    return co.early_deaths(durable(stats_of(v)), death_offsets(v), 30 * UNIT)
 
 
 @query("loss_streak", on_rounds('SELECT video_id, streak, "at" FROM ls', ST, KD))
 def loss_streak(v: View):
-    return co.loss_streak(stats_of(v))
+    return co.loss_streak(durable(stats_of(v)))
 
 
 @query("consistency", on_rounds('SELECT video_id, n, round(avg, 4) AS avg, low, high, "at" FROM cn', ST, KD))
@@ -138,9 +138,9 @@ def gated_stats(v: View):
     """Round statistics with capability flags and the view summary."""
     stats = stats_of(v)
     view = ss.weighted_round_summary(round_samples(v), ["video_id", "rid"], F.col("w"), F.col("flashed"), F.col("scoped"), F.col("motion"))
-    return stats.join(view.select("video_id", "rid", "flash_time", "scope_time", F.lit(True).alias("has_view")), ["video_id", "rid"], "left").select(
+    return durable(stats.join(view.select("video_id", "rid", "flash_time", "scope_time", F.lit(True).alias("has_view")), ["video_id", "rid"], "left").select(
         "*", F.coalesce("has_view", F.lit(False)).alias("hv"), (F.col("video_id") % 3 != 0).alias("personal_kills"),
-        (F.col("video_id") % 4 != 0).alias("personal_deaths"), (F.col("n") % 3).alias("enemy_tracks")).drop("has_view").withColumnRenamed("hv", "has_view")
+        (F.col("video_id") % 4 != 0).alias("personal_deaths"), (F.col("n") % 3).alias("enemy_tracks")).drop("has_view").withColumnRenamed("hv", "has_view"))
 
 
 def gated_overview(v: View, stats):
@@ -205,9 +205,8 @@ SUG_PARTS = (S.format("m"), DET, S.format("a").replace("smp AS", "smp_a AS"), RS
 
 def suggestions_of(v: View):
     from matchloom.operators.combat import native_deaths
-    rounds = durable(v.rounds())
-    deaths = native_deaths(rounds, status_samples(v), v.width, 9.0 * HOUR, min_eligible=.1)
-    out = co.suggestions(durable(stats_of(v)), durable(engagements(v)), moments(v, 1 * UNIT, 4 * UNIT), deaths, death_offsets(v), float(UNIT))
+    deaths = native_deaths(v.rounds(), status_samples(v), v.width, 9.0 * HOUR, min_eligible=.1)
+    out = co.suggestions(durable(stats_of(v)), durable(engagements(v)), durable(moments(v, 1 * UNIT, 4 * UNIT)), deaths, death_offsets(v), float(UNIT))
     return durable(out.withColumn("confidence", F.round("confidence", 3)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchloom.operators import sessions as ss
+from matchloom.operators.blocks import durable
 from matchloom.operators.scan import ema, islands, scan, trailing
 from matchloom.plans.registry import HOUR, KEY, ORDER, S, View, on_events, on_rounds, query
 
@@ -69,7 +70,7 @@ def rising_edges(v: View):
 def moments(v: View, flash_min, scope_min):
     """First four flash/scope episodes per round in time order, then the duration floor."""
     key = ["video_id", "rid"]
-    base = round_samples(v)
+    base = durable(round_samples(v).select(*key, "t", "seq", "w", "flashed", "scoped"))
     parts = []
     for kind, rank in (("flash", 0), ("scope", 1)):
         flag = "flashed" if kind == "flash" else "scoped"
