@@ -135,13 +135,11 @@ class DebouncedLow:
         t = int(row.t)
         if s["fired"] is not None and t - s["fired"] >= self.cooldown:
             s["fired"] = None
-        if row.hp < self.threshold and s["fired"] is None:
-            s["n"] += 1
-            if s["n"] >= self.need:
-                s.update(n=0, fired=t)
-                return [(int(row.seq), t)]
-        else:
-            s["n"] = max(0, s["n"] - 1)
+        low = row.hp < self.threshold and s["fired"] is None
+        s["n"] = max(0, s["n"] + (1 if low else -1))
+        if s["n"] >= self.need:
+            s.update(n=0, fired=t)
+            return [(int(row.seq), t)]
         return []
 
     def close(self, s):
@@ -163,12 +161,8 @@ class DebouncedEdge:
         t, active = int(row.t), bool(row.active)
         if s["fired"] is not None and t - s["fired"] >= self.cooldown:
             s["fired"] = None
-        if active and not s["was"] and s["fired"] is None:
-            s["n"] = 1
-        elif active and s["n"] > 0:
-            s["n"] += 1
-        else:
-            s["n"] = 0
+        edge = not s["was"] and s["fired"] is None
+        s["n"] = s["n"] + 1 if active and (s["n"] or edge) else 0
         s["was"] = active
         if s["n"] >= self.need:
             s.update(n=0, fired=t)

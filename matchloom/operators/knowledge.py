@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Sequence
@@ -42,20 +43,21 @@ ROUTE_RULE = ("win condition", "mechanic", "defuse", "bomb timer", "mr12", "胜
 # -- chunking ---------------------------------------------------------------
 
 def windows(text: str, size: int, overlap: int):
-    """Overlapping spans; an end past half the span snaps to the last sentence or line break."""
-    at, total = 0, len(text)
-    while True:
-        stop = min(total, at + size)
-        if stop < total:
-            cut = max(text.rfind(mark, at, stop) for mark in ("。", ". ", "\n"))
-            if cut > at + size // 2:
-                stop = cut + 1
-        span = text[at:stop].strip()
-        if span:
-            yield span
-        if stop >= total:
-            return
+    """Overlapping spans; an end past half the span snaps to the last sentence or line break.
+
+    All break positions are found once; each span looks its end up by bisection.
+    """
+    marks = [(m.end(), m.start() + 1) for m in re.finditer(r"。|\. |\n", text)] if len(text) > size else []
+    ends = [end for end, _ in marks]
+    at = 0
+    while at + size < len(text):
+        stop = at + size
+        last = bisect.bisect_right(ends, stop) - 1
+        if last >= 0 and marks[last][1] > at + size // 2 + 1:
+            stop = marks[last][1]
+        yield text[at:stop].strip()
         at = max(at + 1, stop - overlap)
+    yield text[at:].strip()
 
 
 def heading_of(line: str) -> str | None:
@@ -85,7 +87,7 @@ def passages(text: str, sep: str, size: int, overlap: int, least: int):
             packs.append([heading, block])
             fresh = False
     out: list[list] = []
-    spans = ((h, w) for h, body in packs for w in windows(body, size, overlap))
+    spans = ((h, w) for h, body in packs for w in windows(body, size, overlap) if w)
     for index, (h, content) in enumerate(spans):
         if len(content) < least and out and out[-1][1] == h and len(out[-1][2]) + 2 + len(content) <= size + overlap:
             out[-1][2] += "\n\n" + content

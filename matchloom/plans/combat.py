@@ -152,12 +152,43 @@ def number_rounds(events, v: View):
     return scan(ranked, KEY, ["t", "_o", "seq"], v.block, total={"rid": F.col("_o").cast("long")}).drop("_o")
 
 
-@query("hysteresis_rounds")
+HYST = """o AS (SELECT video_id, seq, t, avg(CAST(k AS DOUBLE) / 10000) OVER (PARTITION BY video_id ORDER BY t, seq ROWS 1 PRECEDING) AS ratio, k * 3 + 1 AS cpx, k + 5 AS tpx, row_number() OVER (PARTITION BY video_id ORDER BY t, seq) AS rn FROM m),
+z AS (SELECT video_id, 0::BIGINT AS rn, NULL::BOOLEAN AS pres, NULL::BIGINT AS since, NULL::BIGINT AS sq, false AS op, NULL::BIGINT AS st, false AS gap, -1 AS ct, -1 AS tt, 0::BIGINT AS seq, 0::BIGINT AS t, NULL::VARCHAR AS act FROM (SELECT DISTINCT video_id FROM m)
+ UNION ALL SELECT video_id, rn, pres, since, sq, CASE act WHEN 'open' THEN true WHEN 'turn' THEN true WHEN 'shut' THEN false ELSE op END, CASE WHEN act IN ('open','turn') THEN since ELSE st END,
+  CASE WHEN act IN ('open','turn') THEN false WHEN absent THEN true ELSE gap END, CASE WHEN cpx > 0 AND (act = 'open' OR (op AND pres)) THEN cpx ELSE ct END, CASE WHEN tpx > 0 AND (act = 'open' OR (op AND pres)) THEN tpx ELSE tt END, seq, t, act
+ FROM (SELECT *, op AND NOT pres AND held AS absent, CASE WHEN NOT op AND pres AND held THEN 'open'
+    WHEN op AND NOT pres AND held AND ct >= 0 AND tt >= 0 AND (abs(cpx - ct) / greatest(ct, 1) > .3 OR abs(tpx - tt) / greatest(tt, 1) > .3) AND t - st >= 108000000000 THEN 'shut'
+    WHEN op AND pres AND gap AND held AND t - st >= 108000000000 THEN CASE WHEN since - st >= 108000000000 THEN 'turn' ELSE 'again' END END AS act
+  FROM (SELECT *, t - since >= 14400000000 AS held FROM (
+   SELECT o.video_id, o.rn, o.seq, o.t, o.cpx, o.tpx, z.op, z.st, z.gap, z.ct, z.tt,
+    CASE WHEN o.ratio > .006 THEN true WHEN o.ratio < .001 THEN false ELSE z.pres END AS pres,
+    CASE WHEN o.ratio > .006 AND z.pres IS DISTINCT FROM true OR o.ratio < .001 AND z.pres IS DISTINCT FROM false THEN o.t ELSE z.since END AS since,
+    CASE WHEN o.ratio > .006 AND z.pres IS DISTINCT FROM true OR o.ratio < .001 AND z.pres IS DISTINCT FROM false THEN o.seq ELSE z.sq END AS sq
+   FROM z JOIN o ON o.video_id = z.video_id AND o.rn = z.rn + 1)))),
+ev AS (SELECT video_id, sq AS seq, since AS t, 'round_start' AS kind FROM z WHERE act IN ('open','turn','again') UNION ALL SELECT video_id, sq, since, 'round_end' FROM z WHERE act = 'turn'
+ UNION ALL SELECT video_id, seq, t, 'round_end' FROM z WHERE act = 'shut' UNION ALL SELECT video_id, seq, t, 'round_end' FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY rn DESC) AS l FROM z) WHERE l = 1 AND op)"""
+
+
+NUMBER = "CAST(sum(CASE WHEN kind = 'round_start' THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY t, kind = 'round_start', seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS rid"
+
+
+@query("hysteresis_rounds", "WITH RECURSIVE " + on_events("SELECT *, " + NUMBER + " FROM ev", HYST)[5:])
 def hysteresis_rounds(v: View):
     return number_rounds(run_blocks(smoothed_ratio(v, 2), KEY, ORDER, v.block, HysteresisRounds(unit=2.0 * HOUR)), v)
 
 
-@query("score_rounds")
+SCORE = """c0 AS (SELECT *, sum(CASE WHEN type = 'player_kill' THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS nk FROM m),
+o AS (SELECT video_id, seq, t, CAST(nk // 6 AS INTEGER) AS c, CAST(nk // 4 AS INTEGER) AS d, k % 4 <> 0 AS rd, k % 3 <> 0 AS tv, row_number() OVER (PARTITION BY video_id ORDER BY t, seq) AS rn FROM c0),
+z AS (SELECT video_id, 0::BIGINT AS rn, 0::BIGINT AS seq, 0::BIGINT AS t, NULL::INTEGER AS tot, NULL::INTEGER AS cc, NULL::INTEGER AS cd, 0 AS nr, NULL::BIGINT AS st, false AS wt, 0 AS sc, 0 AS sd, 0 AS tm, false AS ended, false AS started FROM (SELECT DISTINCT video_id FROM m)
+ UNION ALL SELECT video_id, rn, seq, t, CASE WHEN conf THEN c + d ELSE tot END, CASE WHEN NOT rd THEN cc WHEN conf OR NOT step THEN NULL ELSE c END, CASE WHEN NOT rd THEN cd WHEN conf OR NOT step THEN NULL ELSE d END, CASE WHEN NOT rd THEN nr WHEN conf OR NOT step THEN 0 ELSE nr2 END,
+  CASE WHEN go THEN t ELSE st END, NOT go AND (conf OR wt), CASE WHEN conf THEN c ELSE sc END, CASE WHEN conf THEN d ELSE sd END, CASE WHEN go THEN 0 ELSE tm2 END, conf AND st IS NOT NULL AND t - st >= 18000000000, go
+ FROM (SELECT *, (conf OR wt) AND tm2 >= 2 AS go FROM (SELECT *, CASE WHEN (conf OR wt) AND tv THEN CASE WHEN conf THEN 0 ELSE tm END + 1 WHEN conf OR wt THEN 0 ELSE tm END AS tm2 FROM (
+  SELECT *, rd AND (tot IS NULL OR (step AND nr2 >= 2)) AS conf FROM (SELECT *, CASE WHEN cc = c AND cd = d THEN nr + 1 ELSE 1 END AS nr2 FROM (
+   SELECT o.video_id, o.rn, o.seq, o.t, o.c, o.d, o.rd, o.tv, z.tot, z.cc, z.cd, z.nr, z.st, z.wt, z.sc, z.sd, z.tm, coalesce(o.c + o.d = z.tot + 1, false) AS step FROM z JOIN o ON o.video_id = z.video_id AND o.rn = z.rn + 1)))))),
+ev AS (SELECT video_id, seq, t, 'round_end' AS kind, NULL::INTEGER AS ct, NULL::INTEGER AS tt FROM z WHERE ended UNION ALL SELECT video_id, seq, t, 'round_start', sc, sd FROM z WHERE started)"""
+
+
+@query("score_rounds", "WITH RECURSIVE " + on_events("SELECT *, " + NUMBER + " FROM ev", SCORE)[5:])
 def score_rounds(v: View):
     base = scan(v.m, KEY, ORDER, v.block, total={"_n": (F.col("type") == "player_kill").cast("long")})
     s = base.select("video_id", "seq", "t", F.floor(F.col("_n") / 6).alias("ct"), F.floor(F.col("_n") / 4).alias("tt"),
@@ -305,11 +336,17 @@ def trimmed_mean(v: View):
     return out.select("frame", F.round("motion", 4).alias("motion"), F.round("localized", 4).alias("localized"))
 
 
-@query("suppress_rows")
+@query("suppress_rows", "WITH RECURSIVE " + BOX + """, g AS (SELECT frame, (y1 + y2) / 2 AS c, y2 - y1 AS h, -(x2 - x1) AS w, min(concat_ws('-', no, part, supp, CAST(round(price * 100) AS BIGINT))) AS seq FROM b GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY w, seq) AS rn FROM g),
+z AS (SELECT frame, seq, rn, [{'c': c, 'h': h}] AS kept, true AS ok FROM o WHERE rn = 1
+ UNION ALL SELECT o.frame, o.seq, o.rn, CASE WHEN len(list_filter(kept, lambda q: abs(q.c - o.c) < greatest(q.h, o.h) * .55)) = 0 THEN list_append(kept, {'c': o.c, 'h': o.h}) ELSE kept END, len(list_filter(kept, lambda q: abs(q.c - o.c) < greatest(q.h, o.h) * .55)) = 0
+ FROM z JOIN o ON o.frame = z.frame AND o.rn = z.rn + 1)
+SELECT frame, seq FROM z WHERE ok""")
 def suppress_rows(v: View):
-    b = boxes(v).select("frame", F.monotonically_increasing_id().alias("_u"), "no", "part", "supp", "price", "x1", "x2", "y1", "y2")
-    b = b.select("frame", F.xxhash64("no", "part", "supp", "price").alias("seq"), ((F.col("y1") + F.col("y2")) / 2).alias("centre"),
-                 (F.col("y2") - F.col("y1")).alias("size"), (-(F.col("x2") - F.col("x1"))).alias("rank_width"))
+    name = F.concat_ws("-", F.col("no").cast("string"), F.col("part").cast("string"), F.col("supp").cast("string"),
+                       F.round(F.col("price") * 100).cast("long").cast("string"))
+    b = boxes(v).select("frame", name.alias("seq"), ((F.col("y1") + F.col("y2")) / 2).alias("centre"), (F.col("y2") - F.col("y1")).alias("size"),
+                        (-(F.col("x2") - F.col("x1"))).alias("rank_width"))
     return tr.suppress_rows(b, ["frame"], 4000.0, "centre", "size", ["rank_width"], "seq")
 
 

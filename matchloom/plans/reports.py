@@ -207,7 +207,7 @@ def suggestions_of(v: View):
     from matchloom.operators.combat import native_deaths
     deaths = native_deaths(v.rounds(), status_samples(v), v.width, 9.0 * HOUR, min_eligible=.1)
     out = co.suggestions(durable(stats_of(v)), durable(engagements(v)), durable(moments(v, 1 * UNIT, 4 * UNIT)), deaths, death_offsets(v), float(UNIT))
-    return durable(out.withColumn("confidence", F.round("confidence", 3)))
+    return out.withColumn("confidence", F.round("confidence", 3))
 
 
 @query("suggestions", on_rounds("SELECT * FROM sug", *SUG_PARTS))

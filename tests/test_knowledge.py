@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -30,6 +32,24 @@ def test_long_text_overlaps_and_keeps_its_heading():
     assert all(len(g[2]) <= 260 for g in got) and all(g[2].endswith(".") for g in got[:-1])
 
 
+def test_spans_match_a_character_scan():
+    rnd = random.Random(5)
+    for _ in range(40):
+        text = "".join(rnd.choice(["a", "b", " ", ". ", "\n", "。", "word "]) for _ in range(rnd.randrange(5, 400)))
+        want, at = [], 0
+        while True:
+            stop = min(len(text), at + 50)
+            if stop < len(text):
+                breaks = [i for i in range(at, stop) if text[i] in "。\n" or (text[i:i + 2] == ". " and i + 2 <= stop)]
+                if breaks and breaks[-1] > at + 25:
+                    stop = breaks[-1] + 1
+            want.append(text[at:stop].strip())
+            if stop >= len(text):
+                break
+            at = max(at + 1, stop - 12)
+        assert [w for w in kn.windows(text, 50, 12) if w] == [w for w in want if w]
+
+
 def test_short_tail_merges_and_leaves_an_index_gap():
     body = "word " * 60
     got = kn.passages(f"{body}\n\n{body}\n\ntail\n\n# Next\n\nmore text that is long enough to stand alone here", "\n\n", 301, 40, 40)
