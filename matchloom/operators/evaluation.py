@@ -31,25 +31,28 @@ def score_cases(results: DataFrame, cases: DataFrame, key: str = "case_id") -> D
     Eleven checks always apply; expected failure counts and the output language
     add theirs when the case asks for them.
     """
-    j = results.join(cases, key)
     precision, recall = tool_scores(F.col("tools"), F.col("allowed_tools"), F.col("required_tools"))
-    cover = citation_coverage(F.col("cited"), F.col("generated"), F.col("require_citations"))
+    # scores are columns of their own, so the checks below read them instead of recomputing them
+    j = results.join(cases, key).select(
+        "*", precision.alias("tool_precision"), recall.alias("tool_recall"),
+        citation_coverage(F.col("cited"), F.col("generated"), F.col("require_citations")).alias("citation_coverage"),
+        F.lower("output").alias("_text"))
     same = lambda a, b: F.equal_null(F.col(a), F.col(b))
-    forbidden = F.exists("forbidden_patterns", lambda p: F.contains(F.lower(F.col("output")), F.lower(p)))
-    language = (F.when(F.col("expected_language") == "zh-CN", tx.han_count(F.col("output")) >= 4)
-                .when(F.col("expected_language") == "en", tx.latin_count(F.col("output")) >= 12))
+    forbidden = F.exists("forbidden_patterns", lambda p: F.contains(F.col("_text"), F.lower(p)))
+    language = (F.when(F.col("expected_language") == "zh-CN", tx.han_count(F.col("_text")) >= 4)
+                .when(F.col("expected_language") == "en", tx.latin_count(F.col("_text")) >= 12))
     checks = [
         ("mode", same("mode", "expected_mode")),
         ("fallback_reason", same("fallback_reason", "expected_fallback_reason")),
         ("stop_reason", same("stop_reason", "expected_stop_reason")),
-        ("required_tools", recall == 1.0),
-        ("allowed_tools", precision == 1.0),
+        ("required_tools", F.col("tool_recall") == 1.0),
+        ("allowed_tools", F.col("tool_precision") == 1.0),
         ("tool_call_budget", F.col("tool_calls").between(F.col("min_tool_calls"), F.col("max_tool_calls"))),
         ("tool_failures", F.when(F.col("expected_tool_failures").isNotNull(), F.col("tool_failures") == F.col("expected_tool_failures"))),
         ("invalid_arguments", F.when(F.col("expected_invalid_arguments").isNotNull(), F.col("invalid_arguments") == F.col("expected_invalid_arguments"))),
         ("accepted_enrichments", F.col("accepted") >= F.col("min_accepted")),
         ("rejected_enrichments", F.col("rejected") >= F.col("min_rejected")),
-        ("citations", ~F.col("require_citations") | (cover == 1.0)),
+        ("citations", ~F.col("require_citations") | (F.col("citation_coverage") == 1.0)),
         ("llm_call_state", (F.col("llm_calls") > 0) == F.col("expect_llm_called")),
         ("forbidden_output", ~forbidden),
         ("output_language", language),
@@ -58,7 +61,7 @@ def score_cases(results: DataFrame, cases: DataFrame, key: str = "case_id") -> D
     entries = F.filter(entries, lambda e: e["ok"].isNotNull())
     out = j.withColumn("_checks", entries).select(
         *results.columns, "tags", "require_citations", "expected_stop_reason",
-        precision.alias("tool_precision"), recall.alias("tool_recall"), cover.alias("citation_coverage"),
+        "tool_precision", "tool_recall", "citation_coverage",
         F.map_from_entries("_checks").alias("checks"), F.forall("_checks", lambda e: e["ok"]).alias("passed"),
         F.transform(F.filter("_checks", lambda e: ~e["ok"]), lambda e: e["name"]).alias("failures"))
     return out

@@ -93,6 +93,18 @@ def refinement_triggers(samples: DataFrame, key, order, block, flags: Sequence[s
     return seen.filter(any_flag).drop("_was")
 
 
+def refinement_windows(
+    samples: DataFrame, detections: DataFrame | None, key, order, block, t: str, flags: Sequence[str], health: str,
+    width, before, after, gap, duration: Column | None = None,
+) -> DataFrame:
+    """Merged high-rate windows around triggers and around samples with detections."""
+    marks = refinement_triggers(samples, key, order, block, flags, health).select(*key, t)
+    if detections is not None:
+        marks = marks.unionByName(detections.select(*key, t))
+    spans = marks.select(*key, (F.col(t) - before).alias("_from"), (F.col(t) + after).alias("_to"))
+    return union_intervals(spans, key, "_from", "_to", width, gap, duration)
+
+
 def rising_edges(df: DataFrame, key, order, block, flag: Column) -> DataFrame:
     """Rows where the flag turns true."""
     f = F.coalesce(flag, F.lit(False))

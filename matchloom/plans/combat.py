@@ -276,7 +276,7 @@ def iou_pairs(v: View):
     cols = [c for c in a.columns if c != "frame"]
     c = a.select("frame", *[F.col(x).alias("c_" + x) for x in cols])
     box_a, box_c = ["x1", "y1", "x2", "y2"], ["c_x1", "c_y1", "c_x2", "c_y2"]
-    pairs = box_pairs(a, c, ["frame"], box_a, box_c, 150.0)
+    pairs = box_pairs(a, c, ["frame"], box_a, box_c, 500.0)
     ident = ["no", "part", "supp", "price"]
     pairs = pairs.filter(F.struct(*ident) < F.struct(*[F.col("c_" + x).alias(x) for x in ident])).withColumn("iou", iou(box_a, box_c))
     return pairs.filter("iou >= .3").groupBy("frame").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max("iou"), 4).alias("best"))

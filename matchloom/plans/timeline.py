@@ -116,7 +116,7 @@ def interval_union(v: View):
 
 
 TRIG = """tr AS (SELECT video_id, t FROM (SELECT *, lag(health) OVER (PARTITION BY video_id ORDER BY t, seq) AS was FROM smp)
-  WHERE shot OR damage OR (coalesce(was, false) AND NOT health)),
+  WHERE shot OR damage OR (coalesce(was, false) AND NOT health) UNION ALL SELECT video_id, t FROM smp WHERE type = 'engagement_candidate' AND k % 25 = 0),
 w0 AS (SELECT video_id, t - 2*3600000000 AS s0, max(t + 4*3600000000) AS e0 FROM tr GROUP BY video_id, t),
 w1 AS (SELECT *, max(e0) OVER (PARTITION BY video_id ORDER BY s0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w0),
 w2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR s0 > reach + 2700000000 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY s0 ROWS UNBOUNDED PRECEDING) AS g FROM w1),
@@ -124,9 +124,9 @@ win AS (SELECT video_id, CAST(g AS BIGINT) AS "window", min(s0) AS "start", max(
 
 
 def refinement_windows_of(v: View):
-    trig = ss.refinement_triggers(v.samples(), KEY, ORDER, v.block, ["shot", "damage"], "health")
-    iv = trig.select("video_id", (F.col("t") - 2 * HOUR).alias("s0"), (F.col("t") + 4 * HOUR).alias("e0"))
-    return ss.union_intervals(iv, KEY, "s0", "e0", v.width, HOUR * 3 // 4)
+    seen = v.m.filter("type = 'engagement_candidate' AND k % 25 = 0")
+    return ss.refinement_windows(v.samples(), seen, KEY, ORDER, v.block, "t", ["shot", "damage"], "health", v.width,
+                                 2 * HOUR, 4 * HOUR, HOUR * 3 // 4)
 
 
 @query("refinement_windows", on_events("SELECT * FROM win", S.format("m"), TRIG))
