@@ -21,6 +21,9 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+ROWS_PER_TASK = 100_000
+
+
 def durable_folder(spark) -> str:
     """The shared checkpoint folder of the session; a local one only where none is set."""
     sc = spark.sparkContext
@@ -90,7 +93,9 @@ def run_blocks(
     key, order, spot = list(key), list(order), [*key, "blk_id"]
     rows = durable(df.withColumn("blk_id", block))
     spark = df.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # small inputs do not need every shuffle partition; large ones get them all
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(most, max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK)))
     out_type = T.StructType.fromDDL(kernel.schema)
     fields = out_type.fieldNames()
     schema = T.StructType(

@@ -257,7 +257,7 @@ def tolerance_running_mean(v: View):
 def boxes(v: View):
     """Lines as detections: the order is the frame, the box comes from the numbers."""
     q, d = F.col("l_quantity") * 10, F.col("l_discount") * 1000
-    return v.table("lineitem").select(
+    return v.spread("lineitem").select(
         F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
         F.col("l_returnflag").alias("label"), F.col("l_extendedprice").alias("price"), q.alias("x1"), d.alias("y1"),
         (q + 60 + F.col("l_tax") * 1000).alias("x2"), (d + 60 + F.col("l_linenumber") * 10).alias("y2"))

@@ -170,7 +170,7 @@ def cases(v: View):
 
 def trials(v: View):
     k = F.col("o_orderkey")
-    return v.table("orders").select(
+    return v.spread("orders").select(
         F.col("o_custkey").alias("case_id"), k.alias("trial"), F.when(k % 2 == 0, "agent_llm").otherwise("rules").alias("mode"), F.when(k % 5 == 0, "stale").alias("fallback_reason"),
         F.when(k % 2 == 0, "completed").alias("stop_reason"), F.when(k % 4 == 0, F.array(F.lit("search"), F.lit("overview"))).when(k % 4 == 1, F.array(F.lit("events"))).otherwise(
             F.array().cast("array<string>")).alias("tools"), (k % 4).cast("int").alias("tool_calls"), (k % 3 % 2).cast("int").alias("tool_failures"), (k % 7 % 2).cast("int").alias("invalid_arguments"),

@@ -13,7 +13,7 @@ VOCABULARY = ("the", "tion", "er", "en", "ou", "le", "ung", "ción")  # fixed va
 
 
 def docs(v: View):
-    return v.texts().select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("content"))
+    return v.spread("documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("content"))
 
 
 @query("chunk_fixed", """
@@ -52,7 +52,7 @@ def layered(v: View):
     heading = F.when(i % 3 == 0, F.concat((i % 100).cast("string"), F.when(i % 2 == 0, ". Part").otherwise(".1 Part")))
     n = i % 7
     tail = F.when(n == 1, " retake").when(n == 2, " defuse").when(n == 3, " 价格").when(n == 4, " loss bonus clutch").otherwise("")
-    d = v.texts().select("doc_id", kn.infer_layer(heading, F.concat(F.lower("text"), tail)).alias("inferred"))
+    d = v.spread("documents").select("doc_id", kn.infer_layer(heading, F.concat(F.lower("text"), tail)).alias("inferred"))
     explicit = F.when(i % 11 == 0, "game_rules").when(i % 13 == 0, "not_a_layer")
     sensitive = F.when(i % 17 == 0, "Yes").when(i % 19 == 0, "false")
     strength = F.when(i % 5 == 0, "strategic_principle").when(i % 23 == 0, "bogus")
@@ -102,7 +102,7 @@ def normalised_vectors(v: View):
 
 @query("term_embedding", "WITH c AS (SELECT doc_id, [" + ", ".join(f"(length(lower(text)) - length(replace(lower(text), '{t}', ''))) / {len(t)}.0" for t in VOCABULARY) + "]::DOUBLE[] AS v FROM documents), n AS (SELECT doc_id, v, sqrt(list_inner_product(v, v)) AS n FROM c) SELECT doc_id, round(CASE WHEN n > 0 THEN v[1] / n ELSE 0 END, 4) AS x0, round(CASE WHEN n > 0 THEN v[3] / n ELSE 0 END, 4) AS x2 FROM n")
 def term_embedding(v: View):
-    d = kn.embed_terms(v.texts().select("doc_id", "text"), "text", VOCABULARY, "u")
+    d = kn.embed_terms(v.spread("documents").select("doc_id", "text"), "text", VOCABULARY, "u")
     return d.select("doc_id", F.round(F.col("u")[0], 4).alias("x0"), F.round(F.col("u")[2], 4).alias("x2"))
 
 

@@ -40,8 +40,8 @@ class View:
     def table(self, name: str) -> DataFrame:
         return tables.table(self.spark, self.dir, name)
 
-    def texts(self, name: str = "documents") -> DataFrame:
-        """A text table with enough splits for per-document work."""
+    def spread(self, name: str) -> DataFrame:
+        """A table with enough splits for heavy per-row work."""
         return tables.spread(self.table(name))
 
     @cached_property

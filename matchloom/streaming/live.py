@@ -10,6 +10,7 @@ import json
 import uuid
 from collections import namedtuple
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -26,6 +27,22 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """At most two state partitions per core for a query started inside.
+
+    A query copies the session's settings when it starts; more state stores than
+    that only add overhead, and a large cluster keeps its own setting.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run the stream over what is available and return the written result.
 
@@ -40,8 +57,9 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         target = f"{base}/out" if complete else f"{base}/out/batch={number}"
         batch.write.mode("overwrite").parquet(target)
 
-    query = (stream.writeStream.outputMode(mode).foreachBatch(write)
-             .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+    with state_partitions(spark):
+        query = (stream.writeStream.outputMode(mode).foreachBatch(write)
+                 .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     query.awaitTermination()
     result = spark.read.schema(stream.schema).parquet(f"{base}/out" if complete else f"{base}/out/*")
     return result
