@@ -9,7 +9,7 @@ from matchloom.operators import context as cx
 from matchloom.operators import quality as q
 from matchloom.operators.blocks import durable
 from matchloom.operators.coaching import field_lists
-from matchloom.plans.registry import HOUR, KEY, ORDER, S, View, on_events, on_rounds, query
+from matchloom.plans.registry import KEY, ORDER, S, View, on_events, on_rounds, query
 
 ROUND = ["video_id", "rid"]
 WEAPONS = ["rifle", "smg", "pistol", "sniper", "c4", "shotgun", "knife"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import scoring, text as tx
 from matchloom.operators import knowledge as kn
 from matchloom.operators.blocks import durable
-from matchloom.plans.registry import View, on_events, on_rounds, query
+from matchloom.plans.registry import View, on_rounds, query
 
 VOCABULARY = ("the", "tion", "er", "en", "ou", "le", "ung", "ción")  # fixed values
 
