@@ -38,7 +38,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 
     Sharing the excess again and again ends where every source has the least of
     its cap and weight x level. With sources by cap / weight, the level is that of
-    the first one that stays below its cap when all before it are capped.
+    the first one that stays below its cap when all before it are capped; further on it only falls.
     """
     everything = W.partitionBy()
     by_name = everything.orderBy("nul", "src")
@@ -50,7 +50,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     after = by_ratio.rowsBetween(0, W.unboundedFollowing)
     x = x.withColumn("budget", F.lit(share) * F.sum("source_size").over(everything))
     x = x.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    final = F.min(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(everything)
+    final = F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(everything)
     x = x.withColumn("final", final)
     target = F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("final")))
     return x.select("src", "nul", "source_size", target.alias("target"))

@@ -30,13 +30,13 @@ WITH RECURSIVE s AS (SELECT i, printf('shard-%04d', i) AS name FROM range({shard
 h AS (SELECT i, name, CAST('0x' || substr(md5('offset:' || name), 1, 8) AS BIGINT) % {_SLOTS} AS o,
   CAST('0x' || substr(md5('skip:' || name), 1, 8) AS BIGINT) % {_SLOTS - 1} + 1 AS k FROM s),
 claims AS (
-  SELECT 0 AS turn, CAST(NULL AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS i, list_transform(range({_SLOTS}), x -> false) AS used,
-    (SELECT list(o ORDER BY i) FROM h) AS o, (SELECT list(k ORDER BY i) FROM h) AS k, list_transform(range({sharding.SHARDS}), x -> 0) AS nxt
+  SELECT 0 AS turn, CAST(NULL AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS i, list_transform(range({_SLOTS}), lambda x: false) AS used,
+    (SELECT list(o ORDER BY i) FROM h) AS o, (SELECT list(k ORDER BY i) FROM h) AS k, list_transform(range({sharding.SHARDS}), lambda x: 0) AS nxt
   UNION ALL
-  SELECT turn + 1, slot, i, list_transform(used, (u, p) -> u OR p = slot + 1), o, k, list_transform(nxt, (v, p) -> CASE WHEN p = i + 1 THEN j + 1 ELSE v END)
+  SELECT turn + 1, slot, i, list_transform(used, lambda u, p: u OR p = slot + 1), o, k, list_transform(nxt, lambda v, p: CASE WHEN p = i + 1 THEN j + 1 ELSE v END)
   FROM (SELECT *, (o[i + 1] + j * k[i + 1]) % {_SLOTS} AS slot FROM (
     SELECT turn, used, o, k, nxt, turn % {sharding.SHARDS} AS i,
-      list_filter(range(nxt[turn % {sharding.SHARDS} + 1], {_SLOTS}), j -> NOT used[(o[turn % {sharding.SHARDS} + 1] + j * k[turn % {sharding.SHARDS} + 1]) % {_SLOTS} + 1])[1] AS j
+      list_filter(range(nxt[turn % {sharding.SHARDS} + 1], {_SLOTS}), lambda j: NOT used[(o[turn % {sharding.SHARDS} + 1] + j * k[turn % {sharding.SHARDS} + 1]) % {_SLOTS} + 1])[1] AS j
     FROM claims WHERE turn < {_SLOTS})))
 SELECT d.doc_id, CAST(c.slot AS INTEGER) AS slot, printf('shard-%04d', c.i) AS shard
 FROM documents d JOIN claims c ON c.slot = CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {_SLOTS}
@@ -58,7 +58,7 @@ g AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY nul, src) - 1) % 3 +
   1.5::DOUBLE * sum(source_size) OVER () AS budget FROM t),
 v AS (SELECT *, cap / weight AS ratio, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, nul, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY cap / weight, nul, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM g),
-l AS (SELECT *, min(CASE WHEN ratio > level THEN level END) OVER () AS final FROM v),
+l AS (SELECT *, max(CASE WHEN ratio > level THEN level END) OVER () AS final FROM v),
 q AS (SELECT src, nul, source_size, CASE WHEN final IS NULL THEN cap ELSE least(cap, weight * final) END AS target,
   CAST('0x' || substr(md5('{mixing.SEED}:' || src), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM l),
 n AS (SELECT w.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
