@@ -28,7 +28,7 @@ SHINGLE = 3
 BITS = 2
 #: Fingerprints from which the tree is built, and the size of a shard that it aims at.
 SAMPLE = 20_000
-SHARD = 2_048
+SHARD = 8_192
 DEEPEST = 12
 #: Shingles hashed at a time, and pairs compared at a time.
 SLICE = 1 << 16
