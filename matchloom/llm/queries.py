@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import mixing, packing, secret_scan, sharding, simhash, toxicity
+from matchloom.llm import mixing, packing, quality, secret_scan, sharding, simhash, toxicity
 from matchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ FROM documents d JOIN claims c ON c.slot = CAST('0x' || substr(md5(coalesce(CAST
 """
 
 
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
