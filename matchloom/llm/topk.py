@@ -109,8 +109,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("m"), F.max(size).alias("size"), F.max(F.size("vector")).alias("dims")).first()
     blocks, slices = max(SPREAD, -(-facts.n // CANDIDATES)), max(1, -(-facts.m // QUERIES))
     most = min(LONG // 4, int((facts.size or 0) ** 2 * (facts.dims or 0)) + 1)
-    # dealt by another key than the result's, and each copy of a block is a group
-    there = rows.withColumn("cb", F.pmod(F.xxhash64("rid"), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("qb", F.col("qb").cast("long"))
+    there = rows.toDF(*rows.columns).withColumn("cb", F.pmod(F.xxhash64("rid"), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("qb", F.col("qb").cast("long"))
     asked = rows.filter(F.col("vec_id") % every == 0).withColumn("qb", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(slices)))
     state = asked.select("rid", F.lit(-most).cast("long").alias("low"), F.lit(most + 1).cast("long").alias("high"), F.lit(k).cast("long").alias("missing"))
     asked = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cb", F.col("cb").cast("long")).withColumnRenamed("vec_id", "query_id")
