@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import mixing, neighbours, packing, quality, secret_scan, sharding, simhash, topk, toxicity
+from matchloom.llm import mixing, neighbours, packing, quality, secret_scan, sharding, simhash, suffixes, topk, toxicity
 from matchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ mixing AS (SELECT *, CAST(floor(rate * place + u) - floor(rate * (place - 1) + u
 
 ORACLE["op9_mixing"] = f"""WITH {mixing_sql('documents')}
 SELECT doc_id, size, source, source_size, target, copies, copies * size AS taken FROM mixing"""
+
+
+@query
+def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated(table(spark, folder, "documents"))
