@@ -40,8 +40,9 @@ STRINGS = 800
 LANDMARKS = 160
 NEGATIVES = 6_000
 ROUNDS = 3
-#: Least that the best run of a string must tell (see fit) for the string to count as an insult.
+#: Least that the third-best run of a string must tell (see fit) for the string to count as an insult.
 LEAST_TOLD = 15.0
+SURELY_TOLD = 100.0
 CUT = 0.3
 CACHE = 500_000
 #: Look-alikes within words, as text: fixed values.
@@ -208,7 +209,8 @@ def spread(strings: list[str], n: int) -> list[str]:
 
 
 def runs(s: str) -> set[str]:
-    return {s[i:i + 4] for i in range(len(s) - 3)} or {s}
+    """Runs of four characters, and longer beginnings of a word."""
+    return {s[i:i + 4] for i in range(len(s) - 3)} | {s[:n] for n in range(5, min(9, len(s)) if s[0] == "^" else 0)} or {s}
 
 
 def fit(docs: list[tuple[int, list[str]]]) -> Machine | None:
@@ -221,16 +223,17 @@ def fit(docs: list[tuple[int, list[str]]]) -> Machine | None:
         often[y].update(set().union(*map(runs, strings)) if strings else ())
     # how much a character run tells: documents with it, times the log of how much more frequent it is in toxic ones
     telling = {r: n * max(0.0, np.log((n + 0.5) / (len(toxic) + 1)) - np.log((often[0][r] + 0.5) / (len(clean) + 1))) for r, n in often[1].items() if n > 1}
-    worth = lambda s: max(telling.get(r, 0.0) for r in runs(s))
-    witnesses = Counter()
+    # three runs of a string have to tell, for one may be part of common words
+    worth = lambda s: sorted(telling.get(r, 0.0) for r in runs(s))[-3:][0]
+    witnesses, certain = Counter(), set()
     for strings in toxic:
         values = {s: worth(s) for s in strings}
         most = max(values.values(), default=0.0)
         witnesses.update(s for s, v in values.items() if v >= LEAST_TOLD and v >= most / 4)
-    # only strings that are rare in clean documents themselves, and that several documents share; in tiny sets all
+        certain.update(s for s, v in values.items() if v >= SURELY_TOLD)
+    # only strings that are rare in clean documents themselves, and that several documents share unless they tell a lot
     elsewhere = Counter(s for strings in clean for s in set(strings) if s in witnesses)
-    witnesses = Counter({s: n for s, n in witnesses.items() if n * len(clean) > 10 * elsewhere[s] * len(toxic)})
-    witnesses = Counter({s: n for s, n in witnesses.items() if n > 2}) or witnesses
+    witnesses = Counter({s: n for s, n in witnesses.items() if n * len(clean) > 10 * elsewhere[s] * len(toxic) and (n > 2 or s in certain)})
     if not witnesses:
         return None
     every = sorted(set().union(*map(set, clean)), key=lambda s: zlib.crc32(s.encode()))
@@ -238,7 +241,9 @@ def fit(docs: list[tuple[int, list[str]]]) -> Machine | None:
     if not every:
         return None
     positives = [s for s, _ in sorted(witnesses.items(), key=lambda x: (-x[1], x[0]))][:NEGATIVES // 4]
-    negatives, pool, machine = every[:NEGATIVES], every[:12 * NEGATIVES], None
+    negatives, machine = every[:NEGATIVES], None
+    alike = sorted(((s, worth(s)) for s in every), key=lambda x: -x[1])[:6 * NEGATIVES]  # clean strings that look like insults
+    pool = list(dict.fromkeys([*(s for s, v in alike if v > 0), *every[:6 * NEGATIVES]]))
     landmarks = spread(positives[:4 * LANDMARKS], 2 * LANDMARKS // 3) + spread(negatives[:4 * LANDMARKS], LANDMARKS // 3)
     for _ in range(ROUNDS):
         y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
