@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from matchloom.operators.context import fuzzy_label
+from matchloom.operators.context import label_ratios
 from matchloom.operators.knowledge import passages
 
 
@@ -18,6 +18,6 @@ class ChunkText:
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``chunk_text`` and ``fuzzy_label`` usable from SQL."""
+    """Make ``chunk_text`` and ``label_ratios`` usable from SQL."""
     spark.udtf.register("chunk_text", ChunkText)
-    spark.udf.register("fuzzy_label", fuzzy_label)
+    spark.udf.register("label_ratios", label_ratios)

@@ -25,10 +25,12 @@ ROWS_PER_TASK = 100_000
 
 
 def durable_folder(spark) -> str:
-    """The shared checkpoint folder of the session; a local one only where none is set."""
+    """The shared checkpoint folder of the session; on one machine a temporary one where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 

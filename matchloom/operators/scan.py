@@ -10,6 +10,7 @@ carries the running value from block to block and is joined back on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -169,6 +170,10 @@ def trailing(
     return out.filter(F.col("_home") == F.col("_chunk")).select(*df.columns, *aggs.keys())
 
 
+#: At this rate a chunk of the exponential baseline has about nine million rows.
+MOST_KEPT = 0.99999
+
+
 def ema(
     df: DataFrame,
     key: Sequence[str],
@@ -176,15 +181,19 @@ def ema(
     block: Column,
     values: Mapping[str, str],
     keep: float = 0.85,
-    chunk: int = 1024,
 ) -> DataFrame:
     """Exponential baseline *before* the current row; the first value seeds it.
 
     ``values`` maps an output name to an input column.  Inside a chunk the closed
     form ``keep^j * entry + (1-keep) * sum keep^(j-1-i) x_i`` is one running sum.
-    A chunk of 1024 rows scales older chunks by 0.85^1024 (about 1e-72), so the
-    two preceding chunks carry everything a double can hold.
+    The length of a chunk follows from ``keep``: a whole chunk scales what came before
+    it by about 1e-40, so two preceding chunks carry everything a double can hold and
+    no power overflows. ``keep`` has to lie in (0, 1); beyond MOST_KEPT a chunk would be
+    longer than a task should sort, and that is refused.
     """
+    if not 0 < keep <= MOST_KEPT:
+        raise ValueError(f"keep must be above 0 and at most {MOST_KEPT}, not {keep}")
+    chunk = max(2, math.ceil(-40 * math.log(10) / math.log(keep)))
     ranked = scan(df, key, order, block, rank="_rn")
     ranked = ranked.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk).cast("long")).withColumn(
         "_j", ((F.col("_rn") - 1) % chunk).cast("double"))

@@ -51,7 +51,7 @@ us AS (SELECT video_id, rid, string_agg(utility, ',' ORDER BY utility) AS utilit
 pv AS (SELECT ob.video_id, ob.rid, arg_min(ob.position, (t, seq)) AS position FROM ob JOIN (SELECT video_id, rid, position FROM ob WHERE position_conf >= .30 - 1e-9 GROUP BY ALL HAVING count(*) >= 2 OR bool_or(position_conf >= .60 - 1e-9)) g
    ON g.video_id = ob.video_id AND g.rid = ob.rid AND g.position = ob.position GROUP BY 1, 2),
 mp0 AS (SELECT video_id, coalesce(bool_or(position_conf >= .60 - 1e-9 AND position IN ('palace_interior','snipers_nest')), false) AS st,
-   count(DISTINCT CASE WHEN position_conf >= .60 - 1e-9 AND position IN ('underpass','apartments','t_ramp','shop','side_alley') THEN position END) AS sp FROM ob WHERE k % 13 < video_id % 13 GROUP BY 1),
+   count(DISTINCT CASE WHEN position_conf >= .60 - 1e-9 AND position IN ('underpass','apartments','t_ramp','shop','side_alley') THEN position END) AS sp FROM ob GROUP BY 1),
 mp AS (SELECT video_id, CASE WHEN st OR sp >= 2 THEN 'mirage' END AS map_name, CASE WHEN st THEN .95 WHEN sp >= 2 THEN .85 ELSE 0 END AS map_confidence FROM mp0),
 cxt AS (SELECT r.video_id, r.rid, sd.team AS player_side, round(share, 4) AS side_share, wm.weapon, us.utility, mp.map_name, pv.position AS map_position
    FROM r LEFT JOIN sd USING (video_id, rid) LEFT JOIN wm USING (video_id, rid) LEFT JOIN us USING (video_id, rid) LEFT JOIN pv USING (video_id, rid) LEFT JOIN mp USING (video_id))"""
@@ -76,8 +76,7 @@ def positions_of(obs):
 
 
 def map_of(obs):
-    narrowed = obs.filter(F.col("k") % 13 < F.col("video_id") % 13).withColumn("_c", F.col("position_conf") + 1e-9)
-    return cx.resolve_map(narrowed, KEY, "position", "_c")
+    return cx.resolve_map(obs.withColumn("_c", F.col("position_conf") + 1e-9), KEY, "position", "_c")
 
 
 def round_context_of(v: View):

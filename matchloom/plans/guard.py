@@ -59,10 +59,12 @@ def dynamic_sources_current(v: View):
     return v.table("orders").groupBy("o_custkey").agg(F.bool_and(ok).alias("current"))
 
 
+BIAS = "(" + " OR ".join("regexp_matches({0}, '" + p.replace("{", "{{").replace("}", "}}") + "')" for p in gd.OUTCOME_PATTERNS) + ")"
+
 # -- drafts: assistant turns; citations and hits are documents ----------------
 
 DRAFT = """nd AS (SELECT count(*) AS n FROM documents),
-dr AS (SELECT conv_id AS match_id, turn AS draft_no, turn // 3 AS sid, text || CASE WHEN turn % 4 = 1 THEN ' ' || turn ELSE '' END || CASE WHEN conv_id % 6 = 1 THEN ' never' ELSE '' END || CASE WHEN conv_id % 8 = 1 THEN ' rushed' ELSE '' END AS text,
+dr AS (SELECT conv_id AS match_id, turn AS draft_no, turn // 3 AS sid, text || CASE WHEN turn % 4 = 1 THEN ' ' || turn ELSE '' END || CASE WHEN conv_id % 6 = 1 THEN ' never' ELSE '' END || CASE WHEN conv_id % 8 = 1 THEN ' rushed' ELSE '' END || CASE WHEN turn % 5 = 1 THEN ' the result proves it was right' ELSE '' END AS text,
   'base 3' AS source_text, CASE WHEN conv_id % 10 = 3 THEN []::BIGINT[] ELSE list_distinct([conv_id * 3 + turn % 5, conv_id * 5]) END AS cites, conv_id % 2 = 0 AS context_known FROM conversations WHERE role = 'assistant'),
 kn AS (SELECT DISTINCT match_id, sid FROM dr WHERE match_id % 7 <> 0),
 hi AS (SELECT match_id, sid, unnest([match_id * 3 + 1, match_id * 3 + 3, match_id * 3, match_id * 5]) AS chunk_id FROM kn),
@@ -73,13 +75,14 @@ pc AS (SELECT ct.match_id, ct.draft_no, count(*) AS n, bool_and(hi.chunk_id IS N
   FROM ct LEFT JOIN (SELECT DISTINCT * FROM hi) hi ON hi.match_id = ct.match_id AND hi.sid = ct.sid AND hi.chunk_id = ct.chunk_id LEFT JOIN ck ON ck.chunk_id = ct.chunk_id GROUP BY 1, 2),
 jd AS (SELECT dr.match_id, dr.draft_no, dr.sid, CASE WHEN fs.draft_no IS NULL THEN 'unknown_or_repeated' WHEN coalesce(pc.n, 0) = 0 THEN 'no_citation' WHEN NOT own THEN 'foreign_citation'
   WHEN len(list_filter(""" + NUM.format("text") + """, lambda x: NOT list_contains(list_concat(pc.nums, ['3']), x))) > 0 THEN 'unsupported_number'
-  WHEN NOT context_known AND """ + any_sql(gd.PACE_TERMS, "lower(text)") + " THEN 'context_gate' WHEN NOT hard AND " + any_sql(gd.ABSOLUTE_TERMS, "lower(text)") + """ THEN 'rule_strength' WHEN NOT cur THEN 'stale_source' END AS reason
+  WHEN NOT context_known AND """ + any_sql(gd.PACE_TERMS, "lower(text)") + " THEN 'context_gate' WHEN NOT hard AND " + any_sql(gd.ABSOLUTE_TERMS, "lower(text)") + """ THEN 'rule_strength' WHEN """ + BIAS.format("lower(text)") + """ THEN 'outcome_bias' WHEN NOT cur THEN 'stale_source' END AS reason
   FROM dr LEFT JOIN fs ON fs.match_id = dr.match_id AND fs.draft_no = dr.draft_no LEFT JOIN pc ON pc.match_id = dr.match_id AND pc.draft_no = dr.draft_no)"""
 
 
 def judged(v: View):
     c, t = F.col("conv_id"), F.col("turn")
-    text = F.concat("text", F.when(t % 4 == 1, F.concat(F.lit(" "), t.cast("string"))).otherwise(""), F.when(c % 6 == 1, " never").otherwise(""), F.when(c % 8 == 1, " rushed").otherwise(""))
+    text = F.concat("text", F.when(t % 4 == 1, F.concat(F.lit(" "), t.cast("string"))).otherwise(""), F.when(c % 6 == 1, " never").otherwise(""), F.when(c % 8 == 1, " rushed").otherwise(""),
+                    F.when(t % 5 == 1, " the result proves it was right").otherwise(""))
     drafts = v.table("conversations").filter("role = 'assistant'").select(
         c.alias("match_id"), t.alias("draft_no"), F.floor(t / 3).cast("long").alias("sid"), text.alias("text"), F.lit("base 3").alias("source_text"),
         F.when(c % 10 == 3, F.array().cast("array<bigint>")).otherwise(F.array(c * 3 + t % 5, c * 5)).alias("citations"), (c % 2 == 0).alias("context_known"))
@@ -104,23 +107,23 @@ def draft_totals(v: View):
     return gd.draft_totals(j, summary)
 
 
-SUMM = """sv AS (SELECT conv_id AS match_id, text || CASE WHEN conv_id % 3 = 0 THEN ' ' || conv_id % 7 ELSE '' END || CASE WHEN conv_id % 4 = 0 THEN ' always' ELSE '' END AS text,
-  CASE WHEN conv_id % 9 = 0 THEN []::BIGINT[] ELSE [conv_id, conv_id + 1 + 4 * (CASE WHEN conv_id % 8 = 7 THEN 1 ELSE 0 END)] END AS cites FROM conversations WHERE turn = 0),
-sh AS (SELECT match_id, unnest([match_id, match_id + 1, match_id + 2]) AS chunk_id FROM sv),
+SUMM = """sv AS (SELECT conv_id * 1000 + turn AS match_id, conv_id, text || CASE WHEN conv_id % 3 = 0 THEN ' ' || conv_id % 7 ELSE '' END || CASE WHEN conv_id % 4 = 0 THEN ' always' ELSE '' END || CASE WHEN turn % 7 = 3 THEN ' Because you won it was correct' ELSE '' END AS text,
+  CASE WHEN conv_id % 9 = 0 THEN []::BIGINT[] ELSE [conv_id, conv_id + 1 + 4 * (CASE WHEN conv_id % 8 = 7 THEN 1 ELSE 0 END)] END AS cites FROM conversations),
+sh AS (SELECT match_id, unnest([conv_id, conv_id + 1, conv_id + 2]) AS chunk_id FROM sv),
 sk AS (SELECT doc_id AS chunk_id, """ + NUM.format("text") + """ AS nums, doc_id % 3 = 0 AS hard, doc_id % 11 <> 0 AS current FROM documents),
 so AS (SELECT match_id, sh.chunk_id, nums, hard, current FROM sh JOIN sk USING (chunk_id)),
 sa AS (SELECT match_id, flatten(list(nums)) AS nums FROM so GROUP BY 1),
 sc AS (SELECT c.match_id, bool_and(so.chunk_id IS NOT NULL) AS own, bool_or(coalesce(hard, false)) AS hard, bool_and(coalesce(current, false)) AS cur FROM (SELECT match_id, unnest(cites) AS chunk_id FROM sv) c LEFT JOIN so ON so.match_id = c.match_id AND so.chunk_id = c.chunk_id GROUP BY 1)"""
 
 
-@query("summary_gate", "WITH " + SUMM + " SELECT sv.match_id, coalesce(own, false) AND len(list_filter(" + NUM.format("text") + ", lambda x: x <> '3' AND NOT list_contains(coalesce(sa.nums, []), x))) = 0 AND NOT (NOT coalesce(hard, false) AND " + any_sql(gd.ABSOLUTE_TERMS, "lower(text)") + ") AND coalesce(cur, false) AS summary_ok FROM sv LEFT JOIN sa USING (match_id) LEFT JOIN sc USING (match_id)")
+@query("summary_gate", "WITH " + SUMM + " SELECT sv.match_id, coalesce(own, false) AND len(list_filter(" + NUM.format("text") + ", lambda x: x <> '3' AND NOT list_contains(coalesce(sa.nums, []), x))) = 0 AND NOT (NOT coalesce(hard, false) AND " + any_sql(gd.ABSOLUTE_TERMS, "lower(text)") + ") AND NOT " + BIAS.format("lower(text)") + " AND coalesce(cur, false) AS summary_ok FROM sv LEFT JOIN sa USING (match_id) LEFT JOIN sc USING (match_id)")
 def summary_gate(v: View):
     c = F.col("conv_id")
-    text = F.concat("text", F.when(c % 3 == 0, F.concat(F.lit(" "), (c % 7).cast("string"))).otherwise(""), F.when(c % 4 == 0, " always").otherwise(""))
+    text = F.concat("text", F.when(c % 3 == 0, F.concat(F.lit(" "), (c % 7).cast("string"))).otherwise(""), F.when(c % 4 == 0, " always").otherwise(""),
+                    F.when(F.col("turn") % 7 == 3, " Because you won it was correct").otherwise(""))
     cites = F.when(c % 9 == 0, F.array().cast("array<bigint>")).otherwise(F.array(c, c + F.when(c % 8 == 7, 5).otherwise(1)))
-    s = v.table("conversations").filter("turn = 0").select(c.alias("match_id"), text.alias("text"), F.lit("base 3").alias("source_text"), cites.alias("citations"))
-    m = F.col("match_id")
-    hits = s.select("match_id", F.explode(F.array(m, m + 1, m + 2)).alias("chunk_id"))
+    s = v.table("conversations").select((c * 1000 + F.col("turn")).alias("match_id"), c.alias("conv_id"), text.alias("text"), F.lit("base 3").alias("source_text"), cites.alias("citations"))
+    hits = s.select("match_id", F.explode(F.array(F.col("conv_id"), F.col("conv_id") + 1, F.col("conv_id") + 2)).alias("chunk_id"))
     i = F.col("doc_id")
     chunks = v.table("documents").select(i.alias("chunk_id"), F.col("text").alias("content"), (i % 3 == 0).alias("hard"), (i % 11 != 0).alias("current"))
     return gd.judge_summaries(s, hits, chunks)

@@ -21,10 +21,10 @@ def point_in_round(v: View):
 
 
 @query("point_in_round_closed", on_rounds("""
-SELECT m.video_id, m.seq, r.rid FROM m JOIN r ON r.video_id = m.video_id AND m.t >= r.s AND (r.e IS NULL OR m.t <= r.e) WHERE m.k < 10"""))
+SELECT m.video_id, m.seq, r.rid FROM m JOIN r ON r.video_id = m.video_id AND m.t >= r.s AND (r.e IS NULL OR m.t <= r.e)"""))
 def point_in_round_closed(v: View):
     rounds = v.rounds().select("video_id", "rid", "s", "e")
-    return interval_join(v.m.filter("k < 10"), rounds, KEY, "t", "s", "e", 12 * HOUR, "both", open_ended=True).select(
+    return interval_join(v.m, rounds, KEY, "t", "s", "e", 12 * HOUR, "both", open_ended=True).select(
         "video_id", "seq", "rid")
 
 
@@ -119,11 +119,11 @@ def engine_events(v: View):
     return v.attached().select(
         F.concat_ws("_", "type", F.col("seq").cast("string")).alias("event_id"), "video_id", "rid", "type", "t", "seq",
         (F.col("score") / 500).alias("confidence"),
-        F.when(F.col("k") % 2 == 0, "KillEventDetector.kill_feed").otherwise("NativeDetector.highlight").alias("source"))
+        F.when(F.col("k") % 2 == 0, "feed_rows").otherwise("highlight_scan").alias("source"))
 
 
 EV = """ev AS (SELECT type || '_' || seq AS event_id, video_id, rid, type, t, seq, score / 500 AS confidence,
-  CASE WHEN k % 2 = 0 THEN 'KillEventDetector.kill_feed' ELSE 'NativeDetector.highlight' END AS source FROM a),
+  CASE WHEN k % 2 = 0 THEN 'feed_rows' ELSE 'highlight_scan' END AS source FROM a),
 co AS (SELECT type || '_' || seq AS event_id, k % 3 <> 0 AS accepted FROM m WHERE k % 2 = 0),
 lab AS (SELECT CASE WHEN k % 4 = 0 THEN type || '_' || seq ELSE 'manual_' || type || '_' || seq END AS event_id, video_id,
    CAST(k % 9 AS BIGINT) AS rid, CASE WHEN k % 5 = 0 THEN 'keyframe' ELSE type END AS type, t, seq FROM m WHERE k % 7 = 1)"""

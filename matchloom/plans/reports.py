@@ -287,7 +287,7 @@ def timeline_flat(v: View):
     a = v.attached(last={"_s": F.when(F.col("type") == "round_start", F.col("t"))})
     s = F.coalesce(F.when(F.col("type") == "round_start", F.col("t")), F.col("_s"))
     ev = F.array(F.struct(F.floor(F.col("t") / 33333).alias("frame_index"), F.col("t").alias("timestamp"), F.when(
-        F.col("k") % 2 == 0, "KillEventDetector.kill_feed").otherwise("NativeDetector.highlight").alias("source"), F.lit(None).cast("string").alias("asset_path")))
+        F.col("k") % 2 == 0, "feed_rows").otherwise("highlight_scan").alias("source"), F.lit(None).cast("string").alias("asset_path")))
     rows = a.withColumn("evidence", F.transform(ev, lambda x: F.struct(x["frame_index"].alias("frame_index"), x["timestamp"].alias("timestamp"), x["source"].alias("source"))))
     return rows.select("video_id", "rid", F.format_string("round_%03d", "rid").alias("round_id"), "type",
                        F.round((F.col("t") - s) / HOUR, 2).alias("offset_hours"), F.col("evidence")[0]["frame_index"].alias("frame_index"), F.col("evidence")[0]["source"].alias("source"))
@@ -325,14 +325,14 @@ def frame_choice(v: View):
 
 @query("priority_fill", on_rounds("""
 , e1 AS (SELECT video_id, rid, t, seq, 0 AS tier FROM a WHERE type IN ('engagement_candidate', 'player_death') UNION ALL SELECT video_id, rid, t, seq, 1 FROM a WHERE type = 'round_start'),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY tier, rid, t, seq) AS p FROM e1) WHERE p <= 36),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY tier, rid, t, seq) AS p FROM e1) WHERE p <= 72),
 b AS (SELECT a.video_id, a.rid, a.t, a.seq, row_number() OVER (PARTITION BY a.video_id ORDER BY a.rid, a.t, a.seq) AS p FROM a JOIN r USING (video_id, rid) WHERE a.type IN ('player_kill','player_death') AND a.t - r.s > 12*3600000000),
 h AS (SELECT video_id, count(*) AS held FROM f GROUP BY 1)
 SELECT video_id, rid, seq, tier FROM f UNION ALL SELECT b.video_id, rid, seq, 2 FROM b LEFT JOIN h USING (video_id) WHERE p <= 40 - coalesce(held, 0)""".replace("\n, e1", ", e1", 1)))
 def priority_fill(v: View):
     a = v.attached(last={"_s": F.when(F.col("type") == "round_start", F.col("t"))})
     backlog = a.filter(F.col("type").isin("player_kill", "player_death") & (F.col("t") - F.col("_s") > 12 * HOUR))
-    return rp.priority_fill(a.filter(F.col("type").isin("engagement_candidate", "player_death")), a.filter("type = 'round_start'"), backlog, 36, 40).drop("t")
+    return rp.priority_fill(a.filter(F.col("type").isin("engagement_candidate", "player_death")), a.filter("type = 'round_start'"), backlog).drop("t")
 
 
 @query("first_n_per_round", on_rounds("""

@@ -104,13 +104,13 @@ def moments_top4(v: View):
 
 
 @query("interval_union", on_events("""
-, c AS (SELECT video_id, t - CAST(k AS BIGINT)*180000000 AS s0, t + CAST(k AS BIGINT)*360000000 AS e0 FROM m WHERE k > 10),
+, c AS (SELECT video_id, t - CAST(k AS BIGINT)*180000000 AS s0, t + CAST(k AS BIGINT)*360000000 AS e0 FROM m WHERE k > 0),
 p AS (SELECT *, max(e0) OVER (PARTITION BY video_id ORDER BY s0, e0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
 q AS (SELECT *, sum(CASE WHEN reach IS NULL OR s0 > reach + 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY s0, e0 ROWS UNBOUNDED PRECEDING) AS g FROM p)
 SELECT video_id, CAST(g AS BIGINT) AS "window", min(s0) AS "start", max(e0) AS "end" FROM q GROUP BY video_id, g""".replace("\n, c", ", c", 1)))
 def interval_union(v: View):
     k = F.col("k").cast("long")
-    iv = v.m.filter("k > 10").select("video_id", (F.col("t") - k * 180_000_000).alias("s0"),
+    iv = v.m.select("video_id", (F.col("t") - k * 180_000_000).alias("s0"),
                                      (F.col("t") + k * 360_000_000).alias("e0"))
     return ss.union_intervals(iv, KEY, "s0", "e0", v.width, 2 * HOUR)
 

@@ -70,16 +70,23 @@ def test_trailing_mean_crosses_chunks(spark):
             assert got[r[2]] == pytest.approx(sum(span) / len(span))
 
 
-def test_baseline_crosses_chunks(spark):
-    data = rows(300, seed=4)
+@pytest.mark.parametrize("keep", [.05, .5, .85, .999])
+def test_baseline_crosses_chunks(spark, keep):
+    data = rows(1500, seed=4)
     df = spark.createDataFrame(data, "k int, t int, seq int, v int, x int").withColumn("x", F.col("x").cast("double"))
-    got = ema(df, ["k"], ["t", "seq"], block_of("t", 100), {"b": "x"}, chunk=64)
+    got = ema(df, ["k"], ["t", "seq"], block_of("t", 100), {"b": "x"}, keep)
     got = {r.seq: r.b for r in got.collect()}
     for group in by_key(data).values():
         base = None
         for r in group:
             assert got[r[2]] == (None if base is None else pytest.approx(base, rel=1e-9, abs=1e-9))
-            base = float(r[4]) if base is None else base * .85 + r[4] * .15
+            base = float(r[4]) if base is None else base * keep + r[4] * (1 - keep)
+
+
+def test_baseline_refuses_rates_that_do_not_fit(spark):
+    for keep in (0, 1, 1.5, .9999999):
+        with pytest.raises(ValueError):
+            ema(spark.range(1), ["id"], ["id"], F.lit(0), {"b": "id"}, keep)
 
 
 def test_width_follows_the_densest_slot(spark):

@@ -56,4 +56,4 @@ def test_sql_functions(spark):
     spark.createDataFrame([("# T\n\nsome body text that is long enough to be its own chunk",)], "content string").createOrReplaceTempView("kdocs")
     rows = spark.sql("SELECT c.* FROM kdocs, LATERAL chunk_text(content, '\n\n') c").collect()
     assert [(r.chunk_index, r.heading) for r in rows] == [(0, "T")]
-    assert spark.sql("SELECT fuzzy_label('Catwlk').label AS l").first().l == "catwalk"
+    assert max(spark.sql("SELECT label_ratios('catwlk') AS r").first().r) > .9
