@@ -1,132 +1,205 @@
 """Structured Streaming twins of the batch operators.
 
 Event time is ``ts``; rows behind the watermark are dropped by Spark and counted
-in the query progress (``numRowsDroppedByWatermark``).
+in the query progress (``numRowsDroppedByWatermark``). Rows inside it are never
+dropped, in whatever order they come: a key holds them until the watermark has
+passed them and then takes them in order.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import uuid
 from collections import namedtuple
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from matchloom.operators.blocks import durable_folder
+from matchloom.operators.kernels import ScoreRounds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Most files in a micro-batch, so that no batch is the whole backlog.
+FILES_PER_BATCH = 64
+#: The last time that pandas can hold, by a margin.
+FOREVER = dt.datetime(2260, 1, 1)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table folder as a file stream."""
+    """A table as a file stream; the table is a file or a folder of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet*"))
 
 
-@contextmanager
-def state_partitions(spark: SparkSession):
-    """At most two state partitions per core for a query started inside.
+class Ending:
+    """A second source that stays empty until the stream ends, then brings one row of the last event time there is.
 
-    A query copies the session's settings when it starts; more state stores than
-    that only add overhead, and a large cluster keeps its own setting.
+    It is united with the stream before the watermark, which passes everything once
+    the row has come: what is open closes. The row has no key.
     """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path = spark, f"{durable_folder(spark)}/ending-{uuid.uuid4().hex}"
+        spark.createDataFrame([], "ts timestamp").write.parquet(self.path)
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run the stream over what is available and return the written result.
+    def join(self, stream: DataFrame) -> DataFrame:
+        last = self.spark.readStream.schema("ts timestamp").parquet(self.path)
+        return stream.unionByName(last, allowMissingColumns=True)
 
-    Each micro-batch goes to its own folder of the shared checkpoint location, so
-    a replayed batch overwrites itself; complete mode keeps only the last one.
+    def come(self) -> None:
+        self.spark.createDataFrame([(FOREVER,)], "ts timestamp").coalesce(1).write.mode("append").parquet(self.path)
+
+
+def drain(stream: DataFrame, mode: str = "append", ending: Ending | None = None, latest: Sequence[str] = ()) -> DataFrame:
+    """Run the stream over what is available, end it if it has an ending, and return the written result.
+
+    Each micro-batch goes to its own folder of the shared checkpoint location, so a
+    replayed batch overwrites itself. In update mode the last row of each ``latest``
+    key holds; the rows of the ending, which have no key, are left out.
     """
     spark = stream.sparkSession
     base = f"{durable_folder(spark)}/stream-{uuid.uuid4().hex}"
-    complete = mode == "complete"
 
     def write(batch: DataFrame, number: int) -> None:
-        target = f"{base}/out" if complete else f"{base}/out/batch={number}"
-        batch.write.mode("overwrite").parquet(target)
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    with state_partitions(spark):
+    def run() -> None:
         query = (stream.writeStream.outputMode(mode).foreachBatch(write)
                  .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
-    result = spark.read.schema(stream.schema).parquet(f"{base}/out" if complete else f"{base}/out/*")
-    return result
+        query.awaitTermination()
+
+    run()
+    if ending is not None:
+        ending.come()
+        run()
+    result = spark.read.schema(T.StructType([*stream.schema, T.StructField("_batch", T.IntegerType())])).parquet(f"{base}/out/*")
+    if latest:
+        row = F.max_by(F.struct(*stream.columns), "_batch").alias("r")
+        result = result.groupBy(*latest).agg(row).select("r.*")
+    return result.select(*stream.columns)
 
 
 class KernelProcessor(StatefulProcessor):
-    """Steps a batch kernel over each key's rows; the state is one JSON value.
+    """Steps a batch kernel over each key's rows in event-time order.
 
-    Rows of a micro-batch are taken in order; a row older than the last one
-    processed for its key is late and skipped.  An event-time timer ``idle``
-    milliseconds after the last row closes the kernel, so open results come out
-    once the watermark passes; in batch they come out at the end of the data.
+    Rows wait in list state until the watermark passes them; an event-time timer at the first one that waits lets go all
+    that the watermark has passed, sorted. ``idle`` milliseconds after the last row
+    that was taken the kernel closes and the key's state goes. What waits is bounded
+    by the watermark's delay, not by the stream.
     """
 
-    def __init__(self, kernel, key: Sequence[str], order: Sequence[str], columns: Sequence[str], schema: str,
-                 idle: int | None = None) -> None:
+    def __init__(self, kernel, key: Sequence[str], order: Sequence[str], columns: Sequence[str], schema: str, idle: int) -> None:
         self.kernel, self.key, self.order = kernel, list(key), list(order)
         self.columns, self.names, self.idle = list(columns), T.StructType.fromDDL(schema).fieldNames(), idle
+        self.places = [self.columns.index(c) for c in self.order]
+        self.time = self.columns.index("event_us")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("kernel", "state string, last string, at bigint")
+        self.state = handle.getValueState("kernel", "state string, at bigint")
+        self.waiting = handle.getListState("waiting", "row string")
 
     def _frame(self, key, rows) -> pd.DataFrame:
         return pd.DataFrame([(*key, *r) for r in rows], columns=[*self.key, *self.names])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _take(self, key, watermark: int, finished: bool) -> list:
+        """Step over the waiting rows that the watermark has passed; set the next timer."""
+        rows = [json.loads(r[0]) for r in self.waiting.get()]
+        passed = sorted((r for r in rows if r[self.time] <= watermark * 1000), key=lambda r: [r[i] for i in self.places])
         held = self.state.get()
-        state = json.loads(held[0]) if held else self.kernel.fresh()
-        last = tuple(json.loads(held[1])) if held else None
-        Row = namedtuple("Row", self.columns)
-        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        out = []
-        for values in zip(*[frame[c].tolist() for c in self.columns]):
-            row = Row(*values)
-            spot = tuple(getattr(row, c) for c in self.order)
-            if last is not None and spot < last:
-                continue
-            last = spot
-            out.extend(self.kernel.step(state, row))
-        at = int(last[0]) // 1000
-        if self.idle is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+        out, at = [], held[1] if held else None
+        if passed:
+            state = json.loads(held[0]) if held else self.kernel.fresh()
+            Row = namedtuple("Row", self.columns)
+            for r in passed:
+                out.extend(self.kernel.step(state, Row(*r)))
+            at = passed[-1][self.time] // 1000
+            rows = [r for r in rows if r[self.time] > watermark * 1000]
+            self.waiting.put([(json.dumps(r),) for r in rows]) if rows else self.waiting.clear()
+            held = (json.dumps(state), at)
+            self.state.update(held)
+        if finished and not rows and held and at + self.idle <= watermark:
+            out.extend(self.kernel.close(json.loads(held[0])))
+            self.state.clear()
+            return out
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rows:
+            self.handle.registerTimer(max(watermark, -(-min(r[self.time] for r in rows) // 1000)) + 1)
+        elif held:
             self.handle.registerTimer(at + self.idle)
-        self.state.update((json.dumps(state), json.dumps(list(last)), at))
-        yield self._frame(key, out)
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None or key[0] != key[0]:  # the ending
+            for _ in rows:
+                pass
+            return
+        for part in rows:
+            exact = part.astype({c: "int64" for c in (*self.order, "event_us")})  # a batch with nulls elsewhere holds floats
+            values = zip(*[exact[c].tolist() for c in self.columns])
+            self.waiting.appendList([(json.dumps(v),) for v in values])
+        yield self._frame(key, self._take(key, timerValues.getCurrentWatermarkInMs(), False))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        out = self.kernel.close(json.loads(held[0])) if held else []
-        self.state.clear()
-        yield self._frame(key, out)
+        yield self._frame(key, self._take(key, timerValues.getCurrentWatermarkInMs(), True))
 
     def close(self) -> None:
         pass
 
 
-def run_kernel(stream: DataFrame, key: Sequence[str], order: Sequence[str], kernel, idle: int | None = None) -> DataFrame:
-    """Apply a kernel to a keyed stream (``idle`` needs a watermark)."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def run_kernel(stream: DataFrame, key: Sequence[str], order: Sequence[str], kernel, idle: int) -> DataFrame:
+    """Apply a kernel to a keyed stream with a watermark; its state store has to be RocksDB (``with_state_store``)."""
     fields = list(T.StructType.fromDDL(kernel.schema))
     schema = T.StructType([stream.schema[c] for c in key] + fields)
+    stream = stream.withColumn("event_us", F.unix_micros("ts"))
     columns = [c for c in stream.columns if c != "ts"]
     processor = KernelProcessor(kernel, key, order, columns, kernel.schema, idle)
-    return stream.groupBy(*key).transformWithStateInPandas(
-        processor, schema, "append", "EventTime" if idle is not None else "None")
+    return stream.groupBy(*key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def with_state_store(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store that kernels need; the caller's session stays as it is."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return own
+
+
+class Smoothed:
+    """Hands a kernel the mean of the last ``n`` readings of one column instead of the reading."""
+
+    def __init__(self, inner, column: str, n: int) -> None:
+        self.inner, self.column, self.n, self.schema = inner, column, n, inner.schema
+
+    def fresh(self):
+        return {"inner": self.inner.fresh(), "recent": []}
+
+    def step(self, s, row):
+        s["recent"] = [*s["recent"], getattr(row, self.column)][-self.n:]
+        known = [x for x in s["recent"] if x is not None]
+        mean = sum(known) / len(known) if known else None
+        return self.inner.step(s["inner"], row._replace(**{self.column: mean}))
+
+    def close(self, s):
+        return self.inner.close(s["inner"])
+
+
+class CountedScores(ScoreRounds):
+    """Score rounds over typed events: the running number of kills stands for both sides' scores."""
+
+    def fresh(self):
+        return super().fresh() | {"kills": 0}
+
+    def step(self, s, row):
+        s["kills"] += row.type == "player_kill"
+        Row = namedtuple("Row", ["seq", "t", "ct", "tt", "read_score", "timer_visible"])
+        return super().step(s, Row(row.seq, row.t, s["kills"] // 6, s["kills"] // 4, row.k % 4 != 0, row.k % 3 != 0))
 
 
 class BracketKernel:
