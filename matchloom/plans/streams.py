@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators.kernels import BoxTracker, CadenceGate, DebouncedEdge, DebouncedLow, HysteresisRounds
 
+from matchloom.operators.tracking import name_tracks
 from matchloom.plans.combat import number_rounds
 from matchloom.plans.registry import HOUR, KEY, ORACLE, S, View, on_events, on_rounds, query
 from matchloom.sources import tables
@@ -97,8 +98,10 @@ def stream_tracks(v: View):
     l = live.read_table(spark, v.dir, "lineitem")
     q, d = F.col("l_quantity") * 10, F.col("l_discount") * 1000
     rows = l.select(F.col("l_suppkey").alias("supp"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("no"), F.col("l_returnflag").alias("label"),
+                    F.col("l_partkey").alias("part"), F.col("l_extendedprice").cast("double").alias("price"),
                     q.alias("x1"), d.alias("y1"), (q + 60 + F.col("l_tax") * 1000).alias("x2"), (d + 60 + F.col("l_linenumber") * 10).alias("y2"),
                     (F.col("l_orderkey") * 1_000_000).alias("t"), F.timestamp_seconds(F.col("l_orderkey") + 1).alias("ts"))  # time 0 is behind the first watermark
     ending = live.Ending(spark)
     rows = ending.join(rows).withWatermark("ts", "1 hour")
-    return live.drain(live.run_kernel(rows, ["supp"], ["t", "no"], live.FrameKernel(BoxTracker()), IDLE), ending=ending)
+    hits = live.run_kernel(rows, ["supp"], ["t", "no", "part", "price"], live.FrameKernel(BoxTracker()), IDLE)
+    return name_tracks(live.drain(hits, ending=ending), ["supp"], 100_000)

@@ -140,7 +140,7 @@ class KernelProcessor(StatefulProcessor):
                 pass
             return
         for part in rows:
-            exact = part.astype({c: "int64" for c in (*self.order, "event_us")})  # a batch with nulls elsewhere holds floats
+            exact = part.astype({"event_us": "int64"})  # a batch with nulls elsewhere holds floats
             values = zip(*[exact[c].tolist() for c in self.columns])
             self.waiting.appendList([(json.dumps(v),) for v in values])
         yield self._frame(key, self._take(key, timerValues.getCurrentWatermarkInMs(), False))
