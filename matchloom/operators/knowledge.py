@@ -213,39 +213,46 @@ def counts_by_layer(chunks: DataFrame) -> DataFrame:
 
 # -- retrieval --------------------------------------------------------------
 
+#: Vectors in a block, the fewest blocks of chunks, and queries scored at a time.
+BLOCK, SPREAD, SLICE = 4_096, 64, 256
+
+
+def _unit_rows(series: pd.Series) -> np.ndarray:
+    m = np.stack(series.to_numpy()).astype(np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n > 0, n, 1.0)
+
+
 def _score_blocks(k: int):
+    """The k best of each layer for every query of one pair of blocks, a slice of the queries at a time."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", "layer", "chunk_id", "score"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=cols)
-        def unit(series):
-            m = np.stack(series.to_numpy()).astype(np.float64)
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            return m / np.where(n > 0, n, 1.0)
-        q = unit(left["vector"])
-        out = []
-        for layer, part in right.groupby("layer", sort=False):
-            ids = part["chunk_id"].to_numpy()
-            scores = np.clip(q @ unit(part["vector"]).T, -1.0, 1.0)
-            for row, qid in zip(scores, left["query_id"]):
-                near = np.argpartition(-row, k - 1)[:k] if len(row) > k else np.arange(len(row))
-                near = np.flatnonzero(row >= row[near].min()) if len(row) > k else near
-                best = near[np.lexsort((ids[near], -row[near]))][:k]
-                out.extend((qid, layer, ids[i], row[i]) for i in best)
-        return pd.DataFrame(out, columns=cols)
+        q, asked, out = _unit_rows(left["vector"]), left["query_id"].to_numpy(), []
+        for layer, part in right.sort_values("chunk_id").groupby("layer", sort=False):
+            ids, vectors = part["chunk_id"].to_numpy(), _unit_rows(part["vector"]).T
+            for at in range(0, len(q), SLICE):
+                scores = q[at:at + SLICE] @ vectors
+                np.clip(scores, -1.0, 1.0, out=scores)
+                # ids ascend, so a stable sort breaks ties by id
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                row = np.repeat(np.arange(len(scores)), best.shape[1])
+                out.append(pd.DataFrame({"query_id": asked[at + row], "layer": layer, "chunk_id": ids[best.ravel()], "score": scores[row, best.ravel()]}))
+        return pd.concat(out)[cols]
     return run
 
 
-def layer_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = 20_000) -> DataFrame:
+def layer_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """Exact cosine top-k per (query, layer): query_id, layer, chunk_id, score, rank.
 
-    Both sides are cut into blocks of about ``block`` vectors by id hash; a task
-    multiplies one pair of blocks and keeps its local top-k, so at most k rows per
-    query and block pair are shuffled on.  ``queries``: query_id, vector;
-    ``chunks``: chunk_id, layer, vector.
+    Both sides are dealt to blocks by id hash, the chunks always to ``SPREAD`` at least;
+    a task multiplies one pair of blocks, ``SLICE`` queries at a time, and keeps its
+    local top-k, so at most k rows per query and block are shuffled on. ``queries``:
+    query_id, vector; ``chunks``: chunk_id, layer, vector.
     """
     nq = max(1, math.ceil(queries.count() / block))
-    nc = max(1, math.ceil(chunks.count() / block))
+    nc = max(SPREAD, math.ceil(chunks.count() / block))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), spread(nc).alias("cb"))
     right = chunks.select("chunk_id", "layer", "vector", F.pmod(F.xxhash64("chunk_id"), F.lit(nc)).cast("int").alias("cb"), spread(nq).alias("qb"))
@@ -310,7 +317,3 @@ def retrieval_metrics(ranked: DataFrame, queries: DataFrame, relevant: Column) -
     j = queries.select("query_id").join(first, "query_id", "left")
     return j.agg(F.count(F.lit(1)).alias("cases"), F.avg(F.col("r").isNotNull().cast("int")).alias("recall_at_k"),
                  F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))).alias("mrr"))
-
-
-def window_rank(key: Sequence[str], *order) -> Column:
-    return F.row_number().over(W.partitionBy(*key).orderBy(*order))
