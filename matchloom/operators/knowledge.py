@@ -10,7 +10,6 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql import Window as W
 
 from matchloom.functions import text as tx
 from matchloom.operators.sessions import top_per_group

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "joins", "combat", "reports", "context", "texts", "knowledge", "guard", "streams")
+MODULES = ("timeline", "joins", "combat", "reports", "context", "texts", "knowledge", "guard", "pipeline", "streams")
 
 
 def load():

@@ -11,7 +11,7 @@ from tools.check import TABLES, canon
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ["round_sessions", "round_stats", "gap_episodes", "interval_union", "first_round", "nearest_event", "iou_pairs", "findings",
          "loss_streak", "mode_side", "hud_state", "ingest_report", "stable_ids", "layer_infer", "decision_topk", "draft_gate",
-         "call_log_audit", "case_scores", "latency_pct", "stream_sessions"]
+         "call_log_audit", "case_scores", "latency_pct", "stream_sessions", "stream_hysteresis", "pipeline_rounds"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not present")
 
