@@ -49,7 +49,7 @@ def _walker(kernel, columns: list[str], key: list[str], fields: list[str], arrow
     """
     def run(batches):
         Row = namedtuple("Row", columns)
-        state = close = used = None
+        state = close = used = last = None
         prefix: list = []
         out: list[tuple] = []
 
@@ -58,7 +58,7 @@ def _walker(kernel, columns: list[str], key: list[str], fields: list[str], arrow
                 return
             exit_state = json.dumps(state, sort_keys=True)
             if close:
-                out.extend((*prefix, *r, None, None) for r in kernel.close(state))
+                out.extend((*prefix, *r, None, None) for r in kernel.close(state, last))
             out.append((*prefix, *([None] * len(fields)), exit_state, used))
 
         def flush():
@@ -77,6 +77,7 @@ def _walker(kernel, columns: list[str], key: list[str], fields: list[str], arrow
                     prefix = [getattr(row, c) for c in [*key, "blk_id"]]
                 else:
                     out.extend((*prefix, *r, None, None) for r in kernel.step(state, row))
+                    last = getattr(row, "seq", None), getattr(row, "t", None)
             if len(out) > 20_000:
                 yield flush()
         finish()

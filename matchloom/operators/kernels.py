@@ -14,7 +14,14 @@ def _num(x):
 
 
 class HysteresisRounds:
-    """Round boundaries from stable presence and absence of the timer signal."""
+    """Round boundaries from stable presence and absence of the timer signal.
+
+    What no longer matters is forgotten: a start that lies ``min_round`` behind the
+    start of the present signal is "old", and a steady signal in an open round needs no time
+    of its own. So a long round looks alike in every block, and blocks soon agree.
+    """
+
+    OLD = -1 << 60
 
     schema = "seq long, t long, kind string"
 
@@ -26,7 +33,7 @@ class HysteresisRounds:
 
     def fresh(self):
         return {"present": None, "since": None, "since_seq": None, "start": None, "gap": False, "open": False,
-                "ct": -1, "tt": -1, "last": None}
+                "ct": -1, "tt": -1}
 
     def _scores(self, s, row):
         if row.ct_px > 0:
@@ -42,7 +49,6 @@ class HysteresisRounds:
 
     def step(self, s, row):
         t, out = int(row.t), []
-        s["last"] = [int(row.seq), t]
         seen = True if row.ratio > self.high else False if row.ratio < self.low else None
         if seen is not None and seen != s["present"]:
             s["present"], s["since"], s["since_seq"] = seen, t, int(row.seq)
@@ -68,10 +74,13 @@ class HysteresisRounds:
                     out.append((s["since_seq"], s["since"], "round_end"))
                 opened()
             self._scores(s, row)
+        if s["open"] and t - s["start"] >= self.min_round and s["present"] and held and not s["gap"]:
+            s.update(start=self.OLD, since=self.OLD, since_seq=None)
         return out
 
-    def close(self, s):
-        return [(*s["last"], "round_end")] if s["open"] else []
+    def close(self, s, last=None):
+        """``last``: (seq, t) of the key's last row."""
+        return [(*last, "round_end")] if s["open"] else []
 
 
 class ScoreRounds:
@@ -114,7 +123,7 @@ class ScoreRounds:
                 out.append((int(row.seq), t, "round_start", *s["score"]))
         return out
 
-    def close(self, s):
+    def close(self, s, last=None):
         return []
 
 
@@ -142,7 +151,7 @@ class DebouncedLow:
             return [(int(row.seq), t)]
         return []
 
-    def close(self, s):
+    def close(self, s, last=None):
         return []
 
 
@@ -169,7 +178,7 @@ class DebouncedEdge:
             return [(int(row.seq), t)]
         return []
 
-    def close(self, s):
+    def close(self, s, last=None):
         return []
 
 
@@ -191,7 +200,7 @@ class CadenceGate:
             return [(int(row.seq), t)]
         return []
 
-    def close(self, s):
+    def close(self, s, last=None):
         return []
 
 
@@ -215,7 +224,7 @@ class RunningMeanGroups:
             s.update(sum=v, n=1, first=v)
         return [(int(row.seq), v, s["first"])]
 
-    def close(self, s):
+    def close(self, s, last=None):
         return []
 
 
@@ -272,7 +281,7 @@ class BoxTracker:
         s["tracks"] = [tr for tr in tracks if tr["lost"] < self.max_lost]
         return out
 
-    def close(self, s):
+    def close(self, s, last=None):
         return []
 
 
@@ -322,7 +331,7 @@ class RowTracks:
             out.append((int(row.seq), t, no, *track["id"]))
         return out
 
-    def close(self, s):
+    def close(self, s, last=None):
         return []
 
 
@@ -356,5 +365,5 @@ class OrphanEpisodes:
             s["tracks"].append(best)
         return [(int(row.track_seq), *best["id"])]
 
-    def close(self, s):
+    def close(self, s, last=None):
         return []

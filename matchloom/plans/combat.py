@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import combat as cc
 from matchloom.operators import tracking as tr
+
 from matchloom.operators.blocks import run_blocks
+from matchloom.operators.cadence import thin
 from matchloom.operators.intervals import box_pairs, iou
 from matchloom.operators.kernels import (
-    CadenceGate, DebouncedEdge, DebouncedLow, HysteresisRounds, RunningMeanGroups, ScoreRounds)
+    DebouncedEdge, DebouncedLow, HysteresisRounds, RunningMeanGroups, ScoreRounds)
 from matchloom.operators.scan import block_of, scan, trailing
 from matchloom.plans.registry import HOUR, KEY, ORDER, S, View, on_events, on_rounds, query
 
@@ -229,7 +231,7 @@ def debounced_edge(v: View):
  UNION ALL SELECT o.video_id, o.seq, o.t, o.rn, CASE WHEN o.t - kept >= 43200000000 THEN o.t ELSE kept END FROM z JOIN o ON o.video_id = z.video_id AND o.rn = z.rn + 1)
 SELECT video_id, seq, t FROM z WHERE kept = t""".replace("\n, z", ", z", 1), REC)[5:])
 def cadence_thin(v: View):
-    return run_blocks(v.m.select("video_id", "seq", "t"), KEY, ORDER, v.block, CadenceGate(12 * HOUR))
+    return thin(v.m, KEY, ORDER, v.block, 12 * HOUR).select("video_id", "seq", "t")
 
 
 @query("tolerance_last_member", on_events("""

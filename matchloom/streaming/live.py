@@ -113,17 +113,20 @@ class KernelProcessor(StatefulProcessor):
         held = self.state.get()
         out, at = [], held[1] if held else None
         if passed:
-            state = json.loads(held[0]) if held else self.kernel.fresh()
+            state = json.loads(held[0])["state"] if held else self.kernel.fresh()
             Row = namedtuple("Row", self.columns)
             for r in passed:
-                out.extend(self.kernel.step(state, Row(*r)))
+                row = Row(*r)
+                out.extend(self.kernel.step(state, row))
             at = passed[-1][self.time] // 1000
             rows = [r for r in rows if r[self.time] > watermark * 1000]
             self.waiting.put([(json.dumps(r),) for r in rows]) if rows else self.waiting.clear()
-            held = (json.dumps(state), at)
+            last = [getattr(row, c, None) for c in ("seq", "t")]
+            held = (json.dumps({"state": state, "last": last}), at)
             self.state.update(held)
         if finished and not rows and held and at + self.idle <= watermark:
-            out.extend(self.kernel.close(json.loads(held[0])))
+            kept = json.loads(held[0])
+            out.extend(self.kernel.close(kept["state"], kept["last"]))
             self.state.clear()
             return out
         for timer in list(self.handle.listTimers()):
@@ -186,8 +189,8 @@ class Smoothed:
         mean = sum(known) / len(known) if known else None
         return self.inner.step(s["inner"], row._replace(**{self.column: mean}))
 
-    def close(self, s):
-        return self.inner.close(s["inner"])
+    def close(self, s, last=None):
+        return self.inner.close(s["inner"], last)
 
 
 class CountedScores(ScoreRounds):
@@ -223,7 +226,7 @@ class BracketKernel:
             s["open"] = False
         return [(int(row.seq), int(row.t), s["rid"], row.type)]
 
-    def close(self, s):
+    def close(self, s, last=None):
         return []
 
 
@@ -253,7 +256,7 @@ class FrameKernel:
         s["boxes"].append({"x1": float(row.x1), "y1": float(row.y1), "x2": float(row.x2), "y2": float(row.y2), "label": row.label})
         return out
 
-    def close(self, s):
+    def close(self, s, last=None):
         return self._flush(s)
 
 
