@@ -21,6 +21,8 @@ Equal texts are one text, compared once; copies of a text repeat all of it.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,6 +36,8 @@ PASSAGE = 50
 GRAM = 20
 CACHE = 400_000
 LONGEST = 64
+#: Rows per partition that are sampled for the bounds of the sorted partitions.
+SAMPLES = 10
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -227,7 +231,8 @@ def repeated(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
     order = ["key", "after", "before", "tid", "at"]
     array = sparse.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     out = array.mapInArrow(sorted_spans(passage, gram), f"tid binary, start int, end int, other {kind}, edge string, key long, after binary, before binary, right int, left int, at int, least {kind}")
-    out = saved(out, "spans")
+    with few_samples(spark):
+        out = saved(out, "spans")
     # two rows per partition: the last suffix of each and the first of the next, sorted once more
     edges = out.filter("edge IS NOT NULL").select("key", "after", "before", "tid", "at", "right", "left", "least").coalesce(1).sortWithinPartitions(*order)
     across = edges.mapInArrow(sorted_spans(passage, gram), out.schema).filter("edge IS NULL")
@@ -239,6 +244,18 @@ def repeated(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
     return result.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "first_doc_id")
 
 
+@contextmanager
+def few_samples(spark):
+    """Fewer sampled rows per partition for range bounds while a table is written: a row holds long contexts."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), SAMPLES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def addresses(batches):
     for batch in batches:
         tids = [xxhash.xxh3_128_digest((x or "").encode()) for x in batch.column(1).to_pylist()]
