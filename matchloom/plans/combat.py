@@ -330,7 +330,7 @@ WITH v AS (SELECT l_orderkey AS frame, l_extendedprice / 100000 AS d, l_discount
 a AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY d) AS rn, count(*) OVER (PARTITION BY frame) AS n FROM v WHERE valid >= .5),
 b AS (SELECT *, greatest(1, CAST(ceil(n * .2) AS BIGINT)) AS trim FROM a),
 c AS (SELECT frame, any_value(n) AS n, any_value(trim) AS trim, avg(CASE WHEN n <= trim OR rn <= n - trim THEN d END) AS motion, sum(CASE WHEN rn > n - trim THEN d END) / sum(d) AS share FROM b GROUP BY frame)
-SELECT frame, round(motion, 4) AS motion, round(greatest(0, least(1, (share - trim / n) / greatest(1 - trim / n, 1e-6))), 4) AS localized FROM c""")
+SELECT frame, coalesce(round(motion, 4), 0) AS motion, CASE WHEN n IS NULL THEN 0 ELSE round(greatest(0, least(1, (share - trim / n) / greatest(1 - trim / n, 1e-6))), 4) END AS localized FROM (SELECT DISTINCT frame FROM v) LEFT JOIN c USING (frame)""")
 def trimmed_mean(v: View):
     t = v.table("lineitem").select(F.col("l_orderkey").alias("frame"), (F.col("l_extendedprice") / 100000).alias("d"),
                                    (F.col("l_discount") * 10).alias("valid"))
