@@ -131,30 +131,47 @@ def preflight(complete: Column, available: Column, suggestions: Column, chunks:
             .when(retrieved == 0, "retrieval_below_threshold"))
 
 
+#: Why a call may fail, in the order of the counts of an audit.
+TOOL_ERRORS = {"duplicate_call_id": "duplicate_ids", "invalid_tool_arguments": "invalid_arguments", "unknown_reference": "unknown_references"}
+
+
 def audit_calls(calls: DataFrame, run: list[str], block: Column, budget: int = CALL_BUDGET, iterations: int = ITERATIONS,
                 chars: int = OBSERVATION_CHARS) -> DataFrame:
-    """Replay each run's call log in order and stop at its first violation.
+    """Replay each run's log in order and stop at its first violation: stop reason, calls, failures in total and by kind.
 
-    ``calls``: run columns, seq, iteration, call_id, tool_ok, search_ok, is_final, observation_chars.
-    A repeated call id fails; failures and calls count up to the stop.
+    ``calls``: run columns, seq, iteration, call_id, tool_error, search_ok, is_final, fault,
+    observation_chars. A row is a tool call, a final turn, or a turn that ``fault`` names: one that can't be
+    read (invalid_agent_turn), one without calls (empty_tool_turn), or a final one with calls or without a
+    payload (invalid_final_turn) or with a payload of the wrong form (invalid_final_payload).
+    A repeated call id fails before its tool runs; failures and calls count up to the stop.
     """
-    repeat = scan(calls, [*run, "call_id"], ["seq"], block, prev={"_seen": F.col("seq")})
-    call = ~F.col("is_final")
-    ok = call & F.col("_seen").isNull() & F.col("tool_ok")
-    rows = repeat.withColumn("_call", call.cast("long")).withColumn("_ok", ok).withColumn(
-        "_fail", (call & ~ok).cast("long")).withColumn("_chars", F.when(call, F.col("observation_chars")).otherwise(0).cast("long"))
-    rows = rows.withColumn("_hit", (ok & F.col("search_ok")).cast("long"))
-    rows = scan(rows, run, ["seq"], block, total={"_calls": F.col("_call"), "_fails": F.col("_fail"), "_total": F.col("_chars"), "_hits": F.col("_hit")})
+    fault = lambda name: F.coalesce(F.col("fault") == name, F.lit(False))
+    call = ~F.col("is_final") & ~fault("invalid_agent_turn") & ~fault("empty_tool_turn")
+    rows = calls.withColumn("_call", call.cast("long"))
+    rows = scan(rows, [*run, "call_id", "_call"], ["seq"], block, prev={"_seen": F.col("seq")})
+    made = F.col("_call") == 1
+    error = F.when(made, F.when(F.col("_seen").isNotNull(), "duplicate_call_id").otherwise(F.col("tool_error")))
+    rows = rows.withColumn("_error", error).withColumn("_chars", F.when(made, F.col("observation_chars")).otherwise(0).cast("long"))
+    sums = {"_calls": F.col("_call"), "_total": F.col("_chars"), "_hits": (made & F.col("_error").isNull() & F.col("search_ok")).cast("long"),
+            "_fails": F.col("_error").isNotNull().cast("long")}
+    sums |= {f"_{n}": F.coalesce(F.col("_error") == e, F.lit(False)).cast("long") for e, n in TOOL_ERRORS.items()}
+    rows = scan(rows, run, ["seq"], block, total=sums)
     stop = (F.when(F.col("iteration") > iterations, "iteration_budget_exhausted")
+            .when(fault("invalid_agent_turn"), "invalid_agent_turn")
+            .when(F.col("is_final") & fault("invalid_final_turn"), "invalid_final_turn")
             .when(F.col("is_final") & (F.col("_hits") == 0), "final_without_knowledge_tool")
+            .when(F.col("is_final") & fault("invalid_final_payload"), "invalid_final_payload")
             .when(F.col("is_final"), "completed")
+            .when(fault("empty_tool_turn"), "empty_tool_turn")
             .when(F.col("_calls") > budget, "tool_budget_exhausted")
             .when(F.col("_total") > chars, "observation_budget_exhausted"))
     # a call refused for its budget or iteration was never made
-    made = F.when(stop.isin("iteration_budget_exhausted", "tool_budget_exhausted"), F.col("_calls") - F.col("_call")).otherwise(F.col("_calls"))
-    failed = F.when(stop.isin("iteration_budget_exhausted", "tool_budget_exhausted"), F.col("_fails") - F.col("_fail")).otherwise(F.col("_fails"))
-    rows = rows.withColumn("_stop", stop).withColumn("_made", made).withColumn("_failed", failed)
-    first = F.min_by(F.struct(F.col("_stop").alias("stop_reason"), F.col("_made").alias("tool_calls"), F.col("_failed").alias("tool_failures")),
-                     F.when(F.col("_stop").isNotNull(), F.col("seq")))
-    total = F.max_by(F.struct(F.lit("iteration_budget_exhausted").alias("stop_reason"), F.col("_made").alias("tool_calls"), F.col("_failed").alias("tool_failures")), "seq")
-    return rows.groupBy(*run).agg(F.coalesce(first, total).alias("r")).select(*run, "r.*")
+    refused = F.coalesce(stop.isin("iteration_budget_exhausted", "tool_budget_exhausted"), F.lit(False))
+    own = {"_calls": F.col("_call"), "_fails": F.col("_error").isNotNull().cast("long")}
+    own |= {f"_{n}": F.coalesce(F.col("_error") == e, F.lit(False)).cast("long") for e, n in TOOL_ERRORS.items()}
+    names = {"_calls": "tool_calls", "_fails": "tool_failures"} | {f"_{n}": n for n in TOOL_ERRORS.values()}
+    counts = [(F.col(c) - F.when(refused, x).otherwise(0)).alias(names[c]) for c, x in own.items()]
+    rows = rows.withColumn("_stop", stop).withColumn("_counts", F.struct(*counts))
+    first = F.min_by(F.struct(F.col("_stop").alias("stop_reason"), F.col("_counts").alias("c")), F.when(F.col("_stop").isNotNull(), F.col("seq")))
+    total = F.max_by(F.struct(F.lit("iteration_budget_exhausted").alias("stop_reason"), F.col("_counts").alias("c")), "seq")
+    return rows.groupBy(*run).agg(F.coalesce(first, total).alias("r")).select(*run, "r.stop_reason", "r.c.*")

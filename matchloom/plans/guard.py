@@ -138,20 +138,33 @@ def preflight(v: View):
     return g.select("o_custkey", gd.preflight(F.col("complete"), F.col("available"), F.col("s"), F.col("c"), F.col("r")).alias("fallback_reason"))
 
 
-CALLS = """cl AS (SELECT conv_id AS run, turn AS seq, turn // (2 + conv_id % 3) + 1 AS iteration, turn % (3 + conv_id % 4) AS call_id, role <> 'system' AS tool_ok, role = 'user' AND conv_id % 5 <> 0 AS search_ok, turn = 5 + conv_id % 3 AS fin, length(text) AS chars FROM conversations),
-c1 AS (SELECT *, NOT fin AND tool_ok AND row_number() OVER (PARTITION BY run, call_id ORDER BY seq) = 1 AS ok FROM cl),
-c2 AS (SELECT *, sum(CASE WHEN fin THEN 0 ELSE 1 END) OVER w AS calls, sum(CASE WHEN NOT fin AND NOT ok THEN 1 ELSE 0 END) OVER w AS fails, sum(CASE WHEN fin THEN 0 ELSE chars END) OVER w AS total, sum(CASE WHEN ok AND search_ok THEN 1 ELSE 0 END) OVER w AS hits FROM c1 WINDOW w AS (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING)),
-c3 AS (SELECT *, CASE WHEN iteration > 3 THEN 'iteration_budget_exhausted' WHEN fin AND hits = 0 THEN 'final_without_knowledge_tool' WHEN fin THEN 'completed' WHEN calls > 5 THEN 'tool_budget_exhausted' WHEN total > 3000 THEN 'observation_budget_exhausted' END AS stop FROM c2),
-c4 AS (SELECT *, CASE WHEN stop IN ('iteration_budget_exhausted','tool_budget_exhausted') THEN calls - CASE WHEN fin THEN 0 ELSE 1 END ELSE calls END AS made, CASE WHEN stop IN ('iteration_budget_exhausted','tool_budget_exhausted') THEN fails - CASE WHEN NOT fin AND NOT ok THEN 1 ELSE 0 END ELSE fails END AS failed FROM c3),
+CALLS = """cl AS (SELECT conv_id AS run, turn AS seq, turn // (2 + conv_id % 3) + 1 AS iteration, turn % (3 + conv_id % 4) AS call_id, role = 'user' AND conv_id % 5 <> 0 AS search_ok, turn = 5 + conv_id % 3 AS fin, length(text) AS chars,
+  CASE WHEN role = 'system' THEN 'invalid_tool_arguments' WHEN (conv_id + turn) % 7 = 0 THEN 'unknown_reference' END AS err,
+  CASE WHEN turn = 5 + conv_id % 3 AND conv_id % 6 = 1 THEN 'invalid_final_turn' WHEN turn = 5 + conv_id % 3 AND conv_id % 6 = 2 THEN 'invalid_final_payload'
+    WHEN turn = 2 AND conv_id % 13 = 4 THEN 'invalid_agent_turn' WHEN turn = 3 AND conv_id % 13 = 7 THEN 'empty_tool_turn' END AS fault FROM conversations),
+c0 AS (SELECT *, NOT fin AND coalesce(fault NOT IN ('invalid_agent_turn','empty_tool_turn'), true) AS mk FROM cl),
+c1 AS (SELECT *, CASE WHEN mk THEN CASE WHEN row_number() OVER (PARTITION BY run, call_id, mk ORDER BY seq) > 1 THEN 'duplicate_call_id' ELSE err END END AS e FROM c0),
+c2 AS (SELECT *, sum(mk::INT) OVER w AS calls, sum((e IS NOT NULL)::INT) OVER w AS fails, sum(CASE WHEN mk THEN chars ELSE 0 END) OVER w AS total, sum((mk AND e IS NULL AND search_ok)::INT) OVER w AS hits,
+  sum((coalesce(e, '') = 'duplicate_call_id')::INT) OVER w AS dup, sum((coalesce(e, '') = 'invalid_tool_arguments')::INT) OVER w AS inv, sum((coalesce(e, '') = 'unknown_reference')::INT) OVER w AS unk
+  FROM c1 WINDOW w AS (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+c3 AS (SELECT *, CASE WHEN iteration > 3 THEN 'iteration_budget_exhausted' WHEN fault = 'invalid_agent_turn' THEN fault WHEN fin AND fault = 'invalid_final_turn' THEN fault WHEN fin AND hits = 0 THEN 'final_without_knowledge_tool'
+  WHEN fin AND fault = 'invalid_final_payload' THEN fault WHEN fin THEN 'completed' WHEN fault = 'empty_tool_turn' THEN fault WHEN calls > 5 THEN 'tool_budget_exhausted' WHEN total > 3000 THEN 'observation_budget_exhausted' END AS stop FROM c2),
+c4 AS (SELECT *, CASE WHEN stop IN ('iteration_budget_exhausted','tool_budget_exhausted') THEN 1 ELSE 0 END AS no FROM c3),
 c5 AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY stop IS NULL, CASE WHEN stop IS NULL THEN -seq ELSE seq END) AS rn FROM c4)"""
 
 
-@query("call_log_audit", "WITH " + CALLS + " SELECT run, coalesce(stop, 'iteration_budget_exhausted') AS stop_reason, CAST(made AS BIGINT) AS tool_calls, CAST(failed AS BIGINT) AS tool_failures FROM c5 WHERE rn = 1")
+@query("call_log_audit", "WITH " + CALLS + """ SELECT run, coalesce(stop, 'iteration_budget_exhausted') AS stop_reason, CAST(calls - no * mk::INT AS BIGINT) AS tool_calls, CAST(fails - no * (e IS NOT NULL)::INT AS BIGINT) AS tool_failures,
+  CAST(dup - no * (coalesce(e, '') = 'duplicate_call_id')::INT AS BIGINT) AS duplicate_ids, CAST(inv - no * (coalesce(e, '') = 'invalid_tool_arguments')::INT AS BIGINT) AS invalid_arguments,
+  CAST(unk - no * (coalesce(e, '') = 'unknown_reference')::INT AS BIGINT) AS unknown_references FROM c5 WHERE rn = 1""")
 def call_log_audit(v: View):
     c, t = F.col("conv_id"), F.col("turn")
+    final = t == c % 3 + 5
+    fault = (F.when(final & (c % 6 == 1), "invalid_final_turn").when(final & (c % 6 == 2), "invalid_final_payload")
+             .when((t == 2) & (c % 13 == 4), "invalid_agent_turn").when((t == 3) & (c % 13 == 7), "empty_tool_turn"))
+    error = F.when(F.col("role") == "system", "invalid_tool_arguments").when((c + t) % 7 == 0, "unknown_reference")
     calls = v.table("conversations").select(
-        c.alias("run"), t.alias("seq"), (F.floor(t / (c % 3 + 2)) + 1).alias("iteration"), (t % (c % 4 + 3)).alias("call_id"), (F.col("role") != "system").alias("tool_ok"),
-        ((F.col("role") == "user") & (c % 5 != 0)).alias("search_ok"), (t == c % 3 + 5).alias("is_final"), F.length("text").alias("observation_chars"))
+        c.alias("run"), t.alias("seq"), (F.floor(t / (c % 3 + 2)) + 1).alias("iteration"), (t % (c % 4 + 3)).alias("call_id"), error.alias("tool_error"),
+        ((F.col("role") == "user") & (c % 5 != 0)).alias("search_ok"), final.alias("is_final"), fault.alias("fault"), F.length("text").alias("observation_chars"))
     return gd.audit_calls(calls, ["run"], block_of("seq", 4096), budget=5, chars=3000)
 
 
