@@ -37,6 +37,11 @@ def unsupported_numbers(draft: Column, source: Column) -> Column:
     return F.size(F.array_except(tx.number_tokens(draft), tx.number_tokens(source))) > 0
 
 
+def context_known(map_name: Column, side: Column, position: Column, clock: Column) -> Column:
+    """Whether the four fields that talk about pace needs are all there."""
+    return map_name.isNotNull() & side.isNotNull() & position.isNotNull() & clock.isNotNull()
+
+
 def breaks_context_gate(text: Column, context_known: Column) -> Column:
     return ~context_known & tx.has_any(text, PACE_TERMS)
 

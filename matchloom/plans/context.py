@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from matchloom.functions import scoring
 from matchloom.operators import context as cx
 from matchloom.operators import quality as q
+from matchloom.operators import sessions as ss
 from matchloom.operators.blocks import durable
 from matchloom.operators.coaching import field_lists
-from matchloom.plans.registry import KEY, ORDER, S, View, on_events, on_rounds, query
+from matchloom.plans.registry import HOUR, KEY, ORDER, S, View, on_events, on_rounds, query
 
 ROUND = ["video_id", "rid"]
 WEAPONS = ["rifle", "smg", "pistol", "sniper", "c4", "shotgun", "knife"]
@@ -53,8 +54,17 @@ pv AS (SELECT ob.video_id, ob.rid, arg_min(ob.position, (t, seq)) AS position FR
 mp0 AS (SELECT video_id, coalesce(bool_or(position_conf >= .60 - 1e-9 AND position IN ('palace_interior','snipers_nest')), false) AS st,
    count(DISTINCT CASE WHEN position_conf >= .60 - 1e-9 AND position IN ('underpass','apartments','t_ramp','shop','side_alley') THEN position END) AS sp FROM ob GROUP BY 1),
 mp AS (SELECT video_id, CASE WHEN st OR sp >= 2 THEN 'mirage' END AS map_name, CASE WHEN st THEN .95 WHEN sp >= 2 THEN .85 ELSE 0 END AS map_confidence FROM mp0),
-cxt AS (SELECT r.video_id, r.rid, sd.team AS player_side, round(share, 4) AS side_share, wm.weapon, us.utility, mp.map_name, pv.position AS map_position
-   FROM r LEFT JOIN sd USING (video_id, rid) LEFT JOIN wm USING (video_id, rid) LEFT JOIN us USING (video_id, rid) LEFT JOIN pv USING (video_id, rid) LEFT JOIN mp USING (video_id))"""
+ck0 AS (SELECT *, lag(t) OVER w AS pt, lag(k) OVER w AS pk FROM ob WHERE score >= 10 WINDOW w AS (PARTITION BY video_id, rid ORDER BY t, seq)),
+ck1 AS (SELECT *, sum(CASE WHEN pt IS NULL OR NOT ((t - pt)/3600000000.0 > 0 AND pk - k >= -20 AND pk - k <= (t - pt)/3600000000.0 + 40) THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, rid ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS c FROM ck0),
+ck2 AS (SELECT *, lag(k) OVER (PARTITION BY video_id, rid, c ORDER BY t, seq) AS ck FROM ck1),
+ck3 AS (SELECT video_id, rid, c, count(*) AS n, min(t) AS since, arg_min(k, (t, seq)) AS first_clock FROM ck2 GROUP BY ALL HAVING count(*) >= 2 AND max(ck - k) >= 1),
+clk AS (SELECT video_id, rid, first_clock AS native_clock FROM (SELECT *, row_number() OVER (PARTITION BY video_id, rid ORDER BY n DESC, since) AS rn FROM ck3) WHERE rn = 1),
+mo0 AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR k // 20 <> lag(k // 20) OVER w OR t - lag(t) OVER w > 172800000000 THEN 1 ELSE 0 END AS o FROM ob WHERE score >= 20 WINDOW w AS (PARTITION BY video_id, rid ORDER BY t, seq)),
+mo1 AS (SELECT *, sum(o) OVER (PARTITION BY video_id, rid ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS c FROM mo0),
+mo2 AS (SELECT video_id, rid, c, min(t) AS since, any_value(k // 20) AS money FROM mo1 GROUP BY ALL HAVING count(*) >= 2),
+mny AS (SELECT video_id, rid, CAST(money AS BIGINT) AS money FROM (SELECT *, row_number() OVER (PARTITION BY video_id, rid ORDER BY since) AS rn FROM mo2) WHERE rn = 1),
+cxt AS (SELECT r.video_id, r.rid, sd.team AS player_side, round(share, 4) AS side_share, clk.native_clock, wm.weapon, mny.money, us.utility, mp.map_name, pv.position AS map_position
+   FROM r LEFT JOIN clk USING (video_id, rid) LEFT JOIN mny USING (video_id, rid) LEFT JOIN sd USING (video_id, rid) LEFT JOIN wm USING (video_id, rid) LEFT JOIN us USING (video_id, rid) LEFT JOIN pv USING (video_id, rid) LEFT JOIN mp USING (video_id))"""
 
 
 def side_of(obs):
@@ -82,13 +92,16 @@ def map_of(obs):
 def round_context_of(v: View):
     """One row per round; unknown fields stay NULL."""
     obs = durable(observations(v).select(
-        *ROUND, "t", "seq", "k", "team", "weapon", "weapon_conf", "weapon_source", "utility", "utility_conf", "position", "position_conf"))
+        *ROUND, "t", "seq", "k", "score", "team", "weapon", "weapon_conf", "weapon_source", "utility", "utility_conf", "position", "position_conf"))
     rounds = obs.select(*ROUND).distinct()
     side = side_of(obs).select(*ROUND, F.col("team").alias("player_side"), F.round("share", 4).alias("side_share"))
     weapon = cx.weighted_mode(weapons_of(obs), ROUND, "weapon", "weapon_conf", ORDER).select(*ROUND, "weapon")
     util = cx.distinct_sorted(utility_of(obs), ROUND, "utility", "utility").withColumn("utility", F.array_join("utility", ","))
     pos = positions_of(obs).groupBy(*ROUND).agg(F.min_by("position", F.struct("t", "seq")).alias("map_position"))
-    return (rounds.join(side, ROUND, "left").join(weapon, ROUND, "left").join(util, ROUND, "left").join(pos, ROUND, "left")
+    clock = ss.longest_clock_chain(obs.filter("score >= 10"), ROUND, ORDER, v.block, "t", "k", float(HOUR), 20, 40).select(*ROUND, F.col("first_clock").alias("native_clock"))
+    stacks = obs.filter("score >= 20").withColumn("value", F.floor(F.col("k") / 20).cast("long"))
+    money = ss.first_stable_value(stacks, ROUND, ORDER, v.block, "t", "value", 48 * HOUR).select(*ROUND, F.col("value").alias("money"))
+    return (rounds.join(side, ROUND, "left").join(clock, ROUND, "left").join(weapon, ROUND, "left").join(money, ROUND, "left").join(util, ROUND, "left").join(pos, ROUND, "left")
             .join(map_of(obs).select("video_id", "map_name"), "video_id", "left"))
 
 
@@ -127,22 +140,22 @@ def round_context(v: View):
     return round_context_of(v)
 
 
-@query("coverage", on_context("""
-SELECT video_id, count(*) AS rounds, count(player_side) AS player_side, count(weapon) AS weapon, count(utility) AS utility, count(*) FILTER (map_name IS NOT NULL AND map_position IS NOT NULL) AS map_position FROM cxt GROUP BY 1"""))
+# What a coach may know of a round, in the order in which it is listed; each as SQL that is NULL when unknown.
+FIELDS = {"player_side": "player_side", "native_clock": "native_clock", "weapon": "weapon", "money": "money", "utility": "utility",
+          "map_position": "CASE WHEN map_name IS NOT NULL THEN map_position END"}
+
+
+@query("coverage", on_context("SELECT video_id, count(*) AS rounds, " + ", ".join(f"count({e}) AS {n}" for n, e in FIELDS.items()) + " FROM cxt GROUP BY 1"))
 def coverage(v: View):
-    known = lambda c: F.col(c).isNotNull()
-    return cx.coverage(round_context_of(v), KEY, {
-        "player_side": known("player_side"), "weapon": known("weapon"), "utility": known("utility"),
-        "map_position": known("map_name") & known("map_position")})
+    return cx.coverage(round_context_of(v), KEY, {n: F.expr(e).isNotNull() for n, e in FIELDS.items()})
 
 
-@query("context_guard", on_context("""
-SELECT video_id, rid, CASE WHEN player_side IS NULL AND weapon IS NULL AND utility IS NULL AND (map_name IS NULL OR map_position IS NULL) THEN 'unavailable' ELSE concat_ws(', ', CASE WHEN player_side IS NOT NULL THEN 'player_side' END, CASE WHEN weapon IS NOT NULL THEN 'weapon' END, CASE WHEN utility IS NOT NULL THEN 'utility' END, CASE WHEN map_name IS NOT NULL AND map_position IS NOT NULL THEN 'map_position' END) END AS known,
- concat_ws(', ', CASE WHEN player_side IS NULL THEN 'player_side' END, CASE WHEN weapon IS NULL THEN 'weapon' END, CASE WHEN utility IS NULL THEN 'utility' END, CASE WHEN map_name IS NULL OR map_position IS NULL THEN 'map_position' END) AS missing FROM cxt"""))
+@query("context_guard", on_context(
+    "SELECT video_id, rid, CASE WHEN " + " AND ".join(f"({e}) IS NULL" for e in FIELDS.values()) + " THEN 'unavailable' ELSE concat_ws(', ', "
+    + ", ".join(f"CASE WHEN ({e}) IS NOT NULL THEN '{n}' END" for n, e in FIELDS.items()) + ") END AS known, concat_ws(', ', "
+    + ", ".join(f"CASE WHEN ({e}) IS NULL THEN '{n}' END" for n, e in FIELDS.items()) + ") AS missing FROM cxt"))
 def context_guard(v: View):
-    fields = {"player_side": F.col("player_side"), "weapon": F.col("weapon"), "utility": F.col("utility"),
-              "map_position": F.when(F.col("map_name").isNotNull(), F.col("map_position"))}
-    return field_lists(round_context_of(v), fields).select("video_id", "rid", "known", "missing")
+    return field_lists(round_context_of(v), {n: F.expr(e) for n, e in FIELDS.items()}).select("video_id", "rid", "known", "missing")
 
 
 @query("fuzzy_positions")

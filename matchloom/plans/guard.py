@@ -35,9 +35,11 @@ def gated(v: View):
     return v.table("conversations").withColumn("g", F.concat("text", extra))
 
 
-@query("context_gate", f"SELECT conv_id, turn, NOT (turn % 2 = 0) AND {any_sql(gd.PACE_TERMS, GT)} AS broken FROM conversations")
+@query("context_gate", f"SELECT conv_id, turn, NOT (conv_id % 3 <> 0 AND turn % 4 <> 1 AND conv_id % 5 <> 0 AND turn % 3 <> 1) AND {any_sql(gd.PACE_TERMS, GT)} AS broken FROM conversations")
 def context_gate(v: View):
-    return gated(v).select("conv_id", "turn", gd.breaks_context_gate(F.col("g"), F.col("turn") % 2 == 0).alias("broken"))
+    c, t = F.col("conv_id"), F.col("turn")
+    known = gd.context_known(F.when(c % 3 != 0, "mirage"), F.when(t % 4 != 1, "t"), F.when(c % 5 != 0, "shop"), F.when(t % 3 != 1, 90))
+    return gated(v).select("conv_id", "turn", gd.breaks_context_gate(F.col("g"), known).alias("broken"))
 
 
 @query("absolute_terms", f"SELECT conv_id, turn, turn % 3 <> 0 AND NOT (turn % 2 = 0) AND {any_sql(gd.ABSOLUTE_TERMS, GT)} AS broken FROM conversations")

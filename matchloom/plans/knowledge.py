@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import scoring, text as tx
 from matchloom.operators import knowledge as kn
 from matchloom.operators.blocks import durable
+from matchloom.plans.context import on_context, round_context_of
 from matchloom.plans.registry import View, on_rounds, query
 
 VOCABULARY = ("the", "tion", "er", "en", "ou", "le", "ung", "ción")  # fixed values
@@ -235,12 +236,13 @@ def retrieval_metrics(v: View):
     return m.select("cases", F.round("recall_at_k", 4).alias("recall_at_k"), F.round("mrr", 4).alias("mrr"))
 
 
-@query("decision_context", on_rounds("""
-SELECT video_id, rid, CASE WHEN count(*) FILTER (type = 'player_kill' AND k % 17 = 0) > 0 THEN 'defused' WHEN count(*) FILTER (type = 'player_kill' AND k % 5 = 0) > 0 THEN 'planted' END AS bomb_state FROM a GROUP BY 1, 2"""))
+@query("decision_context", on_context("""SELECT cxt.*, bomb_state FROM cxt JOIN bomb USING (video_id, rid)""", """bomb AS (
+SELECT video_id, rid, CASE WHEN count(*) FILTER (type = 'player_kill' AND k % 17 = 0) > 0 THEN 'defused' WHEN count(*) FILTER (type = 'player_kill' AND k % 5 = 0) > 0 THEN 'planted' END AS bomb_state FROM a GROUP BY 1, 2)"""))
 def decision_context(v: View):
     kill = F.col("type") == "player_kill"
     g = v.attached().groupBy("video_id", "rid").agg(F.count_if(kill & (F.col("k") % 17 == 0)).alias("d"), F.count_if(kill & (F.col("k") % 5 == 0)).alias("p"))
-    return g.select("video_id", "rid", F.when(F.col("d") > 0, "defused").when(F.col("p") > 0, "planted").alias("bomb_state"))
+    g = g.select("video_id", "rid", F.when(F.col("d") > 0, "defused").when(F.col("p") > 0, "planted").alias("bomb_state"))
+    return round_context_of(v).join(g, ["video_id", "rid"])
 
 
 @query("suggestion_query_text", on_rounds("""
