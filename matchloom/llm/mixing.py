@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from matchloom.llm.common import SPACE, pick, position, surely
+from matchloom.llm.common import SPACE, pick, position, saved, surely
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -59,13 +59,14 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 def ranked(rows: DataFrame, seed: str, weights, share: float, most: float) -> DataFrame:
     """Rows with _src, _nul, _size, _hash, _bucket, _tie: adds _source_size, _target, _copies."""
     key = ["_src", "_nul", "_size", "_bucket"]
-    buckets = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    sizes = rows.groupBy("_src", "_nul", "_size").agg(F.count(F.lit(1)).alias("n"))
+    # written once: everything but the ranks themselves comes from these counts
+    buckets = saved(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    sizes = buckets.groupBy("_src", "_nul", "_size").agg(F.sum("n").alias("n"))
     source = W.partitionBy("_src", "_nul")
     sizes = sizes.select(
         "_src", "_nul", "_size",
         (F.sum("n").over(source.orderBy("_size")) - F.col("n")).alias("before_size"))
-    totals = rows.groupBy("_src", "_nul").agg(F.sum("_size").alias("source_size"))
+    totals = buckets.groupBy("_src", "_nul").agg(F.sum(F.col("_size") * F.col("n")).alias("source_size"))
     goal = targets(totals.select(F.col("_src").alias("src"), F.col("_nul").alias("nul"), "source_size"), weights, share, most)
     goal = goal.select(F.col("src").alias("_src"), F.col("nul").alias("_nul"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     sizes = sizes.join(goal, ["_src", "_nul"])
@@ -96,6 +97,7 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE
     Columns other than doc_id, text and source are not read.
     """
     rows = prepared(pick(docs, "doc_id", "text", "source"), "doc_id", F.col("text"), "source").drop("text")
+    rows = saved(rows, "mix-rows")
     out = ranked(rows, seed, weights, share, most)
     return out.select("doc_id", F.col("_size").alias("size"), "source", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
                       F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
