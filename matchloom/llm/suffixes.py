@@ -217,7 +217,8 @@ def repeated(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
     texts = durable(kept.groupBy("tid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("words").alias("words")))
     suffixes = kept.select("tid", F.explode(F.arrays_zip("places", "keys")).alias("s")).select("tid", F.col("s.places").alias("at"), F.col("s.keys").alias("key"))
     place = F.xxhash64("tid", "at")
-    twice = suffixes.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("key")
+    # written, so that the join below has two plain sides and a very common beginning can be split
+    twice = durable(suffixes.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("key"))
     wanted = suffixes.join(twice, "key").groupBy("tid").agg(F.collect_set("at").alias("places"))
     wanted = durable(wanted.join(texts.select("tid", "least"), "tid"))
     # one document of each text stands for it
