@@ -38,6 +38,8 @@ CACHE = 400_000
 LONGEST = 64
 #: Rows per partition that are sampled for the bounds of the sorted partitions.
 SAMPLES = 10
+#: Suffixes of a text handled at a time.
+SLICE = 1 << 14
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,15 +116,15 @@ def contexts(passage: int, gram: int):
                 h = hashes(text or "").astype(">u4")
                 n = len(h)
                 padded = np.concatenate([np.zeros(left, ">u4"), h, np.zeros(right, ">u4")])
-                at = np.array(sorted(places), np.int64)
-                after = padded[at[:, None] + left + np.arange(right)]
-                before = padded[at[:, None] + left - 1 - np.arange(left)]
-                key = grams(hashes(text or ""), gram)[at].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array([x.tobytes() for x in after], pa.binary()), pa.array([x.tobytes() for x in before], pa.binary()),
-                     pa.array([tid] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(np.minimum(n - at, right).astype(np.int32)),
-                     pa.array(np.minimum(at, left).astype(np.int32)), pa.array([least] * len(at))],
-                    names=["key", "after", "before", "tid", "at", "right", "left", "least"])
+                keys, every = grams(hashes(text or ""), gram), np.array(sorted(places), np.int64)
+                for at in np.array_split(every, -(-len(every) // SLICE)):  # however long the text
+                    after = padded[at[:, None] + left + np.arange(right)]
+                    before = padded[at[:, None] + left - 1 - np.arange(left)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[at].view(np.int64)), pa.array([x.tobytes() for x in after], pa.binary()), pa.array([x.tobytes() for x in before], pa.binary()),
+                         pa.array([tid] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(np.minimum(n - at, right).astype(np.int32)),
+                         pa.array(np.minimum(at, left).astype(np.int32)), pa.array([least] * len(at), batch.schema.types[2])],
+                        names=["key", "after", "before", "tid", "at", "right", "left", "least"])
     return run
 
 

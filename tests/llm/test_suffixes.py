@@ -34,7 +34,7 @@ def fixture():
         for k in rng.integers(0, len(some), 3):
             some[k] = f"x{d}"
         rows.append((3000 + d, " ".join(some)))
-    return rows
+    return rows + [(None, "own " + rows[0][1] + " " + passages[-1])]
 
 
 def test_spans_equal_all_windows(spark):
