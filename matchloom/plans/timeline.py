@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import sessions as ss
 from matchloom.operators.blocks import durable
-from matchloom.operators.scan import ema, scan, trailing
+from matchloom.operators.scan import ema, trailing
 from matchloom.plans.registry import HOUR, KEY, ORDER, S, View, on_events, on_rounds, query
 
 
