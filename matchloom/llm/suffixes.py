@@ -10,11 +10,11 @@ the right, then extended to the left. PASSAGE words to the right and PASSAGE - G
 to the left are enough, as longer passages hold more minimisers, whose spans are
 then united.
 
-Neighbours are taken in two orders, by right and then left context and, within a
-batch, by left and then right context. A passage of at least PASSAGE words is found
-if, at one of its minimisers, no text that shares less with it stands between two
-of its occurrences in both orders; that holds for any passage that all its
-occurrences share whole, and always for passages of 2 * PASSAGE - GRAM words.
+A text that shares less may stand between two occurrences in the sorted order. So
+the windows of PASSAGE words around a suffix are hashed too. All occurrences of a
+window lie at suffixes of one key, that of its smallest GRAM words: a key that ends
+within a batch is settled there, the windows of a key that a batch or a partition
+may cut are counted in Spark. Hence every passage of PASSAGE words is found.
 
 Equal texts are one text, compared once; copies of a text repeat all of it.
 """
@@ -167,9 +167,75 @@ def neighbours(passage: int, gram: int):
     return found
 
 
-def sorted_spans(passage: int, gram: int):
-    """Spans of a sorted partition. Its first and last suffix also come out, for the comparison with the next partition."""
-    found = neighbours(passage, gram)
+def window_hashes(t: pa.Table, passage: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``passage`` words around each suffix (a row of them each), which of them the text has, start of the first."""
+    lead = passage - gram
+    after, before = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32).reshape(len(t), -1) for c in ("after", "before"))
+    words = np.concatenate([before[:, ::-1], after], axis=1).astype(np.uint64)
+    sums = np.zeros((lead + passage + 1, len(t)), np.uint64)
+    for k in range(lead + passage):
+        sums[k + 1] = sums[k] * BASE + words[:, k]
+    power = np.uint64(pow(int(BASE), passage, 1 << 64))
+    out = sums[passage:] - sums[:lead + 1] * power
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ out >> np.uint64(32)).T
+    place = np.arange(lead + 1)
+    has = (place >= lead - t.column("left").to_numpy()[:, None]) & (place <= t.column("right").to_numpy()[:, None] - gram)
+    return np.ascontiguousarray(out), has, t.column("at").to_numpy() - lead
+
+
+def repeated_windows(passage: int, gram: int):
+    """Rows of a sorted batch to spans (tid, start, end, other) of windows that occur at two places, other the smallest doc_id of
+    all places, for the keys that lie within the batch; and (tid, start, other, key, hashes) for the keys that may go on outside."""
+    def run(t: pa.Table) -> tuple[list, list]:
+        key, least, tid = t.column("key").to_numpy(), t.column("least"), t.column("tid").combine_chunks()
+        hashes, has, first = window_hashes(t, passage, gram)
+        n, width = hashes.shape
+        outside = (key == key[0]) | (key == key[-1])
+        spans, cut = [], []
+        at = np.flatnonzero(outside & has.any(axis=1))
+        if len(at):
+            ends = np.concatenate([[0], np.cumsum(has[at].sum(axis=1))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[at][has[at]].view(np.int64)))
+            begin = (first[at] + has[at].argmax(axis=1)).astype(np.int32)
+            cut.append((tid.take(pa.array(at)), pa.array(begin), least.take(pa.array(at)).combine_chunks(), pa.array(key[at]), lists))
+        has &= ~outside[:, None]
+        flat = np.flatnonzero(has)
+        if not len(flat):
+            return spans, cut
+        row = flat // width
+        group = np.lexsort([hashes.ravel()[flat], key[row]])
+        flat, row = flat[group], row[group]
+        value, owner = hashes.ravel()[flat], key[row]
+        head = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]))
+        texts = np.frombuffer(b"".join(x[:8] for x in tid.to_pylist()), np.uint64)
+        place = texts[row] * BASE + (first[row] + flat % width).astype(np.uint64)
+        twice = np.minimum.reduceat(place, head) != np.maximum.reduceat(place, head)
+        by_id = pc.sort_indices(least).to_numpy()  # nulls last
+        rank = np.empty(n, np.int64)
+        rank[by_id] = np.arange(n)
+        smallest = np.minimum.reduceat(rank[row], head)
+        member = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(flat))))
+        best = np.full(n * width, n, np.int64)
+        best[flat[twice[member]]] = smallest[member[twice[member]]]
+        good = (best < n).reshape(n, width)
+        if good.any():
+            # neighbouring windows of a suffix are one span
+            edge = np.zeros((n, 1), bool)
+            start = np.flatnonzero((good & ~np.concatenate([edge, good[:, :-1]], axis=1)).ravel())
+            end = np.flatnonzero((good & ~np.concatenate([good[:, 1:], edge], axis=1)).ravel())
+            lowest, row = by_id[np.minimum.reduceat(best, start)], start // width
+            spans.append((tid.take(pa.array(row)), pa.array((first[row] + start % width).astype(np.int32)),
+                          pa.array((first[row] + end % width + passage).astype(np.int32)), least.take(pa.array(lowest)).combine_chunks()))
+        return spans, cut
+    return run
+
+
+def sorted_spans(passage: int, gram: int, whole: bool = True):
+    """Spans of a sorted partition. Its first and last suffix also come out, for the comparison with the next partition,
+    and, where ``whole``, the windows of keys that it or a batch may cut."""
+    found, met = neighbours(passage, gram), repeated_windows(passage, gram)
     columns = ["key", "after", "before", "right", "left", "at", "least"]
 
     def run(batches):
@@ -179,21 +245,26 @@ def sorted_spans(passage: int, gram: int):
             row = {c: t.column(c).combine_chunks() for c in ("tid", *columns)}
             null = pa.nulls(1, pa.int32())
             return pa.RecordBatch.from_arrays(
-                [row["tid"], null, null, pa.nulls(1, row["least"].type), pa.array([place]), *(row[c] for c in columns)],
-                names=["tid", "start", "end", "other", "edge", *columns])
+                [row["tid"], null, null, pa.nulls(1, row["least"].type), pa.array([place]), *(row[c] for c in columns), pa.nulls(1, pa.list_(pa.int64()))],
+                names=["tid", "start", "end", "other", "edge", *columns, "hashes"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             if not len(t):
                 continue
             first = first if first is not None else t.slice(0, 1)
+            kinds = {"key": pa.int64(), "after": pa.binary(), "before": pa.binary(), "right": pa.int32(), "left": pa.int32(), "at": pa.int32(), "least": t.schema.field("least").type, "hashes": pa.list_(pa.int64())}
+            spans, cut = met(t) if whole else ([], [])
+            for tid, start, other, key, hashes in cut:
+                n, own = len(tid), {"key": key, "hashes": hashes}
+                yield pa.RecordBatch.from_arrays([tid, start, pa.nulls(n, pa.int32()), other, pa.array(["cut"] * n), *(own.get(c, pa.nulls(n, k)) for c, k in kinds.items())],
+                                                 names=["tid", "start", "end", "other", "edge", *kinds])
             # the last suffix of the batch before stands ahead of this one
             t = pa.concat_tables([last, t]) if last is not None else t
-            for b in found(t):
-                n = len(b)
-                kinds = {"key": pa.int64(), "after": pa.binary(), "before": pa.binary(), "right": pa.int32(), "left": pa.int32(), "at": pa.int32(), "least": t.schema.field("least").type}
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(n, pa.string()), *(pa.nulls(n, k) for k in kinds.values())],
-                                                 names=["tid", "start", "end", "other", "edge", *columns])
+            for b in [*spans, *(b.columns for b in found(t))]:
+                n = len(b[0])
+                yield pa.RecordBatch.from_arrays([*b, pa.nulls(n, pa.string()), *(pa.nulls(n, k) for k in kinds.values())],
+                                                 names=["tid", "start", "end", "other", "edge", *kinds])
             last = t.slice(len(t) - 1, 1)
         if first is not None:
             yield edge(first, "first")
@@ -233,13 +304,19 @@ def repeated(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "after", "before", "tid", "at"]
     array = sparse.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    out = array.mapInArrow(sorted_spans(passage, gram), f"tid binary, start int, end int, other {kind}, edge string, key long, after binary, before binary, right int, left int, at int, least {kind}")
+    out = array.mapInArrow(sorted_spans(passage, gram), f"tid binary, start int, end int, other {kind}, edge string, key long, after binary, before binary, right int, left int, at int, least {kind}, hashes array<long>")
     with few_samples(spark):
         out = saved(out, "spans")
     # two rows per partition: the last suffix of each and the first of the next, sorted once more
-    edges = out.filter("edge IS NOT NULL").select("key", "after", "before", "tid", "at", "right", "left", "least").coalesce(1).sortWithinPartitions(*order)
-    across = edges.mapInArrow(sorted_spans(passage, gram), out.schema).filter("edge IS NULL")
+    edges = out.filter("edge IN ('first', 'last')").select("key", "after", "before", "tid", "at", "right", "left", "least").coalesce(1).sortWithinPartitions(*order)
+    across = edges.mapInArrow(sorted_spans(passage, gram, False), out.schema).filter("edge IS NULL")
     spans = out.filter("edge IS NULL").unionByName(across).select("tid", "start", "end", "other")
+    # the windows of keys that a batch or a partition may have cut
+    cut = out.filter("edge = 'cut'").select("tid", "start", "other", "key", F.posexplode("hashes").alias("k", "hash"))
+    cut = cut.select("tid", "key", "hash", "other", (F.col("start") + F.col("k")).alias("start"))
+    place = F.xxhash64("tid", "start")
+    again = durable(cut.groupBy("key", "hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("key", "hash"))
+    spans = spans.unionByName(cut.join(again, ["key", "hash"]).select("tid", "start", (F.col("start") + passage).alias("end"), "other"))
     whole = texts.filter((F.col("copies") > 1) & (F.col("words") >= passage)).select("tid", F.lit(0).alias("start"), F.col("words").alias("end"), F.col("least").alias("other"))
     spans = united(spans.unionByName(whole).groupBy("tid", "start", "end").agg(F.min("other").alias("other")))
     spans = durable(spans.join(texts.select("tid", "least"), "tid").select("tid", "start", "end", F.least("other", "least").alias("first_doc_id")))

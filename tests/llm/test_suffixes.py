@@ -52,6 +52,24 @@ def test_spans_equal_all_windows(spark):
     assert all(r.first_doc_id is not None and (r.doc_id is None or r.first_doc_id <= r.doc_id) for r in got if r.doc_id != 3000 or True)
 
 
+def common_beginning(n=12_000, pairs=40):
+    """Texts that share 20 words, of which some pairs share the 30 words before, too."""
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 50_000, n))
+    middle = min((word(20) for _ in range(3000)), key=lambda t: suffixes.grams(suffixes.hashes(t), 20)[0])
+    before = [word(30) for _ in range(n)]
+    for k in range(pairs):
+        before[n // 2 + 7 * k] = before[3 * k]
+    return [(d, f"{b} {middle} {word(30)}") for d, b in enumerate(before)]
+
+
+def test_a_very_common_beginning_over_batches_and_partitions(spark):
+    rows = common_beginning()
+    got = suffixes.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    mine = {(r.doc_id, w) for r in got for w in range(r.start, r.end)}
+    assert mine == covered(rows) and len(mine) == 80 * 50
+
+
 def test_minimisers_are_shared():
     rng = np.random.default_rng(1)
     passage = rng.integers(0, 2 ** 63, 50, dtype=np.uint64)
