@@ -25,9 +25,17 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", False, 0, 16),
     ("hex", r"[0-9a-f]{32,}", False, 0, 32),
 )
+# A private key: its first line, then what stands before the last line, be the lines apart or run together; where that line
+# is missing, the lines that are headers or look like parts of a key.
+HEAD = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+FIELD = r"""[A-Z][A-Za-z0-9-]{1,40}:(?:(?!-----)[^\r\n\\])*+(?=[\r\n\\])"""
+LINE = r"""(?:\r\n?|\n|\\r\\n|\\n)"""
+KEY = (r"""(?:(?:(?:[\s>"'\#*|,]|\\[rn])++(?:""" + FIELD + r"""|[A-Z][A-Za-z0-9-]{1,40}:[\x20\t]*+[^\s\\]++|[A-Za-z0-9+/=]++))*+(?:[\s>"'\#*|,]|\\[rn])*+-----END [A-Z ]{0,40}PRIVATE KEY-----"""
+       r"""|(?:""" + LINE + r"""++[\x20\t>"'\#*|]*+(?:""" + FIELD + r"""|(?:[A-Za-z0-9+/=]{16,}+|[A-Za-z]*+[0-9+/=][A-Za-z0-9+/=]*+|[A-Za-z]++(?=\Z))(?=[\x20\t"',]*+(?:[\r\n\\]|\Z)))"""
+       r"""|[\x20\t]++[A-Za-z0-9+/=]{40,}+(?=[\s\\]|\Z))++)?""")
 # What this operator looks for besides.
 MORE = (
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", False, 0, 0),
+    ("pem", HEAD + KEY, False, 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", False, 0, 0),
 )
 RULES = BASE + MORE

@@ -46,6 +46,22 @@ def test_more_rules(spark):
     assert got.spans == f"pem:0:31,jwt:32:{len(text)}" and got.base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_a_private_key_is_masked_whole(spark):
+    body = ["MIIEowIBAAKCAQEAx" + c * 47 for c in "GzQ+Y"] + ["Zm9vYmFy/Q=="]
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF", ""]
+    m = secret_scan.MASK
+    cases = [(f"a {sep.join([head, *more, *body, tail])} b", f"a {m} b") for sep in ("\n", "\r\n", "\\n", " ", "\n  ", "\n> ") for more in ([], fields)]
+    cases += [("\n".join([head, *more, *body, "Then it goes on.", "1 x"]), f"{m}\nThen it goes on.\n1 x") for more in ([], fields)]
+    cases += [("\n".join([head, *body[:3]]), m), ("\n".join([head, *body[:3], "MII"]), m), (" ".join([head, *body[:3], "and so on"]), f"{m} and so on")]
+    cases += [(f"{head}\nA line of prose.\n{tail}", f"{m}\nA line of prose.\n{tail}"), (f"secret={head}\n{body[0]}\n{tail}.", f"{m}."),
+              (f"{head}\n{body[0]}\n{tail}\n{head}\n{body[1]}\n{tail}\n", f"{m}\n{m}\n"), (f"{head}\n" + "z" * 300_000 + " b", f"{m}\n" + "z" * 300_000 + " b")]
+    got = {r.doc_id: r.text for r in secret_scan.redact(table(spark, [(k, t) for k, (t, _) in enumerate(cases)])).collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+    scanned = {r.doc_id: r for r in secret_scan.scan(table(spark, [(1, cases[3][0]), (2, "0123456789abcdef" * 2 + "\n" + cases[0][0])])).collect()}
+    assert scanned[2].n_hex == 1 and scanned[2].base_sha256 == hashlib.sha256(b"hex:0:32").hexdigest()
+
+
 def test_ledger_scans_only_unseen_pairs(spark):
     path = secret_scan.default_ledger(spark)
     first = [(1, TEXTS[0]), (2, TEXTS[2]), (3, TEXTS[0])]
