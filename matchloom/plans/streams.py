@@ -18,7 +18,9 @@ IDLE = 400 * 86_400_000
 def typed(v: View, watermark: str = "1 hour", ending: bool = True):
     """The event stream with its event time as a watermarked timestamp, and how it ends."""
     v.spark = live.with_state_store(v.spark)
-    m = tables.typed_events(live.read_table(v.spark, v.dir, "events")).withColumn("ts", F.timestamp_micros("t"))
+    if not hasattr(v, "ordered"):
+        v.ordered = live.in_time_order(v.spark, v.dir, "events", "ts")
+    m = tables.typed_events(live.read_table(v.spark, v.ordered)).withColumn("ts", F.timestamp_micros("t"))
     v.ending = live.Ending(v.spark) if ending else None
     return (v.ending.join(m) if ending else m).withWatermark("ts", watermark)
 
@@ -95,7 +97,7 @@ def stream_counters(v: View):
 def stream_tracks(v: View):
     """Frames are orders; an order's number in seconds stands for its time."""
     spark = live.with_state_store(v.spark)
-    l = live.read_table(spark, v.dir, "lineitem")
+    l = live.read_table(spark, live.in_time_order(spark, v.dir, "lineitem", "l_orderkey"))
     q, d = F.col("l_quantity") * 10, F.col("l_discount") * 1000
     rows = l.select(F.col("l_suppkey").alias("supp"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("no"), F.col("l_returnflag").alias("label"),
                     F.col("l_partkey").alias("part"), F.col("l_extendedprice").cast("double").alias("price"),
