@@ -1,4 +1,4 @@
-"""Rows at a least distance in time, in three steps however long the recording."""
+"""Rows at a least distance in time; a recording of any length and density is never one task."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from matchloom.operators.blocks import durable
 
@@ -24,10 +25,12 @@ def thin(df: DataFrame, key: Sequence[str], order: Sequence[str], block: Column,
     """Keep the first row of a key and every row ``interval`` after the last kept one: key + order columns.
 
     What a block does depends on one thing, its first kept row, which lies within one
-    interval of its first row. Each block reports for these rows where the chain from
-    there leaves it; the reports of a key are put together in order; then every block
-    keeps its own chain. ``order`` starts with the time; a key's reports hold at most one
-    interval per block and are put together in one task.
+    interval of its first row. Each block tells for these rows, one by one, where the
+    chain from there leaves it; the block that holds the time one interval later tells
+    which row of a later block comes next. From a key's first row on, the rows so
+    reached are collected by doubling the hops, in as many rounds as the number of
+    blocks has binary digits; then every block keeps its own chain. ``order`` starts
+    with the time, and ``block`` depends on that alone.
     """
     key, order = list(key), list(order)
     rows = durable(df.select(*key, *order, block.alias("blk_id")))
@@ -35,31 +38,45 @@ def thin(df: DataFrame, key: Sequence[str], order: Sequence[str], block: Column,
     kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
     ddl = lambda *names: ", ".join(f"`{c}` {kinds[c]}" for c in names)
 
-    def report(table: pa.Table) -> pa.Table:
+    def leave(table: pa.Table) -> pa.Table:
         t = np.unique(table.column(time).to_numpy())
         few = t[:np.searchsorted(t, t[0] + interval) + 1]
-        return pa.table({**{c: table.column(c).slice(0, 1) for c in spot}, "first": pa.array([few.tolist()], pa.list_(pa.int64())),
-                         "exit": pa.array([_exits(t, interval)[:len(few)].tolist()], pa.list_(pa.int64()))})
+        after = np.ceil(_exits(t, interval)[:len(few)] + interval).astype(np.int64)
+        same = pa.array(np.zeros(len(few), np.int64))
+        return pa.table({**{c: table.column(c).take(same) for c in key}, "at": pa.array(few), "after": pa.array(after)})
 
-    def compose(table: pa.Table) -> pa.Table:
-        table = table.sort_by("blk_id")
-        kept, entries = None, []
-        for first, leave in zip(table.column("first").to_pylist(), table.column("exit").to_pylist()):
-            entries.append(kept)
-            at = 0 if kept is None else int(np.searchsorted(first, kept + interval))
-            kept = leave[at] if at < len(first) else kept
-        return table.select(spot).append_column("entry", pa.array(entries, pa.int64()))
+    def land(leaving: pa.Table, table: pa.Table) -> pa.Table:
+        t = np.unique(table.column(time).to_numpy()) if len(table) else np.zeros(0, np.int64)
+        to = np.searchsorted(t, leaving.column(time).to_numpy())
+        known = to < len(t)
+        next_one = np.zeros(len(to), np.int64)
+        next_one[known] = t[to[known]]
+        return leaving.select([*spot, "at"]).append_column("to", pa.array(next_one, mask=~known))
 
     def keep(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in order])
-        t, entry = table.column(time).to_numpy(), table.column("entry")[0].as_py()
-        at = 0 if entry is None else int(np.searchsorted(t, entry + interval))
+        t = table.column(time).to_numpy()
+        at = int(np.searchsorted(t, table.column("entry")[0].as_py()))
         chosen = []
         while at < len(t):
             chosen.append(at)
             at = int(np.searchsorted(t, t[at] + interval))
         return table.select([*key, *order]).take(pa.array(chosen, pa.int64()))
 
-    reports = rows.groupBy(*spot).applyInArrow(report, f"{ddl(*spot)}, first array<long>, exit array<long>")
-    entries = durable(reports.groupBy(*key).applyInArrow(compose, f"{ddl(*spot)}, entry long"))
+    leaving = rows.select(*spot, time).groupBy(*spot).applyInArrow(leave, f"{ddl(*key)}, at long, after long")
+    leaving = leaving.select(*key, "at", F.col("after").alias(time)).select(*key, "at", time, block.alias("blk_id"))
+    times = rows.select(*spot, time).groupBy(*spot)
+    landed = durable(leaving.groupBy(*spot).cogroup(times).applyInArrow(land, f"{ddl(*spot)}, at long, to long"))
+    # where that block has no such row, the first one of the next block that has rows
+    first = rows.groupBy(*spot).agg(F.min(time).alias("low"))
+    seen = first.unionByName(landed.filter("to IS NULL").select(*spot, F.lit(None).cast("long").alias("low"))).groupBy(*spot).agg(F.min("low").alias("low"))
+    beyond = W.partitionBy(*key).orderBy(F.desc("blk_id")).rowsBetween(W.unboundedPreceding, -1)
+    later = seen.select(*spot, F.last("low", ignorenulls=True).over(beyond).alias("later"))
+    hops = landed.join(later, spot, "left").select(*key, "at", F.coalesce("to", "later").alias("to")).filter("to IS NOT NULL")
+    reached, hops = durable(rows.groupBy(*key).agg(F.min(time).alias("at"))), durable(hops)
+    while not hops.isEmpty():
+        reached = durable(reached.unionByName(reached.join(hops, [*key, "at"]).select(*key, F.col("to").alias("at"))))
+        ahead = hops.select(*key, F.col("at").alias("to"), F.col("to").alias("far"))
+        hops = durable(hops.join(ahead, [*key, "to"]).select(*key, "at", F.col("far").alias("to")))
+    entries = reached.select(*key, F.col("at").alias(time)).select(*key, block.alias("blk_id"), F.col(time).alias("entry"))
     return rows.join(entries, spot).groupBy(*spot).applyInArrow(keep, ddl(*key, *order))
