@@ -277,7 +277,7 @@ def repeated(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
 
     Words are numbered from 0, end is exclusive. Every span is a union of passages of
     at least ``passage`` words, each of which occurs at another place, in this or
-    another document; first_doc_id is the smallest doc_id known to hold one of them.
+    another document; first_doc_id is the smallest doc_id of all that hold one of them.
     A document with nothing repeated has no row. A null text is an empty one. Rows
     with equal doc_id and text are copies like any other and give equal rows; a null
     doc_id takes part but is never first_doc_id. An empty table gives no rows.
@@ -315,8 +315,8 @@ def repeated(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
     cut = out.filter("edge = 'cut'").select("tid", "start", "other", "key", F.posexplode("hashes").alias("k", "hash"))
     cut = cut.select("tid", "key", "hash", "other", (F.col("start") + F.col("k")).alias("start"))
     place = F.xxhash64("tid", "start")
-    again = durable(cut.groupBy("key", "hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("key", "hash"))
-    spans = spans.unionByName(cut.join(again, ["key", "hash"]).select("tid", "start", (F.col("start") + passage).alias("end"), "other"))
+    again = durable(cut.groupBy("key", "hash").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("other").alias("first")).filter("a <> b").select("key", "hash", "first"))
+    spans = spans.unionByName(cut.join(again, ["key", "hash"]).select("tid", "start", (F.col("start") + passage).alias("end"), F.col("first").alias("other")))
     whole = texts.filter((F.col("copies") > 1) & (F.col("words") >= passage)).select("tid", F.lit(0).alias("start"), F.col("words").alias("end"), F.col("least").alias("other"))
     spans = united(spans.unionByName(whole).groupBy("tid", "start", "end").agg(F.min("other").alias("other")))
     spans = durable(spans.join(texts.select("tid", "least"), "tid").select("tid", "start", "end", F.least("other", "least").alias("first_doc_id")))

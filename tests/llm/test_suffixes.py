@@ -70,6 +70,17 @@ def test_a_very_common_beginning_over_batches_and_partitions(spark):
     assert mine == covered(rows) and len(mine) == 80 * 50
 
 
+def test_first_doc_id_is_the_smallest_of_all_holders(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 50_000, n))
+    many, few = word(60), word(50)
+    own = lambda d, side: " ".join(f"{side}{d}.{k}" for k in range(30))
+    rows = [(7 + d, f"{own(d, 'a')} {many} {own(d, 'b')}") for d in rng.permutation(3000).tolist()]
+    rows += [(None, f"{word(9)} {few} {word(9)}"), (9002, f"{few} {word(9)}"), (9001, few), (9003, few)]
+    got = suffixes.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((r.n_words, r.first_doc_id) for r in got) == [(50, 9001)] * 4 + [(60, 7)] * 3000
+
+
 def test_minimisers_are_shared():
     rng = np.random.default_rng(1)
     passage = rng.integers(0, 2 ** 63, 50, dtype=np.uint64)
