@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import mixing, neighbours, packing, quality, secret_scan, sharding, simhash, suffixes, topk, toxicity
+from matchloom.llm import conversations, mixing, neighbours, packing, quality, secret_scan, sharding, simhash, suffixes, topk, toxicity
 from matchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ SELECT doc_id, size, source, source_size, target, copies, copies * size AS taken
 @query
 def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeated(table(spark, folder, "documents"))
+
+
+@query
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repaired(table(spark, folder, "conversations"))
