@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import conversations, mixing, neighbours, packing, quality, secret_scan, sharding, simhash, suffixes, topk, toxicity
+from matchloom.llm import conversations, lexical, mixing, neighbours, packing, quality, secret_scan, sharding, simhash, suffixes, topk, toxicity
 from matchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,27 @@ def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repaired(table(spark, folder, "conversations"))
+
+
+@query
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def lexical_sql(documents: str, items: str) -> str:
+    terms = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {terms} AS t FROM {documents}),
+q AS (SELECT row_number() OVER () AS item, item_id, list_distinct({terms}) AS t FROM {items}),
+g AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+s AS (SELECT rid, doc_id, 50 + (50 * len(t) * n_docs) // n_terms AS m FROM d, g WHERE len(t) > 0),
+w AS (SELECT item, item_id, unnest(t) AS term FROM q),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM w) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), g),
+x AS (SELECT item, rid, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM w JOIN p USING (term) JOIN f USING (term) JOIN s USING (rid) GROUP BY item, rid)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 50"""
+
+
+ORACLE["op12_lexical"] = lexical_sql("documents", "benchmark")
