@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import conversations, lexical, mixing, neighbours, packing, quality, secret_scan, sharding, simhash, suffixes, topk, toxicity
+from matchloom.llm import conversations, descent, lexical, mixing, neighbours, packing, quality, secret_scan, sharding, simhash, suffixes, topk, toxicity
 from matchloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,8 @@ SELECT item_id, rank, doc_id, score FROM (
 
 
 ORACLE["op12_lexical"] = lexical_sql("documents", "benchmark")
+
+
+@query
+def op13_descent(spark: SparkSession, folder: str) -> DataFrame:
+    return descent.search(table(spark, folder, "embeddings"))
