@@ -19,13 +19,17 @@ pieces have is not one task.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
+from itertools import islice
+from unicodedata import category
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -40,21 +44,34 @@ TOKENIZER = "word_bpe_49k.json"
 #: White-space-free chunks that a task remembers, and the longest that it remembers.
 CACHE = 400_000
 LONGEST = 64
+#: Bytes of text that are encoded together.
+TOGETHER = 8_000_000
 RUN = [("length", "i8"), ("lo", "i8"), ("n", "i8"), ("sequence", "i8"), ("offset", "i8"), ("each", "i8")]
 
 
 class Encoder(dict):
-    """Token ids of whole texts as little-endian bytes, through a cache of chunks.
-
-    The tokenizer never joins characters across white space, so a text's ids are
-    those of its chunks. Chunks of Latin characters are split and lower-cased here
-    and only their pieces go to the vocabulary; all others, and texts that hold a
-    special token or a control character that str.split takes for space, go to the
-    tokenizer whole.
+    """Token ids of texts through a memory of chunks.
+
+    Where the tokenizer file is of the kind described by KNOWN, it never joins
+    characters across white space, so a text's ids are those of its chunks. Arrow
+    splits many texts at once and tells their distinct chunks; only these are looked
+    up, and the ids of all texts are gathered by numpy from one array. Chunks of Latin
+    characters are lower-cased and split here and only their pieces go to the
+    vocabulary; all others go to the tokenizer. So do, whole, the texts that hold a
+    special token or a control character that is white space to Arrow alone, and all
+    texts of tokenizers of another kind.
     """
 
-    ODD = regex.compile(r"[\x1c-\x1f]|<\|(?:start|end)oftext\|>")
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    #: Normaliser and splitting that allow work by chunks. These are fixed values of the tokenizer format.
+    KNOWN = {
+        "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    LETTER, NUMBER = ("".join(c for c in map(chr, range(0x250)) if category(c)[0] == kind) for kind in "LN")
+    PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|\n|[^\s{LETTER}{NUMBER}]+")
+    #: What keeps a chunk from being split here: characters beyond Latin, and the one whose lower case is two characters.
+    FOREIGN = r"[^\x00-\x{24F}]|\x{130}"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -65,6 +82,12 @@ class Encoder(dict):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        told = json.loads(self.whole.to_str())
+        self.added = [t["content"] for t in told["added_tokens"]]
+        self.by_chunk = (
+            (told["normalizer"] or {}).get("normalizers") == self.KNOWN["normalizer"] and (told["pre_tokenizer"] or {}).get("pretokenizers") == self.KNOWN["pretokenizers"]
+            and told["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"])
+            and not any(c.isspace() for t in self.added for c in t))
 
     def slow(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -75,26 +98,99 @@ class Encoder(dict):
             shown = "".join(map(self.letters.__getitem__, piece.encode()))
             found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
             if len(piece) <= LONGEST:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
+                forget(self.pieces)
                 self.pieces[piece] = found
         return found
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk.isascii() or max(chunk) < "ɐ":
-            ids = b"".join(map(self.piece, self.PIECES.findall(chunk.lower())))
-        else:
-            ids = self.slow(chunk)
+        ids = self.slow(chunk)
         if len(chunk) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
+            forget(self)
             self[chunk] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self.slow(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks in one array; where each chunk's begin, and how many they are."""
+        foreign = np.array(pc.match_substring_regex(chunks, self.FOREIGN), bool)
+        low = pc.utf8_lower(chunks)
+        plain = np.array(pc.utf8_is_alpha(low), bool) & ~foreign
+        mixed = ~plain & ~foreign
+        # the chunks that are not letters alone, one a line
+        lines = pa.array(self.PIECES.findall("\n".join([*low.filter(pa.array(mixed)).to_pylist(), ""])), pa.string())
+        coded = pa.concat_arrays([low.filter(pa.array(plain)), lines]).dictionary_encode()
+        known = list(map(self.piece, coded.dictionary.to_pylist()))
+        codes = coded.indices.to_numpy()
+        line = coded.dictionary.index("\n").as_py()
+        if line >= 0:
+            known[line] = b""
+        ids, sizes = gathered(known, codes)
+        ends, alone = np.concatenate([[0], np.cumsum(sizes)]), int(plain.sum())
+        last = np.flatnonzero(codes[alone:] == line) + alone + 1
+        bounds = ends[np.concatenate([np.arange(alone + 1), last])]
+        others = [self[c] for c in chunks.filter(pa.array(foreign)).to_pylist()]
+        more = np.fromiter(map(len, others), np.int64, len(others)) // 4
+        first, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        own = np.concatenate([np.flatnonzero(plain), np.flatnonzero(mixed)])
+        first[own], size[own] = bounds[:-1], np.diff(bounds)
+        first[foreign], size[foreign] = len(ids) + np.cumsum(more) - more, more
+        return np.concatenate([ids, np.frombuffer(b"".join(others), "<u4")]), first, size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each ended by END, and where the texts begin (one more than texts)."""
+        odd: dict[int, bytes] = {}
+        if not self.by_chunk:
+            odd = {i: self.slow(t) for i, t in enumerate(texts.to_pylist())}
+        split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        last = split.offsets.to_numpy() - split.offsets[0].as_py()
+        if self.by_chunk:
+            special = np.zeros(len(coded.dictionary), bool)
+            for token in self.added:
+                special |= np.array(pc.match_substring(coded.dictionary, token), bool)
+            whole = set((np.searchsorted(last, np.flatnonzero(special[codes]), "right") - 1).tolist())
+            bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
+            control = np.flatnonzero((data >= 0x1c) & (data <= 0x1f)) + bounds[0]
+            whole.update((np.searchsorted(bounds, control, "right") - 1).tolist())
+            odd = {i: self.slow(texts[i].as_py()) for i in whole}
+            ids, first, size = self.chunks(coded.dictionary)
+        else:
+            ids, first, size = np.zeros(0, "<u4"), *np.zeros((2, len(coded.dictionary)), np.int64)
+        more = [odd[i] for i in sorted(odd)] + [np.array([END], "<u4").tobytes()]
+        if odd:  # such a text is one chunk of its own
+            keep = np.ones(len(codes), bool)
+            for i in odd:
+                keep[last[i]:last[i + 1]] = False
+            counts = np.add.reduceat(np.append(keep, False), last[:-1]) * (np.diff(last) > 0) if len(last) > 1 else np.zeros(0, int)
+            codes, last = codes[keep], np.concatenate([[0], np.cumsum(counts)])
+            at = np.array(sorted(odd))
+            codes = np.insert(codes, last[at], np.arange(len(first), len(first) + len(at)))
+            grown = np.zeros(len(last), int)
+            grown[at + 1] = 1
+            last = last + np.cumsum(grown)
+        codes = np.insert(codes, last[1:], len(first) + len(odd))
+        lengths = np.fromiter(map(len, more), np.int64, len(more)) // 4
+        first, size = np.concatenate([first, len(ids) + np.cumsum(lengths) - lengths]), np.concatenate([size, lengths])
+        ids = np.concatenate([ids, np.frombuffer(b"".join(more), "<u4")])
+        n = size[codes]
+        ends = np.cumsum(n)
+        return ids[np.repeat(first[codes] - (ends - n), n) + np.arange(n.sum())], np.concatenate([[0], ends])[np.concatenate([[0], last[1:] + np.arange(1, len(last))])]
+
+
+def gathered(known: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all codes one after the other, and how many each has."""
+    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    first, n = np.cumsum(size) - size, size[codes]
+    ends = np.cumsum(n)
+    return np.frombuffer(b"".join(known), "<u4")[np.repeat(first[codes] - (ends - n), n) + np.arange(n.sum())], n
+
+
+def forget(memory: dict) -> None:
+    """A full memory loses its older half."""
+    if len(memory) >= CACHE:
+        for k in list(islice(memory, CACHE // 2)):
+            del memory[k]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -106,27 +202,38 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def slices(texts: pa.Array, most: int = TOGETHER):
+    """Runs of texts of about ``most`` bytes together."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield at, to
+        at = to
+
+
 def cut(path: str, capacity: int):
     """Batches of (doc_id, text) to batches of pieces."""
-    end = np.array([END], "<u4").tobytes()
-
     def run(batches):
         code = encoder(path)
         for batch in batches:
-            owner, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = code.encode(text or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    owner.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts = batch.column(1).fill_null("")
+            for lo, hi in slices(texts):
+                ids, start = code.encode(texts.slice(lo, hi - lo))
+                size = np.diff(start)
+                n = -(-size // capacity)
+                owner = np.repeat(np.arange(len(size)), n)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                at = piece * capacity
+                length = np.minimum(capacity, size[owner] - at)
+                place = (start[owner] + at).tolist()
+                whole = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(whole[4 * p:4 * (p + k)]) for p, k in zip(place, length.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owner + lo, pa.int64())), pa.array(piece, pa.int32()), pa.array(at, pa.int64()),
+                     pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"])
     return run
 
 

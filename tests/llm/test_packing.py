@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -44,13 +45,42 @@ def check(rows, docs, capacity):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("aAbz'st ,.\n\t\x1c\x85\xa0é²ß<|>1٣日"), st.characters(codec="utf-8")), max_size=40))
 def test_encoder_equals_tokenizer(text):
-    assert packing.encoder(PATH).encode(text) == np.array(ids(text)[:-1], "<u4").tobytes()
+    same([text, "x", text])
+
+
+def same(texts, path=PATH, whole=None):
+    """Texts of one array, also as part of a longer one, to the tokenizer's own ids."""
+    want = [[*(whole or WHOLE).encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    array = pa.array(["<|endoftext|> before\x1f", *texts, "after"], pa.string()).slice(1, len(texts))
+    got, start = packing.encoder(path).encode(array)
+    assert [got[a:b].tolist() for a, b in zip(start, start[1:])] == want
+
+
+def test_many_texts_of_all_kinds():
+    rng = np.random.default_rng(5)
+    parts = ["word", "don't", "<|endoftext|>", "x<|startoftext|>", "\x1c", "a\x1fb", "\u3000", "\u00e9t\u00e9", "\u6c49\u5b57", "", "\n\n", "A1B2", "!!", "\u00a0", "\u0085", "y" * 90]
+    same(["".join(parts[k] + " " * int(g) for k, g in zip(rng.integers(0, len(parts), n), rng.integers(0, 2, n))) for n in rng.integers(0, 30, 400)])
+    same([])
+    same([""])
+
+
+def test_memory_drops_its_older_half(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 8)
+    code = packing.Encoder(PATH)
+    for _ in range(2):
+        got, _ = code.encode(pa.array([" ".join(f"w{k}" for k in range(40))]))
+        assert got.tolist() == ids(" ".join(f"w{k}" for k in range(40))) and len(code) <= 9
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_tokenizer_of_another_kind(name):
+    """Its texts go to the tokenizer whole."""
+    path = public_tokenizers.path(name)
+    same(["Two  spaces", "", "don't <|endoftext|> \n x", "\u6c49 \u00e9"], path, Tokenizer.from_file(path))
 
 
 def test_special_tokens_and_long_chunks():
-    code = packing.encoder(PATH)
-    for text in ("a <|endoftext|> b", "x<|startoftext|>y", "y" * 3000, "don't DON'T we'll 'S", "é" * 200 + " ok"):
-        assert code.encode(text) == np.array(ids(text)[:-1], "<u4").tobytes()
+    same(["a <|endoftext|> b", "x<|startoftext|>y", "y" * 3000, "don't DON'T we'll 'S", "é" * 200 + " ok"])
 
 
 @pytest.mark.parametrize("capacity", [64, 4096])
