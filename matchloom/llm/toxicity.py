@@ -9,22 +9,23 @@ labelled sentences; the machine is linear in the kernel values to them, hence it
 numerator is one table over subsequences and a string costs a few hundred lookups.
 
 Only documents are labelled. The strings of toxic documents that make them so are
-found by how much more often their character runs occur in toxic documents. The
-machine is then fitted in rounds, each with the clean strings that the one before
-scored highest. A document's score is that of its highest string, calibrated.
+found by how much more often their character runs occur in toxic documents: Spark
+counts runs and strings over whole texts, and the driver gets bounded pools of
+strings. The machine is then fitted in rounds, each with the clean strings that the
+one before scored highest. A document's score is that of its highest string,
+calibrated on whole texts.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from matchloom.llm.common import pick, surely
+from matchloom.llm.common import durable, pick, saved, surely
 
 DECAY = 0.6
 ALPHABET = 48
@@ -34,11 +35,14 @@ STEP = 5
 SPAN = 9
 #: Decision values below this one are all alike.
 FLOOR = -0.9
-#: Labelled documents used for fitting, per label, and distinct strings read from each.
+#: Labelled documents used for fitting, per label.
 DOCUMENTS = {1: 1200, 0: 2400}
-STRINGS = 800
+#: Strings that the machine is fitted on, drawn from all strings of these documents: landmarks, insults, clean strings at first,
+#: and the pool of clean strings (those most like insults and as many others) from which each round takes its hard ones.
 LANDMARKS = 160
+POSITIVES = 1_500
 NEGATIVES = 6_000
+POOL = 36_000
 ROUNDS = 3
 #: Least that the third-best run of a string must tell (see fit) for the string to count as an insult.
 LEAST_TOLD = 15.0
@@ -213,59 +217,33 @@ def runs(s: str) -> set[str]:
     return {s[i:i + 4] for i in range(len(s) - 3)} | {s[:n] for n in range(5, min(9, len(s)) if s[0] == "^" else 0)} or {s}
 
 
-def fit(docs: list[tuple[int, list[str]]]) -> Machine | None:
-    """The machine from (label, strings) of documents; None unless both labels occur."""
-    toxic, clean = [s for y, s in docs if y == 1], [s for y, s in docs if y == 0]
-    if not toxic or not clean:
-        return None
-    often = {1: Counter(), 0: Counter()}
-    for y, strings in docs:
-        often[y].update(set().union(*map(runs, strings)) if strings else ())
-    # how much a character run tells: documents with it, times the log of how much more frequent it is in toxic ones
-    telling = {r: n * max(0.0, np.log((n + 0.5) / (len(toxic) + 1)) - np.log((often[0][r] + 0.5) / (len(clean) + 1))) for r, n in often[1].items() if n > 1}
-    # three runs of a string have to tell, for one may be part of common words
-    worth = lambda s: sorted(telling.get(r, 0.0) for r in runs(s))[-3:][0]
-    witnesses, certain = Counter(), set()
-    for strings in toxic:
-        values = {s: worth(s) for s in strings}
-        most = max(values.values(), default=0.0)
-        witnesses.update(s for s, v in values.items() if v >= LEAST_TOLD and v >= most / 4)
-        certain.update(s for s, v in values.items() if v >= SURELY_TOLD)
-    # only strings that are rare in clean documents themselves, and that several documents share unless they tell a lot
-    elsewhere = Counter(s for strings in clean for s in set(strings) if s in witnesses)
-    witnesses = Counter({s: n for s, n in witnesses.items() if n * len(clean) > 10 * elsewhere[s] * len(toxic) and (n > 2 or s in certain)})
-    if not witnesses:
-        return None
-    every = sorted(set().union(*map(set, clean)), key=lambda s: zlib.crc32(s.encode()))
-    every = [s for s in every if s not in witnesses]
-    if not every:
+def fit(positives: list[str], negatives: list[str], pool: list[str]) -> Machine | None:
+    """The machine from insults, clean strings, and the pool of further clean ones; None unless there are both."""
+    if not positives or not negatives:
         return None
-    positives = [s for s, _ in sorted(witnesses.items(), key=lambda x: (-x[1], x[0]))][:NEGATIVES // 4]
-    negatives, machine = every[:NEGATIVES], None
-    alike = sorted(((s, worth(s)) for s in every), key=lambda x: -x[1])[:6 * NEGATIVES]  # clean strings that look like insults
-    pool = list(dict.fromkeys([*(s for s, v in alike if v > 0), *every[:6 * NEGATIVES]]))
     landmarks = spread(positives[:4 * LANDMARKS], 2 * LANDMARKS // 3) + spread(negatives[:4 * LANDMARKS], LANDMARKS // 3)
+    machine = None
     for _ in range(ROUNDS):
         y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
         machine = support_vectors([*positives, *negatives], y, landmarks)
         hard = [pool[i] for i in np.argsort(-machine.decide(pool), kind="stable")[:NEGATIVES // 4]]
         negatives = list(dict.fromkeys([*negatives, *hard]))
         landmarks = list(dict.fromkeys([*landmarks, *hard[:LANDMARKS // 5]]))
-    top, y = [], []
-    for label, strings in docs:
-        top.append(machine.decide(strings).max() if strings else FLOOR)
-        y.append(label)
-    x, y = np.array(top), np.array(y, float)
+    return machine
+
+
+def calibrate(machine: Machine, values: list[float], labels: list[int]) -> None:
+    """Logistic calibration of the decision values of whole documents."""
+    x, y = np.array(values, float), np.array(labels, float)
     a, b = 4.0, -2.0
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    for _ in range(50):  # logistic calibration
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         g = np.array([((p - target) * x).sum() + 1e-2 * (a - 4), (p - target).sum()])
         h = p * (1 - p) + 1e-9
         step = np.linalg.solve(np.array([[(h * x * x).sum() + 1e-2, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]]), g)
         a, b = a - np.clip(step[0], -5, 5), b - np.clip(step[1], -5, 5)
     machine.slope, machine.shift = float(max(a, 0.1)), float(b)
-    return machine
 
 
 class Scores(dict):
@@ -306,35 +284,99 @@ class Scores(dict):
 _SCORES: dict[str, Scores] = {}
 
 
-def scorer(machine: Machine | None, name: str):
+def decider(machine: Machine, name: str):
+    """Decision value of the highest string of each whole text."""
     @F.arrow_udf(T.DoubleType())
-    def toxicity(texts: pa.Array) -> pa.Array:
-        if machine is None:
-            return pa.array([0.0] * len(texts), pa.float64())
+    def decision(texts: pa.Array) -> pa.Array:
         if name not in _SCORES:
             _SCORES.clear()
             _SCORES[name] = Scores(machine)
-        values = _SCORES[name].texts([x or "" for x in texts.to_pylist()])
-        return pa.array(machine.probability(values), pa.float64())
-    return toxicity
+        return pa.array(_SCORES[name].texts([x or "" for x in texts.to_pylist()]), pa.float64())
+    return decision
+
+
+def scorer(machine: Machine | None):
+    """Calibrated score of whole texts; 0 without a machine."""
+    if machine is None:
+        return lambda text: F.lit(0.0)
+    value = decider(machine, machine_name(machine))
+    bounded = lambda text: F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.lit(machine.slope) * value(text) + F.lit(machine.shift)))
+    return lambda text: F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded(text)))
 
 
 def remainder(ids, n: int):
     return F.pmod(F.crc32(F.coalesce(ids.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def strings_of(text: str | None) -> set[str]:
+    return {u for c in chunks(text or "") for u in units(c)}
+
+
 def reading(batches):
+    """Batches (doc_id, label, text) to every distinct string of a document."""
     for batch in batches:
-        rows = [(y, sorted({u for c in chunks(t or "") for u in units(c)}, key=lambda s: zlib.crc32(s.encode()))[:STRINGS])
-                for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array([s for _, s in rows], pa.list_(pa.string()))], names=["label", "strings"])
+        found = [sorted(strings_of(t)) for t in batch.column(2).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([s for x in found for s in x], pa.string())],
+                                         names=["doc_id", "label", "string"])
+
+
+def run_reading(batches):
+    """Batches (doc_id, label, text) to every distinct run of a document."""
+    for batch in batches:
+        found = [sorted(set().union(*map(runs, strings_of(t)))) for t in batch.column(2).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(1).take(at), pa.array([r for x in found for r in x], pa.string())], names=["label", "run"])
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def marks(strings: pa.Array) -> pa.Array:
+    return pa.array([sorted(runs(s)) for s in strings.to_pylist()], pa.list_(pa.string()))
+
+
+def examples(texts: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """Insults, clean strings and the pool from whole labelled texts (doc_id, label, text), counted by Spark.
+
+    A run tells as much as documents have it, times the log of how much more frequent
+    it is in toxic ones; a string as much as its third-best run, for one may be part of
+    common words. Witnesses of a toxic document are its strings that tell most. Insults
+    are witnesses that are rare in clean documents themselves, and that several
+    documents share unless they tell a lot.
+    """
+    toxic, clean = texts.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    if not toxic or not clean:
+        return [], [], []
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    each = saved(texts.mapInArrow(reading, f"doc_id {kind}, label int, string string"), "strings")
+    both = [F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("c")]
+    often = texts.mapInArrow(run_reading, "label int, run string").groupBy("run").agg(*both).filter("t > 1")
+    tells = F.col("t") * (F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1)))
+    telling = often.select("run", tells.alias("value")).filter("value > 0")
+    strings = each.groupBy("string").agg(*both)
+    least = each.select("string").distinct().withColumn("runs", marks("string"))
+    third = least.select("string", F.least(F.lit(3), F.size("runs")).alias("place"), F.explode("runs").alias("run")).join(telling, "run")
+    third = third.groupBy("string").agg(F.max("place").alias("place"), F.sort_array(F.collect_list("value"), asc=False).alias("values"))  # at most a dozen
+    third = third.select("string", F.try_element_at("values", F.col("place")).alias("worth")).filter("worth IS NOT NULL")
+    strings = saved(strings.join(third, "string", "left").withColumn("worth", F.coalesce("worth", F.lit(0.0))), "worth")
+    told = each.filter("label = 1").join(strings.filter(F.col("worth") >= LEAST_TOLD).select("string", "worth"), "string")
+    most = told.groupBy("doc_id").agg(F.max("worth").alias("most"))
+    seen = told.join(most, "doc_id").filter(F.col("worth") >= F.col("most") / 4).groupBy("string").agg(F.count(F.lit(1)).alias("n"))
+    seen = seen.join(strings, "string").filter((F.col("n") * clean > 10 * F.col("c") * toxic) & ((F.col("n") > 2) | (F.col("worth") >= SURELY_TOLD)))
+    witnesses = durable(seen.select("string", "n"))
+    others = durable(strings.filter("c > 0").join(witnesses, "string", "left_anti").select("string", "worth", F.crc32(F.col("string").cast("binary")).alias("h")))
+    rows = lambda df, *order: [r.string for r in df.orderBy(*order).select("string").collect()]
+    positives = rows(witnesses.orderBy(F.desc("n"), "string").limit(POSITIVES), F.desc("n"), "string")
+    spare = rows(others.orderBy("h", "string").limit(POOL), "h", "string")
+    alike = rows(others.filter("worth > 0").orderBy(F.desc("worth"), "h", "string").limit(POOL), F.desc("worth"), "h", "string")
+    return positives, spare[:NEGATIVES], list(dict.fromkeys([*alike, *spare]))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int = 4) -> Machine | None:
-    """Fit on a bounded sample: at most DOCUMENTS labelled documents per label and STRINGS strings of each.
+    """Fit on a bounded sample: at most DOCUMENTS labelled documents per label, whole texts of them.
 
-    A document with several labels counts as toxic if one says so. Rows whose
-    crc32(doc_id as text) mod ``of`` is ``held_out`` are never read.
+    A document with several labels counts as toxic if one says so; of the texts that
+    share a doc_id the one of smallest hash is read. Rows whose crc32(doc_id as text)
+    mod ``of`` is ``held_out`` are never read.
     """
     known = pick(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).filter(remainder(F.col("doc_id"), of) != held_out)
@@ -343,8 +385,15 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int = 4) ->
         some = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sum(DOCUMENTS) rows
-    rows = texts.select("doc_id", "label", "text").dropDuplicates(["doc_id"]).select("label", "text").mapInArrow(reading, "label int, strings array<string>")
-    return fit(sorted((r.label, list(r.strings)) for r in rows.collect()))
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))).alias("least")
+    texts = saved(texts.groupBy("doc_id", "label").agg(least).select("doc_id", "label", "least.text"), "labelled")
+    machine = fit(*examples(texts))
+    if machine is not None:
+        name = f"{machine_name(machine)}:fitting"
+        rows = texts.select("label", decider(machine, name)("text").alias("value")).collect()  # at most sum(DOCUMENTS) rows
+        rows.sort()
+        calibrate(machine, [r.value for r in rows], [r.label for r in rows])
+    return machine
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int = 4, cut: float = CUT) -> DataFrame:
@@ -357,7 +406,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int = 4, cu
     """
     machine = train(docs, labels, held_out, of)
     rows = pick(docs, "doc_id", "text")
-    value = scorer(machine, machine_name(machine))(F.col("text"))
+    value = scorer(machine)(F.col("text"))
     out = rows.select("doc_id", (remainder(F.col("doc_id"), of) == held_out).alias("held_out"), value.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
@@ -367,8 +416,11 @@ def machine_name(machine: Machine | None) -> str:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, held_out: int = 2, of: int = 4, cut: float = CUT) -> DataFrame:
-    """The documents that score below the cut, with all their columns."""
+    """The documents that score below the cut, with all their columns and in their own names.
 
+    A null or empty text, or one without letters, is clean. Equal rows stay or go
+    together, a row with a null doc_id is judged like any other; column names may clash.
+    """
     machine = train(docs, labels, held_out, of)
     rows, text = surely(docs, "text")
-    return rows.filter(scorer(machine, machine_name(machine))(F.col(text)) < cut).toDF(*docs.columns)
+    return rows.filter(scorer(machine)(F.col(text)) < cut).toDF(*docs.columns)
