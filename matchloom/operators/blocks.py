@@ -85,6 +85,13 @@ def _walker(kernel, columns: list[str], key: list[str], fields: list[str], arrow
     return run
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """Small inputs do not need every shuffle partition; large ones get them all."""
+    spark = rows.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK)))
+
+
 def run_blocks(
     df: DataFrame,
     key: Sequence[str],
@@ -95,10 +102,7 @@ def run_blocks(
     """Run ``kernel`` over every key; returns ``key`` + ``kernel.schema`` columns."""
     key, order, spot = list(key), list(order), [*key, "blk_id"]
     rows = durable(df.withColumn("blk_id", block))
-    spark = df.sparkSession
-    # small inputs do not need every shuffle partition; large ones get them all
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tasks = min(most, max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK)))
+    tasks = tasks_for(rows)
     out_type = T.StructType.fromDDL(kernel.schema)
     fields = out_type.fieldNames()
     schema = T.StructType(

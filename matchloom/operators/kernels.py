@@ -7,6 +7,7 @@ block started from a fresh state soon agrees with the true one.
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 
 def _num(x):
@@ -243,6 +244,9 @@ class BoxTracker:
 
     A row is a frame with ``boxes`` (x1, y1, x2, y2, label).  A track is named by
     the frame and position that created it; ordinal names are given afterwards.
+    Names decide nothing but ties: of tracks that overlap a box equally, the one
+    that comes first in the list wins. A state with a list ``ties`` notes the pairs
+    of names (earlier, later) between which this was so.
     """
 
     schema = "frame long, det int, label string, born_frame long, born_det int"
@@ -260,6 +264,8 @@ class BoxTracker:
         scored = sorted(
             ((box_iou(tr["box"], b), -ti, -di) for ti, tr in enumerate(tracks) for di, (b, _) in enumerate(boxes)),
             reverse=True)
+        if "ties" in s:
+            self._note_ties(s["ties"], scored, tracks)
         owner: dict[int, dict] = {}
         used: set[int] = set()
         for value, ti, di in scored:
@@ -281,6 +287,16 @@ class BoxTracker:
         s["tracks"] = [tr for tr in tracks if tr["lost"] < self.max_lost]
         return out
 
+    def _note_ties(self, ties, scored, tracks):
+        for value, same in groupby(scored, key=lambda x: x[0]):
+            if value < self.threshold:
+                break
+            equal = sorted({-ti for _, ti, _ in same})
+            for a, b in zip(equal, equal[1:]):
+                pair = [tracks[a]["born"], tracks[b]["born"]]
+                if pair not in ties:
+                    ties.append(pair)
+
     def close(self, s, last=None):
         return []
 
