@@ -138,3 +138,19 @@ def run_blocks(
     if len(passes) > 1:
         result = result.join(current.select(*spot, "blk_pass"), [*spot, "blk_pass"], "left_semi")
     return result.filter(F.col("blk_exit").isNull()).select(*key, *fields)
+
+
+def run_from(rows: DataFrame, key: Sequence[str], order: Sequence[str], kernel, entry: DataFrame) -> DataFrame:
+    """One pass of ``kernel`` over rows with a ``blk_id``, every block from its known entry state (key, blk_id, blk_entry)."""
+    key, order, spot = list(key), list(order), [*key, "blk_id"]
+    out_type = T.StructType.fromDDL(kernel.schema)
+    fields = out_type.fieldNames()
+    schema = T.StructType(
+        [rows.schema[c] for c in spot] + list(out_type)
+        + [T.StructField("blk_exit", T.StringType()), T.StructField("blk_used", T.StringType())])
+    walk = _walker(kernel, [*rows.columns, "blk_row", "blk_entry", "blk_last"], key, fields, to_arrow_schema(schema))
+    heads = entry.select(*spot, "blk_entry", F.lead("blk_id").over(W.partitionBy(*key).orderBy("blk_id")).isNull().alias("blk_last"))
+    lines = rows.withColumn("blk_row", F.lit(1)).unionByName(heads.withColumn("blk_row", F.lit(0)), allowMissingColumns=True)
+    lines = lines.select(*rows.columns, "blk_row", "blk_entry", "blk_last").repartition(tasks_for(rows), *spot)
+    done = lines.sortWithinPartitions(*spot, "blk_row", *order).mapInArrow(walk, schema)
+    return done.filter(F.col("blk_exit").isNull()).select(*key, *fields)

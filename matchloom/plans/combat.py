@@ -9,9 +9,10 @@ from matchloom.operators import tracking as tr
 
 from matchloom.operators.blocks import run_blocks
 from matchloom.operators.cadence import thin
+from matchloom.operators.charts import LowCharts, run_charted
+from matchloom.operators.grouping import running_mean_groups
 from matchloom.operators.intervals import box_pairs, iou
-from matchloom.operators.kernels import (
-    DebouncedEdge, DebouncedLow, HysteresisRounds, RunningMeanGroups, ScoreRounds)
+from matchloom.operators.kernels import DebouncedEdge, DebouncedLow, HysteresisRounds, ScoreRounds
 from matchloom.operators.scan import block_of, scan, trailing
 from matchloom.plans.registry import HOUR, KEY, ORDER, S, View, on_events, on_rounds, query
 
@@ -211,7 +212,8 @@ REC = """o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, se
 SELECT video_id, seq, t FROM z WHERE hit""".replace("\n, z", ", z", 1), REC)[5:])
 def debounced_low(v: View):
     s = v.m.select("video_id", "seq", "t", F.col("k").alias("hp"))
-    return run_blocks(s, KEY, ORDER, v.block, DebouncedLow(40, 3, 48.0 * HOUR))
+    kernel = DebouncedLow(40, 3, 48.0 * HOUR)
+    return run_charted(s, KEY, ORDER, v.block, kernel, LowCharts(kernel), ["t", "hp"])
 
 
 @query("debounced_edge", "WITH RECURSIVE " + on_events("""
@@ -253,7 +255,7 @@ z AS (SELECT video_id, seq, rn, value, value AS sm, 1 AS n, value AS group_start
 SELECT video_id, seq, value, group_start FROM z""".replace("\n, o", ", o", 1))[5:])
 def tolerance_running_mean(v: View):
     s = v.m.select("video_id", "seq", F.col("k").cast("double").alias("value"))
-    return run_blocks(s, KEY, ["value", "seq"], block_of("value", 25), RunningMeanGroups(5.0))
+    return running_mean_groups(s, KEY, "value", 5.0).select("video_id", "seq", "value", "group_start")
 
 
 def boxes(v: View):
