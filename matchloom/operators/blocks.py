@@ -98,10 +98,22 @@ def run_blocks(
     order: Sequence[str],
     block: Column,
     kernel,
+    resets: str | None = None,
 ) -> DataFrame:
-    """Run ``kernel`` over every key; returns ``key`` + ``kernel.schema`` columns."""
+    """Run ``kernel`` over every key; returns ``key`` + ``kernel.schema`` columns.
+
+    ``resets`` names a boolean column: at such a row nothing before it matters any
+    more, so a block that begins there starts from the fresh state, whatever came before.
+    """
     key, order, spot = list(key), list(order), [*key, "blk_id"]
-    rows = durable(df.withColumn("blk_id", block))
+    rows = df.withColumn("blk_id", block)
+    fresh = F.lit(False)
+    if resets:
+        rows, fresh = rows.withColumnRenamed(resets, "blk_reset"), F.min_by("blk_reset", F.struct(*order))
+    rows = durable(rows)
+    starts = rows.groupBy(*spot).agg(fresh.alias("blk_fresh"))
+    starts = durable(starts) if resets else starts
+    rows = rows.drop("blk_reset")
     tasks = tasks_for(rows)
     out_type = T.StructType.fromDDL(kernel.schema)
     fields = out_type.fieldNames()
@@ -126,8 +138,8 @@ def run_blocks(
         if current is not None:
             exits = current.join(exits.select(*spot), spot, "left_anti").unionByName(exits)
         current = exits
-        entry = current.select(
-            *spot, "blk_used", F.coalesce(F.lag("blk_exit").over(ws), F.lit("")).alias("blk_entry"),
+        entry = (current.join(starts, spot) if resets else current.withColumn("blk_fresh", F.lit(False))).select(
+            *spot, "blk_used", F.when(F.col("blk_fresh"), "").otherwise(F.coalesce(F.lag("blk_exit").over(ws), F.lit(""))).alias("blk_entry"),
             F.lead("blk_id").over(ws).isNull().alias("blk_last"))
         entry = durable(entry.filter(F.col("blk_entry") != F.col("blk_used")).select(*spot, "blk_entry", "blk_last"))
         if entry.isEmpty():

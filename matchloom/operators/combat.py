@@ -8,6 +8,7 @@ from matchloom.operators.blocks import durable, run_blocks
 from matchloom.operators.intervals import interval_join
 from matchloom.operators.kernels import OrphanEpisodes, RowTracks
 from matchloom.operators.scan import block_of, islands, scan
+from matchloom.operators.selection import medians
 from matchloom.operators.sessions import gap_islands
 
 ROUND = ["video_id", "rid"]
@@ -85,6 +86,24 @@ def episode_row_limits(samples: DataFrame, episode_key: list[str], order: list[s
         1 + F.sum(F.when(grows, F.col("_n") - F.greatest(F.lit(1), prior)).otherwise(0))).cast("int").alias("row_limit"))
 
 
+def follow_rows(fed: DataFrame, width: int, retention) -> DataFrame:
+    """Rows of ``RowTracks`` for rows with content (video_id, seq, t, prints, episode, row_limit).
+
+    A new episode after a silence longer than the retention finds no live track, so a
+    stretch between two such silences depends on nothing before it. A block begins with
+    a stretch and holds what starts within it; only a stretch longer than a block is cut.
+    """
+    key, order, block = ["video_id"], ["t", "seq"], block_of("t", width)
+    near = scan(fed, key, order, block, prev={"_t": F.col("t"), "_e": F.col("episode")})
+    anew = F.col("_t").isNull() | ((F.col("t") - F.col("_t") > retention) & (F.col("episode") != F.col("_e")))
+    near = durable(near.withColumn("anew", anew).drop("_t", "_e"))
+    start = F.when(F.col("anew"), F.col("t"))
+    near = scan(near, key, order, block, last={"_s": start}).withColumn("_s", F.coalesce(start, "_s"))
+    began, now = block_of("_s", width), block_of("t", width)
+    cut = near.withColumn("stretch", F.when(now - began <= 1, began).otherwise(now)).drop("_s")
+    return run_blocks(cut.select(*fed.columns, "anew", "stretch"), key, order, F.col("stretch"), RowTracks(retention), "anew")
+
+
 def feed_row_tracks(samples: DataFrame, width: int, gap, retention) -> DataFrame:
     """Unique highlighted feed rows: video_id, track_seq, track_no, seq, t, frame_score.
 
@@ -94,8 +113,8 @@ def feed_row_tracks(samples: DataFrame, width: int, gap, retention) -> DataFrame
     episodes = durable(gap_islands(samples, key, order, block, "t", gap))
     limits = episode_row_limits(episodes, [*key, "episode"], order, block)
     rows = episodes.join(limits, [*key, "episode"])
-    fed = rows.select("video_id", "seq", "t", "prints", "episode", "row_limit")
-    assigned = run_blocks(fed, key, order, block, RowTracks(retention))
+    fed = rows.filter(F.size("prints") > 0).select("video_id", "seq", "t", "prints", "episode", "row_limit")
+    assigned = follow_rows(fed, width, retention)
     spans = assigned.groupBy("video_id", "track_seq", "track_no").agg(
         F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     bare = episodes.groupBy("video_id", "episode").agg(
@@ -164,24 +183,24 @@ def native_deaths(
     order, block = ["t", "seq"], block_of("t", width)
     u = float(unit)
     all_seen = scan(samples, ["video_id"], order, block, last={"flash_before": F.when(F.col("flashed"), F.col("t"))})
-    closed = durable(rounds.filter("e IS NOT NULL").select("video_id", "rid", "s", "e"))
+    closed = rounds.filter("e IS NOT NULL").select("video_id", "rid", "s", "e")
     current = interval_join(all_seen.filter("NOT flashed"), closed, ["video_id"], "t", "s", "e", width)
     hit = F.when(F.col("damage"), F.col("t"))
     current = scan(current, ROUND, order, block, prev={"_pt": F.col("t")}, last={"_dmg_before": hit}, ahead={"_dmg_after": hit})
     gap = F.col("t") - F.col("_pt")
-    stats = current.groupBy(*ROUND).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("health").alias("visible"),
-        F.coalesce(F.median(F.when(gap > 0, gap)), F.lit(.5 * u)).alias("step"),
-        F.median(F.when(F.col("left_alive").isNotNull(), F.col("left_score"))).alias("left_med"),
-        F.median(F.when(F.col("right_alive").isNotNull(), F.col("right_score"))).alias("right_med"))
-    stats = stats.filter("n >= 4 AND visible >= 2").select(
-        *ROUND, "step", F.coalesce("left_med", F.lit(0.0)).alias("left_med"), F.coalesce("right_med", F.lit(0.0)).alias("right_med"))
+    current = durable(current)
+    middle = medians(current, ROUND, {
+        "step": F.when(gap > 0, gap), "left_med": F.when(F.col("left_alive").isNotNull(), F.col("left_score")),
+        "right_med": F.when(F.col("right_alive").isNotNull(), F.col("right_score"))})
+    stats = current.groupBy(*ROUND).agg(F.count(F.lit(1)).alias("n"), F.count_if("health").alias("visible"))
+    stats = stats.filter("n >= 4 AND visible >= 2").join(middle, ROUND).select(
+        *ROUND, F.coalesce("step", F.lit(.5 * u)).alias("step"), F.coalesce("left_med", F.lit(0.0)).alias("left_med"),
+        F.coalesce("right_med", F.lit(0.0)).alias("right_med"))
     stats = durable(stats)
     current = current.join(stats, ROUND).withColumn(
         "damage_near", F.coalesce(F.col("damage"), F.lit(False))
         | F.coalesce(F.col("t") - F.col("_dmg_before") <= 2 * u, F.lit(False))
         | F.coalesce(F.col("_dmg_after") - F.col("t") <= 2 * u, F.lit(False)))
-    current = durable(current)
 
     def candidates(rows: DataFrame, state: Column, method: str) -> DataFrame:
         runs = _missing_runs(rows, state, block, order)

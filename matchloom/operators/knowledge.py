@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -155,6 +155,42 @@ def annotate(df: DataFrame, inferred: Column, explicit: Column, sensitive: Colum
                      flag.alias("version_sensitive"))
 
 
+def inline_value(content: Column, name: str, marks: str = ":：") -> Column:
+    """The value of the last ``name: value`` line, or null."""
+    pattern = rf"^\s*([A-Za-z_]+)\s*[{marks}]\s*(\S.*)$"
+    found = F.filter(tx.lines(content), lambda x: F.lower(F.regexp_extract(x, pattern, 1)) == name)
+    return F.regexp_replace(F.regexp_extract(F.try_element_at(found, F.lit(-1)), pattern, 2), r"\s+$", "")
+
+
+def fan_out(df: DataFrame, metadata: Column, content: Column) -> DataFrame:
+    """Adds last_verified, effective_from, expires_at, source_urls and exceptions of each chunk.
+
+    The document's metadata (a map of strings) comes first, lines of the chunk second;
+    empty values count as absent. URLs come from the metadata alone, exceptions are
+    split at semicolons.
+    """
+    given = lambda name: F.when(metadata[name] != "", metadata[name])
+    inline = lambda name: F.when(inline_value(content, name) != "", inline_value(content, name))
+    dates = [F.coalesce(given(n), inline(n)).alias(n) for n in ("last_verified", "effective_from", "expires_at")]
+    urls = F.filter(F.array(given("source_urls")), lambda x: x.isNotNull())
+    exceptions = F.coalesce(tx.split_exceptions(F.coalesce(given("exceptions"), inline("exceptions"))), F.array().cast("array<string>"))
+    return df.select("*", *dates, urls.alias("source_urls"), exceptions.alias("exceptions"))
+
+
+def index_rows(docs: DataFrame, vocabulary: Sequence[str], chunker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Documents (document_id, content, metadata) to the rows of a chunk index: annotated, dated, named and embedded."""
+    chunks = (chunker or chunk_documents)(docs)
+    heading = F.col("heading") if "heading" in chunks.columns else F.lit(None).cast("string")
+    chunks = chunks.withColumn("heading", heading).join(docs.select("document_id", "metadata"), "document_id")
+    meta = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    rows = chunks.withColumn("metadata", meta).withColumn("inferred", infer_layer(F.lower("heading"), F.lower("content")))
+    given, inline = F.col("metadata")["version_sensitive"], inline_value(F.col("content"), "version_sensitive")
+    rows = annotate(rows, F.col("inferred"), F.col("metadata")["knowledge_layer"], F.coalesce(given, inline), F.col("metadata")["rule_strength"])
+    rows = fan_out(rows, F.col("metadata"), F.col("content"))
+    rows = rows.withColumn("chunk_id", tx.chunk_id(F.lit(None).cast("string"), F.col("document_id"), F.col("chunk_index"), F.col("content")))
+    return embed_terms(rows.drop("inferred", "metadata"), "content", vocabulary)
+
+
 def fact_document(title: Column, facts: Column, notes: Column) -> Column:
     """A fact record as document text."""
     head = F.array(F.concat(F.lit("# "), title))

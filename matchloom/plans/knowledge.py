@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from matchloom.functions import scoring, text as tx
 from matchloom.operators import knowledge as kn
-from matchloom.operators.blocks import durable
+from matchloom.operators.blocks import durable, durable_folder
 from matchloom.plans.context import on_context, round_context_of
 from matchloom.plans.registry import View, on_rounds, query
 
@@ -83,13 +85,36 @@ def fact_documents(v: View):
     return v.table("part").select("p_partkey", F.sha2(doc, 256).alias("digest"))
 
 
-@query("metadata_fanout", """SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN '2025-01-01' END, CASE WHEN doc_id % 2 = 0 THEN '2024-06-01' END) AS last_verified, CASE WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 5 = 1 THEN 2 ELSE 0 END AS n_urls FROM documents""")
+FACTS = """fd AS (SELECT doc_id, lang, source, o_orderstatus AS st, o_orderpriority AS pr, o_custkey AS cu, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS seen, url,
+  text || CASE WHEN o_orderstatus IN ('F', 'P') THEN chr(10) || 'last_verified: ' || strftime(o_orderdate, '%Y-%m-%d') ELSE '' END || CASE WHEN o_orderstatus = 'O' THEN chr(10) || ' Effective_From :' || strftime(o_orderdate, '%Y-%m-%d') || ' ' ELSE '' END
+   || CASE WHEN o_custkey % 2 = 0 THEN chr(10) || 'exceptions: ' || lang || '; ; ' || source ELSE '' END AS content
+  FROM documents LEFT JOIN orders ON o_orderkey = doc_id LEFT JOIN pages ON page_id = doc_id)"""
+
+
+def facts(v: View):
+    """Documents with a metadata map and ``name: value`` lines, both from the order and the page of the same number."""
+    d = v.table("documents").join(v.table("orders"), F.col("doc_id") == F.col("o_orderkey"), "left")
+    d = d.join(v.table("pages").select("page_id", "url"), F.col("doc_id") == F.col("page_id"), "left")
+    day, status, rank, cust = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1), F.col("o_custkey")
+    line = lambda when, *parts: F.coalesce(F.when(when, F.concat(F.lit("\n"), *parts)), F.lit(""))
+    content = F.concat(
+        "text", line(status.isin("F", "P"), F.lit("last_verified: "), day), line(status == "O", F.lit(" Effective_From :"), day, F.lit(" ")),
+        line(cust % 2 == 0, F.lit("exceptions: "), F.col("lang"), F.lit("; ; "), F.col("source")))
+    given = {
+        "last_verified": F.when(rank == "1", F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd")).when(rank == "2", ""),
+        "expires_at": F.when(rank == "2", day), "source_urls": F.col("url"), "exceptions": F.when(cust % 5 == 0, F.concat(F.lit("order； "), F.col("o_orderpriority"))),
+        "version_sensitive": F.when(rank == "3", "Yes").when(rank == "4", "no"),
+        "knowledge_layer": F.when(cust % 7 == 0, kn.RULES).when(cust % 7 == 1, kn.SITUATIONS).when(cust % 7 == 2, "unknown")}
+    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), e.alias("v")) for k, e in given.items()]), lambda x: x["v"].isNotNull())
+    return d.select("doc_id", F.col("doc_id").cast("string").alias("document_id"), content.alias("content"), F.map_from_entries(entries).alias("metadata"))
+
+
+@query("metadata_fanout", "WITH " + FACTS + """SELECT doc_id, coalesce(CASE WHEN pr LIKE '1%' THEN seen END, CASE WHEN st IN ('F', 'P') THEN day END) AS last_verified, CASE WHEN st = 'O' THEN day END AS effective_from,
+ CASE WHEN pr LIKE '2%' THEN day END AS expires_at, coalesce(url, '') AS urls, CASE WHEN cu % 5 = 0 THEN 'order|' || pr WHEN cu % 2 = 0 THEN lang || '|' || source ELSE '' END AS exceptions FROM fd""")
 def metadata_fanout(v: View):
-    i = F.col("doc_id")
-    meta = F.when(i % 3 == 0, F.create_map(F.lit("last_verified"), F.lit("2025-01-01"))).otherwise(F.create_map().cast("map<string,string>"))
-    inline = F.when(i % 2 == 0, F.create_map(F.lit("last_verified"), F.lit("2024-06-01"))).otherwise(F.create_map().cast("map<string,string>"))
-    urls = F.when(i % 5 == 0, F.array(F.lit("u"))).when(i % 5 == 1, F.array(F.lit("u"), F.lit("w"))).otherwise(F.array().cast("array<string>"))
-    return v.table("documents").select("doc_id", F.coalesce(meta["last_verified"], inline["last_verified"]).alias("last_verified"), F.size(urls).alias("n_urls"))
+    """Dates, URLs and exceptions: metadata first, lines of the text second, empty values absent."""
+    out = kn.fan_out(facts(v), F.col("metadata"), F.col("content"))
+    return out.select("doc_id", "last_verified", "effective_from", "expires_at", F.array_join("source_urls", "|").alias("urls"), F.array_join("exceptions", "|").alias("exceptions"))
 
 
 @query("normalised_vectors", """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN list_transform(embedding, lambda x: 0::DOUBLE) ELSE list_transform(embedding, lambda x: x::DOUBLE * 3) END AS v FROM embeddings),
@@ -116,16 +141,18 @@ def index_upsert(v: View):
     return kn.upsert(old, new, "doc_id", F.col("doc_id"))
 
 
-@query("index_build")
+@query("index_build", "WITH " + FACTS + """, ch AS (SELECT doc_id, pr, cu, lower(substring(content, CAST(i * 780 + 1 AS INTEGER), 900)) AS w FROM (SELECT *, unnest(range(0, CAST(ceil(greatest(0, length(content) - 900) / 780.0) AS BIGINT) + 1)) AS i FROM fd)),
+b AS (SELECT doc_id, pr, CASE WHEN cu % 7 = 0 THEN 'game_rules' WHEN cu % 7 = 1 THEN 'situation_decisions' WHEN {d} THEN 'dynamic_game_data' WHEN {s} THEN 'situation_decisions' WHEN {r} THEN 'game_rules' ELSE 'tactical_fundamentals' END AS base FROM ch),
+l AS (SELECT doc_id, CASE WHEN pr LIKE '3%' THEN 'dynamic_game_data' ELSE base END AS layer FROM b)
+SELECT layer, count(*) AS n, count(DISTINCT doc_id) AS documents FROM l GROUP BY layer""".replace("{d}", any_sql(kn.DYNAMIC_TERMS)).replace("{s}", any_sql(kn.SITUATION_TERMS)).replace("{r}", any_sql(kn.RULE_TERMS)))
 def index_build(v: View):
-    """Documents to chunks to layered, embedded index rows, counted per layer."""
-    c = structured(v)
-    c = c.select("document_id", "chunk_index", "content", kn.infer_layer(F.col("heading"), F.concat("content", F.when(
-        F.col("chunk_index") % 4 == 1, " retake").when(F.col("chunk_index") % 4 == 2, " loss bonus").otherwise(""))).alias("layer"))
-    c = c.withColumn("chunk_id", tx.chunk_id(F.lit(None).cast("string"), F.col("document_id"), F.col("chunk_index"), F.col("content")))
-    c = kn.embed_terms(c, "content", VOCABULARY)
-    index = kn.upsert(None, c, "chunk_id", F.col("chunk_index"))
-    return index.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_id").alias("documents"))
+    """Documents to chunks to annotated, embedded rows, written to an index in two batches and read back."""
+    from matchloom.sources import sinks
+    rows = durable(kn.index_rows(facts(v).select("document_id", "content", "metadata"), VOCABULARY, kn.fixed_chunks))
+    path = f"{durable_folder(v.spark)}/index-{uuid.uuid4().hex}"
+    sinks.write_index(rows, path, writer="build", batch=0)
+    sinks.write_index(rows.filter("chunk_index = 0"), path, writer="build", batch=1)
+    return sinks.read_index(v.spark, path).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_id").alias("documents"))
 
 
 # -- vector retrieval: chunks are the embeddings, layer by label, queries every 50th vector

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
+from matchloom.operators.blocks import durable
 from matchloom.operators.knowledge import upsert
 
 
@@ -38,33 +40,51 @@ def write_corrections(rows: DataFrame, path: str) -> None:
     rows.withColumn("schema_version", F.lit("1.0")).withColumn("exported_at", F.current_timestamp()).write.mode("overwrite").json(path)
 
 
-def write_index(chunks: DataFrame, path: str, reset: bool = False) -> None:
-    """Upsert chunks by id into a new version of the index, partitioned by layer.
+#: Buckets of the chunk index; an upsert rewrites those that it touches.
+BUCKETS = 64
 
-    Each call writes ``v=N`` beside the previous versions, so a failed write never
-    damages the one readers use.
-    """
-    spark = chunks.sparkSession
-    version = latest_version(spark, path)
-    old = spark.read.parquet(f"{path}/v={version}") if version and not reset else None
-    merged = upsert(old, chunks, "chunk_id", F.col("chunk_index"))
-    merged.write.mode("overwrite").partitionBy("layer").parquet(f"{path}/v={version + 1}")
 
+def write_index(chunks: DataFrame, path: str, reset: bool = False, writer: str | None = None, batch: int | None = None) -> None:
+    """Upsert chunks by chunk_id; of several in one call the one of largest chunk_index counts.
 
-def latest_version(spark, path: str) -> int:
-    """Highest completely written version (0 when there is none)."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return 0
-    names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(folder)]
-    done = [int(n[2:]) for n, p in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max(done, default=0)
+    The index is partitioned by the bucket of a chunk's id. Only buckets that the
+    chunks fall into are read and replaced, each by dynamic partition overwrite, so the
+    files of all others stay. A ``writer`` numbers its batches: a row that it has
+    already written in this or a later batch is left alone, so a repeated batch
+    changes nothing. ``reset`` replaces the whole index.
+    """
+    bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int")
+    rows = chunks.withColumn("bucket", bucket).withColumn("writer", F.lit(writer).cast("string")).withColumn("batch", F.lit(batch).cast("long"))
+    old = None if reset else _index(chunks.sparkSession, path)
+    if old is not None:
+        rows = durable(rows)
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        old = old.filter(F.col("bucket").isin(touched))
+        if writer is not None:
+            done = old.filter((F.col("writer") == writer) & (F.col("batch") >= batch)).select("bucket", "chunk_id")
+            rows = rows.join(done, ["bucket", "chunk_id"], "left_anti")
+            touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+            old = old.filter(F.col("bucket").isin(touched))
+        if not touched:
+            return
+    merged = upsert(old, rows, "chunk_id", F.col("chunk_index"))
+    merged = durable(merged) if old is not None else merged
+    mode = "static" if reset or old is None else "dynamic"
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(path)
+
+
+def _index(spark, path: str) -> DataFrame | None:
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def read_index(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={latest_version(spark, path)}")
+    """The chunks of an index."""
+    return spark.read.option("mergeSchema", True).parquet(path).drop("bucket", "writer", "batch")
 
 
 def markdown_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -311,7 +311,7 @@ def band_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame
 
 
 def stream_index(stream: DataFrame, path: str, checkpoint: str):
-    """Incremental index upsert: every micro-batch becomes the next index version."""
+    """Incremental index upsert: every micro-batch rewrites the buckets that it touches, once."""
     from matchloom.sources.sinks import write_index
-    return (stream.writeStream.foreachBatch(lambda batch, _: write_index(batch, path))
+    return (stream.writeStream.foreachBatch(lambda batch, number: write_index(batch, path, writer=checkpoint, batch=number))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

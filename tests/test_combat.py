@@ -1,4 +1,6 @@
 import json
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +140,44 @@ def test_regression_counts(spark, match_file, profile):
         dead.groupBy("video_id").agg(F.count(F.lit(1)).cast("int").alias("deaths")), "video_id")
     expected = docs.select(F.lit(1).alias("video_id"), "expected.kills", "expected.deaths")
     assert regression_diff(expected, actual, ["video_id"], ["kills", "deaths"]).collect() == []
+
+
+def feed(silences, n=400):
+    rnd, rows, t, episode = random.Random(9), [], 0, 0
+    for i in range(n):
+        t += 12 if silences and i % 10 == 0 else rnd.choice([1, 1, 2])
+        episode += bool(rows) and t - rows[-1][2] > 2
+        rows.append((1, i, t, [rnd.choice("abcdef") for _ in range(rnd.choice([1, 1, 2]))], episode, 2))
+    return rows
+
+
+@pytest.mark.parametrize("silences", [True, False])
+def test_feed_rows_over_many_blocks(spark, monkeypatch, silences):
+    """Stretches between silences are independent: 40 blocks settle in one pass."""
+    from types import SimpleNamespace
+
+    from matchloom.operators import blocks
+    from matchloom.operators.kernels import RowTracks
+    rows, kernel, want = feed(silences), RowTracks(5), []
+    state = kernel.fresh()
+    for r in rows:
+        want += [(1, *o) for o in kernel.step(state, SimpleNamespace(seq=r[1], t=r[2], prints=r[3], episode=r[4], row_limit=r[5]))]
+    passes = []
+    monkeypatch.setattr(blocks, "durable", lambda df, real=blocks.durable: passes.append("blk_exit" in df.columns) or real(df))
+    df = spark.createDataFrame(rows, "video_id int, seq long, t long, prints array<string>, episode long, row_limit int").repartition(3)
+    width = rows[-1][2] // 40
+    got = cc.follow_rows(df, width, 5)
+    assert sorted(tuple(r) for r in got.select("video_id", "seq", "t", "print_no", "track_seq", "track_no").collect()) == sorted(want)
+    assert not silences or sum(passes) == 1
+
+
+def test_medians_against_sorted_values(spark):
+    """One group holds nearly all rows; odd and even numbers of values, negatives, nulls, none."""
+    from matchloom.operators.selection import medians
+    rnd = random.Random(12)
+    rows = [(1, rnd.choice([rnd.uniform(-5, 5), rnd.randrange(-3, 4) / 2, None])) for _ in range(2_000)]
+    rows += [(2, 1.0), (2, 4.0), (3, -1e9), (3, 2.0), (3, 1e12), (4, None), (5, 0.0)]
+    got = {r.g: (r.m, r.twice) for r in medians(spark.createDataFrame(rows, "g int, x double").repartition(5), ["g"], {"m": F.col("x"), "twice": F.col("x") * 2}).collect()}
+    for g in range(1, 6):
+        own = [x for k, x in rows if k == g and x is not None]
+        assert got[g] == ((statistics.median(own), 2 * statistics.median(own)) if own else (None, None))

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -91,6 +92,58 @@ def test_index_versions_replace_by_id(spark, tmp_path):
     assert sinks.read_index(spark, path).count() == 2
 
 
+def index_files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in Path(path).rglob("*.parquet")}
+
+
+def test_an_upsert_leaves_other_buckets_alone(spark, tmp_path):
+    path = tmp_path / "index"
+    schema = "chunk_id string, chunk_index int, content string, layer string"
+    sinks.write_index(spark.createDataFrame([(f"c{k}", k, "x", "game_rules") for k in range(200)], schema), str(path))
+    before = index_files(path)
+    sinks.write_index(spark.createDataFrame([("c7", 7, "new", "tactical_fundamentals"), ("c7", 3, "old", "game_rules")], schema), str(path))
+    after = index_files(path)
+    changed = {f.split("/")[0] for f in before.keys() ^ after.keys()} | {f.split("/")[0] for f in before.keys() & after.keys() if before[f] != after[f]}
+    assert len(changed) == 1 and len({f.split("/")[0] for f in before}) > 30
+    got = {r.chunk_id: (r.content, r.layer) for r in sinks.read_index(spark, str(path)).collect()}
+    assert len(got) == 200 and got["c7"] == ("new", "tactical_fundamentals")
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    path = tmp_path / "index"
+    schema = "chunk_id string, chunk_index int, content string, layer string"
+    one = spark.createDataFrame([("a", 0, "first", "game_rules"), ("b", 0, "first", "game_rules")], schema)
+    two = spark.createDataFrame([("b", 0, "second", "game_rules")], schema)
+    sinks.write_index(one, str(path), writer="w", batch=0)
+    sinks.write_index(two, str(path), writer="w", batch=1)
+    before = index_files(path)
+    for rows, batch in ((two, 1), (one, 0)):
+        sinks.write_index(rows, str(path), writer="w", batch=batch)
+    assert index_files(path) == before
+    assert {r.chunk_id: r.content for r in sinks.read_index(spark, str(path)).collect()} == {"a": "first", "b": "second"}
+    sinks.write_index(one, str(path), writer="other", batch=0)
+    assert {r.content for r in sinks.read_index(spark, str(path)).collect()} == {"first"}
+
+
+def test_metadata_comes_before_lines_of_the_chunk(spark):
+    content = "Text\nlast_verified: 2024-01-02\nlast_verified： 2024-03-04 \nexceptions: a; b；;c\nexpires_at: 2030-01-01"
+    docs = [("1", content, {"expires_at": "2029-09-09", "source_urls": "http://x", "last_verified": ""}),
+            ("2", "plain", {"exceptions": " one ；two", "effective_from": "2020-01-01"}), ("3", "plain", None)]
+    df = spark.createDataFrame(docs, "document_id string, content string, metadata map<string,string>")
+    got = {r.document_id: (r.last_verified, r.effective_from, r.expires_at, r.source_urls, r.exceptions) for r in kn.fan_out(df, F.col("metadata"), F.col("content")).collect()}
+    assert got == {"1": ("2024-03-04", None, "2029-09-09", ["http://x"], ["a", "b", "c"]), "2": (None, "2020-01-01", None, [], ["one", "two"]), "3": (None, None, None, [], [])}
+
+
+def test_index_rows_of_structured_documents(spark):
+    docs = [("d", "# 36.1 Prices\n\nThe weapon price is given here for all of them.\n\n# Other\n\nversion_sensitive: yes\n\nKeep calm and hold the site together.", {"knowledge_layer": "game_rules"}),
+            ("e", "Only a plain sentence about holding an angle for long.", None)]
+    df = spark.createDataFrame(docs, "document_id string, content string, metadata map<string,string>")
+    rows = kn.index_rows(df, ("the", "er")).collect()
+    assert {(r.document_id, r.layer, r.rule_strength, r.version_sensitive) for r in rows} == {
+        ("d", "game_rules", "hard_rule", False), ("d", "dynamic_game_data", "hard_rule", True), ("e", "tactical_fundamentals", "strategic_principle", False)}
+    assert len({r.chunk_id for r in rows}) == len(rows) and all(len(r.vector) == 2 for r in rows)
+
+
 def test_embedder_port_normalises(spark):
     embed = kn.embedder(lambda texts: [[t.count("a"), t.count("b")] for t in texts], 2)
     df = spark.createDataFrame([("aab",), ("",)], "t string").select(embed("t").alias("v"))
