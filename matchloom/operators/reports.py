@@ -16,8 +16,14 @@ def _kind(name: str) -> Column:
     return F.col("type") == name
 
 
-def round_stats(events: DataFrame, visible: Column, likely: Column, shots: Column, damages: Column, kill_feed: Column) -> DataFrame:
-    """Per-round counts, first visibility, duration and survival in one aggregation."""
+def round_stats(events: DataFrame, visible: Column, likely: Column, shots: Column, damages: Column, kill_feed: Column,
+                deaths_known: Column | None = None) -> DataFrame:
+    """Per-round counts, first visibility, duration and survival in one aggregation.
+
+    Survival runs to the first death, or through the round. It is null where the round
+    is open, or where ``deaths_known`` (of the key) says that deaths can't be told.
+    """
+    known = F.lit(True) if deaths_known is None else deaths_known
     engaged = _kind("engagement_candidate")
     start = F.min(F.when(_kind("round_start"), F.col("t")))
     end = F.max(F.when(_kind("round_end"), F.col("t")))
@@ -33,7 +39,7 @@ def round_stats(events: DataFrame, visible: Column, likely: Column, shots: Colum
     return s.select(
         "*", F.greatest(F.lit(0).cast("long"), F.col("_seen") - F.col("s")).alias("first_visible"),
         (F.col("e") - F.col("s")).alias("duration"),
-        F.when(F.col("e").isNotNull(), F.coalesce("first_death", "e") - F.col("s")).alias("survival")).drop("_seen")
+        F.when(F.col("e").isNotNull() & known, F.coalesce("first_death", "e") - F.col("s")).alias("survival")).drop("_seen")
 
 
 def match_overview(stats: DataFrame) -> DataFrame:
@@ -75,18 +81,33 @@ MATCH_FINDINGS = [
     Rule("match_rounds", "true", "1.0", "round_flow"),
     Rule("match_total_kills", "personal_kills AND kills > 0", ".55", "combat"),
     Rule("match_total_deaths", "personal_deaths AND deaths > 0", ".85", "combat", "warning"),
-    Rule("match_warning_0", "warning IS NOT NULL", ".90", "round_flow", "warning"),
     Rule("match_no_combat", "personal_kills AND personal_deaths AND kills = 0 AND deaths = 0", ".70", "combat"),
 ]
+#: Every warning of a recording is a finding; they stand before this rule.
+WARNINGS_BEFORE = "match_no_combat"
+
+
+def warning_findings(overview: DataFrame) -> DataFrame:
+    """One row per entry of ``warnings``, in order."""
+    place = [r.name for r in MATCH_FINDINGS].index(WARNINGS_BEFORE)
+    each = overview.select("video_id", F.posexplode("warnings").alias("i", "template"))
+    return each.select(
+        "video_id", F.lit(place - 1).alias("rule_no"), (F.col("i") + 1).alias("nth"), F.concat(F.lit("match_warning_"), F.col("i").cast("string")).alias("name"),
+        F.lit("round_flow").alias("category"), F.lit("warning").alias("severity"), F.lit(.90).alias("confidence"))
 
 
 def findings(stats: DataFrame, overview: DataFrame, per_block: int = 4096) -> DataFrame:
-    """Round findings in round order, then match findings, numbered per recording."""
-    cols = ["video_id", "rid", "rule_no", "name", "category", "severity", "confidence"]
-    rounds = fire(stats, ROUND_FINDINGS, ROUND).select(*cols)
-    match = fire(overview, MATCH_FINDINGS, ["video_id"]).withColumn("rid", F.lit(1 << 40).cast("long")).select(*cols)
+    """Round findings in round order, then match findings, numbered per recording.
+
+    ``overview`` has an array ``warnings``; each of them is a finding.
+    """
+    cols = ["video_id", "rid", "rule_no", "nth", "name", "category", "severity", "confidence"]
+    first = F.lit(0).alias("nth")
+    rounds = fire(stats, ROUND_FINDINGS, ROUND).select("*", first).select(*cols)
+    match = fire(overview, MATCH_FINDINGS, ["video_id"]).select("*", first).drop("template", "at").unionByName(warning_findings(overview))
+    match = match.withColumn("rid", F.lit(1 << 40).cast("long")).select(*cols)
     both = durable(rounds.unionByName(match))  # numbering reads it twice
-    ranked = scan(both, ["video_id"], ["rid", "rule_no"], F.floor(F.col("rid") / per_block).cast("long"), rank="_n")
+    ranked = scan(both, ["video_id"], ["rid", "rule_no", "nth"], F.floor(F.col("rid") / per_block).cast("long"), rank="_n")
     return ranked.select("video_id", F.when(F.col("rid") < (1 << 40), F.col("rid")).alias("rid"),
                          F.concat("name", F.format_string("_%03d", "_n")).alias("finding_id"), "category", "severity", "confidence")
 

@@ -36,7 +36,7 @@ def timeline(v: View):
 
 def stats(v: View):
     k = F.col("k")
-    return rp.round_stats(timeline(v), (F.col("type") == "engagement_candidate") & (k < 50), k % 2 == 0, k % 3, k % 4, k % 2 == 0)
+    return rp.round_stats(timeline(v), (F.col("type") == "engagement_candidate") & (k < 50), k % 2 == 0, k % 3, k % 4, k % 2 == 0, F.col("video_id") % 4 != 0)
 
 
 def attached_sql(rows: str) -> str:

@@ -23,12 +23,12 @@ ST = """st0 AS (SELECT video_id, rid, min(CASE WHEN type='round_start' THEN t EN
   count(*) FILTER (type='engagement_candidate' AND k % 3 > 0) AS shot_windows, count(*) FILTER (type='engagement_candidate' AND k % 4 > 0) AS damage_windows,
   min(CASE WHEN type='player_death' THEN t END) AS first_death, min(CASE WHEN type='player_kill' THEN t END) AS first_kill,
   min(CASE WHEN type='engagement_candidate' AND k < 50 THEN t END) AS seen FROM a GROUP BY video_id, rid),
-stt0 AS (SELECT * EXCLUDE (seen), greatest(0, seen - s) AS first_visible, e - s AS duration, CASE WHEN e IS NOT NULL THEN coalesce(first_death, e) - s END AS survival FROM st0)"""
+stt0 AS (SELECT * EXCLUDE (seen), greatest(0, seen - s) AS first_visible, e - s AS duration, CASE WHEN e IS NOT NULL AND video_id % 4 <> 0 THEN coalesce(first_death, e) - s END AS survival FROM st0)"""
 
 
 def stats_of(v: View):
     k = F.col("k")
-    return rp.round_stats(v.attached(), (F.col("type") == "engagement_candidate") & (k < 50), k % 2 == 0, k % 3, k % 4, k % 2 == 0)
+    return rp.round_stats(v.attached(), (F.col("type") == "engagement_candidate") & (k < 50), k % 2 == 0, k % 3, k % 4, k % 2 == 0, F.col("video_id") % 4 != 0)
 
 
 @query("round_stats", on_rounds("SELECT * FROM stt0", ST))
@@ -146,7 +146,7 @@ def gated_stats(v: View):
 def gated_overview(v: View, stats):
     return rp.match_overview(stats).select(
         "*", (F.col("video_id") % 3 != 0).alias("personal_kills"), (F.col("video_id") % 4 != 0).alias("personal_deaths"),
-        F.when(F.col("video_id") % 5 == 0, "partial").alias("warning"))
+        F.array_compact(F.array(*[F.when(F.col("video_id") % n == 0, w) for n, w in ((5, "partial"), (2, "timed out"), (7, "no native combat"))])).alias("warnings"))
 
 
 FIND = """vw AS (SELECT video_id, rid, sum(CASE WHEN flashed THEN w ELSE 0 END) AS flash_time, sum(CASE WHEN scoped THEN w ELSE 0 END) AS scope_time FROM rs GROUP BY 1, 2),
@@ -168,8 +168,8 @@ fi AS (
  UNION ALL SELECT video_id, NULL, 100, 'match_rounds', 'round_flow', 'info', 1.0 FROM ov
  UNION ALL SELECT video_id, NULL, 101, 'match_total_kills', 'combat', 'info', .55 FROM ov WHERE pk AND kills > 0
  UNION ALL SELECT video_id, NULL, 102, 'match_total_deaths', 'combat', 'warning', .85 FROM ov WHERE pd AND deaths > 0
- UNION ALL SELECT video_id, NULL, 103, 'match_warning_0', 'round_flow', 'warning', .90 FROM ov WHERE video_id % 5 = 0
- UNION ALL SELECT video_id, NULL, 104, 'match_no_combat', 'combat', 'info', .70 FROM ov WHERE pk AND pd AND kills = 0 AND deaths = 0)"""
+ UNION ALL SELECT video_id, NULL, 103 + i, 'match_warning_' || i, 'round_flow', 'warning', .90 FROM (SELECT video_id, unnest(range((video_id % 5 = 0)::INT + (video_id % 2 = 0)::INT + (video_id % 7 = 0)::INT)) AS i FROM ov)
+ UNION ALL SELECT video_id, NULL, 110, 'match_no_combat', 'combat', 'info', .70 FROM ov WHERE pk AND pd AND kills = 0 AND deaths = 0)"""
 
 
 @query("findings", on_rounds("""
