@@ -105,3 +105,84 @@ def test_features_approximate_a_gaussian_kernel():
     z = model.features(x)[:, :-1]
     want = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) * 1.5 ** 2 / (2 * x.shape[1]))
     assert np.abs(z @ z.T - want).max() < 0.05
+
+
+SMALL = FOLDER.replace("0.1", "0.01")
+
+
+@needs
+def test_quality_scores_equal_a_fit_in_memory(spark):
+    """Least squares on stacked rows instead of summed products, the min-max form of the isotonic fit; every document."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.score for r in quality.score(docs, labels).collect()}
+    x = {r.doc_id: quality.statistics(r.text or "") for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in x and zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
+    train, y = np.array([x[d] for d in known]), np.array(list(known.values()), float)
+    model = quality.Model(train.mean(0), np.maximum(train.std(0), 1e-6), quality.FEATURES, quality.BANDWIDTH, quality.SEED)
+    z = model.features(train)
+    root = np.sqrt([quality.RIDGE * len(y) / quality.FEATURES] * quality.FEATURES + [1e-9])
+    weights = np.linalg.lstsq(np.concatenate([z, np.diag(root)]), np.concatenate([y, np.zeros(len(root))]), rcond=None)[0]
+    bins = np.minimum((np.clip(z @ weights, 0, 1) * quality.BINS).astype(int), quality.BINS - 1)
+    at, where = np.unique(bins, return_inverse=True)
+    n, total = np.bincount(where), np.bincount(where, y)
+    cn, ct = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(total)])
+    mean = lambda a, b: (ct[b + 1] - ct[a]) / (cn[b + 1] - cn[a])
+    level = [max(min(mean(a, b) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+    raw = np.clip(model.features(np.array([x[d] for d in x])) @ weights, 0, 1)
+    want = dict(zip(x, np.clip(np.interp(raw, (at + 0.5) / quality.BINS, level), 0, 1)))
+    # a document that falls beside the border of a bin by rounding may move one label by a bin
+    assert np.mean([abs(got[d] - want[d]) < 1e-3 for d in x]) > 0.99
+
+
+def plain_examples(docs):
+    """Insults, clean strings and pool from (label, strings) in plain Python."""
+    toxic, clean = [s for y, s in docs if y == 1], [s for y, s in docs if y == 0]
+    often = {1: {}, 0: {}}
+    for y, strings in docs:
+        for r in set().union(*map(toxicity.runs, strings)):
+            often[y][r] = often[y].get(r, 0) + 1
+    tells = {r: n * (np.log((n + 0.5) / (len(toxic) + 1)) - np.log((often[0].get(r, 0) + 0.5) / (len(clean) + 1))) for r, n in often[1].items() if n > 1}
+    worth = lambda s: sorted(max(0.0, tells.get(r, 0.0)) for r in toxicity.runs(s))[-3:][0]
+    count = {}
+    for strings in toxic:
+        value = {s: worth(s) for s in strings}
+        for s, v in value.items():
+            if v >= toxicity.LEAST_TOLD and v >= max(value.values()) / 4:
+                count[s] = count.get(s, 0) + 1
+    elsewhere = {s: sum(s in c for c in clean) for s in count}
+    found = {s: n for s, n in count.items() if n * len(clean) > 10 * elsewhere[s] * len(toxic) and (n > 2 or worth(s) >= toxicity.SURELY_TOLD)}
+    others = sorted(set().union(*clean) - set(found), key=lambda s: (zlib.crc32(s.encode()), s))
+    alike = sorted((s for s in others if worth(s) > 0), key=lambda s: -worth(s))
+    return sorted(found, key=lambda s: (-found[s], s)), others, alike
+
+
+@needs
+def test_toxic_examples_equal_a_plain_count(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.join(labels, "doc_id").filter("toxic = 1 OR doc_id % 4 = 0").orderBy("doc_id").limit(300)
+    rows = toxicity.F.broadcast(some).select("doc_id", toxicity.F.col("toxic").cast("int").alias("label"), "text")
+    positives, negatives, pool = toxicity.examples(toxicity.saved(rows, "few"))
+    want, others, alike = plain_examples([(r.label, toxicity.strings_of(r.text)) for r in rows.collect()])
+    assert positives == want[:toxicity.POSITIVES] and len(positives) > 0
+    assert negatives == others[:toxicity.NEGATIVES]
+    assert set(pool) == set(alike[:toxicity.POOL]) | set(others[:toxicity.POOL])
+
+
+def test_machine_equals_plain_descent():
+    """The squared-hinge objective over the same kernel features, minimised by plain gradient descent."""
+    insults = ["^idiot$", "^idiots$", "^moron$", "^stupid$", "^loser$", "^1d1ot$"]
+    clean = ["^window$", "^table$", "^river$", "^idiom$", "^study$", "^closer$", "^morning$", "^garden$", "^paper$", "^stone$", "^light$", "^rather$"]
+    strings, landmarks = insults + clean, insults[:4] + clean[:6]
+    y = np.array([1.0] * len(insults) + [-1.0] * len(clean))
+    machine = toxicity.support_vectors(strings, y, landmarks, ridge=1e-2)
+    among = np.array([[brute_kernel(a, b) for b in landmarks] for a in landmarks])
+    values, turned = np.linalg.eigh(among)
+    half = turned[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    z = np.concatenate([np.array([[brute_kernel(a, b) for b in landmarks] for a in strings]) @ half, np.ones((len(strings), 1))], axis=1)
+    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) / len(y)
+    penalty, w = np.array([1e-2] * (z.shape[1] - 1) + [1e-9]), np.zeros(z.shape[1])
+    step = 0.5 / (np.linalg.norm(z * np.sqrt(cost)[:, None], 2) ** 2 + 1e-2)
+    for _ in range(60_000):
+        short = np.maximum(0, 1 - y * (z @ w))
+        w -= step * 2 * (penalty * w - z.T @ (cost * y * short))
+    np.testing.assert_allclose(machine.decide(strings), np.maximum(toxicity.FLOOR, z @ w), atol=2e-3)
