@@ -45,7 +45,7 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE = 400_000
 LONGEST = 64
 #: Bytes of text that are encoded together.
-TOGETHER = 8_000_000
+TOGETHER = 3_000_000
 RUN = [("length", "i8"), ("lo", "i8"), ("n", "i8"), ("sequence", "i8"), ("offset", "i8"), ("each", "i8")]
 
 

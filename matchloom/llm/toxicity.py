@@ -312,9 +312,16 @@ def strings_of(text: str | None) -> set[str]:
     return {u for c in chunks(text or "") for u in units(c)}
 
 
+def sliced(batches, rows: int = 64):
+    """Batches of few whole texts, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def reading(batches):
     """Batches (doc_id, label, text) to every distinct string of a document."""
-    for batch in batches:
+    for batch in sliced(batches):
         found = [sorted(strings_of(t)) for t in batch.column(2).to_pylist()]
         at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([s for x in found for s in x], pa.string())],
@@ -323,7 +330,7 @@ def reading(batches):
 
 def run_reading(batches):
     """Batches (doc_id, label, text) to every distinct run of a document."""
-    for batch in batches:
+    for batch in sliced(batches):
         found = [sorted(set().union(*map(runs, strings_of(t)))) for t in batch.column(2).to_pylist()]
         at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(1).take(at), pa.array([r for x in found for r in x], pa.string())], names=["label", "run"])
