@@ -8,10 +8,12 @@ spreads a hot key over its cells, and never compares all pairs of a key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from matchloom.operators.scan import block_of, scan
+
 FAN = 32
 LEVELS = 4
 
@@ -82,6 +84,39 @@ def overlap_join(
     return inside.unionByName(covers.filter(F.col(first) < F.col(end)).select(*inside.columns))
 
 
+def overlap_counts(
+    items: DataFrame,
+    intervals: DataFrame,
+    on: Sequence[str],
+    first: str,
+    last: str,
+    start: str,
+    end: str,
+    width: float,
+    counts: Mapping[str, Column],
+) -> DataFrame:
+    """The columns of ``intervals`` and, per name, how many overlapping items meet the condition (of the items).
+
+    An open interval overlaps every item that begins with or after it, so these are
+    counted and not paired: all items of the key less those that began before, which a
+    running sum over blocks tells.
+    """
+    on, names = list(on), list(counts)
+    flagged = items.select(*on, first, last, *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in counts.items()])
+    closed, open_ = intervals.filter(F.col(end).isNotNull()), intervals.filter(F.col(end).isNull())
+    pairs = overlap_join(flagged, closed, on, first, last, start, end, width)
+    met = pairs.groupBy(*intervals.columns).agg(*[F.sum(n).alias(n) for n in names])
+    met = closed.join(met.drop(end), [c for c in intervals.columns if c != end], "left")
+    began = flagged.select(*on, F.col(first).alias("_at"), F.lit(1).alias("_item"), *names)
+    marks = open_.select("*", F.col(start).alias("_at"), F.lit(0).alias("_item"))
+    both = marks.unionByName(began, allowMissingColumns=True)
+    before = scan(both, on, ["_at", "_item"], block_of("_at", width), total={f"_{n}": F.coalesce(n, F.lit(0)) for n in names}).filter("_item = 0")
+    every = flagged.groupBy(*on).agg(*[F.sum(n).alias(f"_all_{n}") for n in names])
+    rest = before.drop(*names).join(every, on, "left").select(*intervals.columns, *[(F.col(f"_all_{n}") - F.col(f"_{n}")).alias(n) for n in names])
+    out = met.select(*intervals.columns, *names).unionByName(rest)
+    return out.select(*intervals.columns, *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
+
+
 def box_pairs(
     left: DataFrame,
     right: DataFrame,

@@ -65,7 +65,7 @@ def add_manual_events(events: DataFrame, rounds: DataFrame, labels: DataFrame) -
     valid = valid.join(rounds.select("video_id", "rid"), ["video_id", "rid"], "left_semi")
     valid = valid.join(events.select("event_id", "video_id", "rid"), ["event_id", "video_id", "rid"], "left_anti")
     added = valid.select("event_id", "video_id", "rid", "type", "t", F.lit(1.0).alias("confidence"),
-                         F.lit("UserCorrection.manual_label").alias("source"))
+                         F.lit("manual_label").alias("source"))
     return events.select(*added.columns).unionByName(added)
 
 
@@ -79,11 +79,11 @@ def diagnostic_rows(events: DataFrame, corrections: DataFrame) -> DataFrame:
 def fill_templates(df: DataFrame, templates: DataFrame, locale: str, key: str, args: dict[str, Column], out: str = "text") -> DataFrame:
     """Look the template up by (locale, key); fall back to the key; fill ``{name}`` placeholders.
 
-    The template table is a fixed list of message keys, so it is broadcast.
+    How the caller's templates are joined is left to their size.
     """
     t = templates.filter(F.col("locale") == locale).select(F.col("key").alias(key), F.col("template").alias("_tpl"))
     text = F.coalesce("_tpl", F.col(key))
-    joined = df.join(F.broadcast(t), key, "left")
+    joined = df.join(t, key, "left")
     for name, value in args.items():
         text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
     return joined.withColumn(out, text).drop("_tpl")

@@ -59,12 +59,17 @@ def windows(text: str, size: int, overlap: int):
     yield text[at:].strip()
 
 
+# The form of a numbered heading, its greatest length and number of full stops.
+NUMBERED = re.compile(r"(?:\d+[.)]|\d+(?:\.\d+)+)\s+\S")
+HEADING_LONGEST, HEADING_STOPS = 180, 4
+
+
 def heading_of(line: str) -> str | None:
     """Markdown or numbered heading text; None for prose."""
     if line.startswith("#"):
         return line.lstrip("#").strip()
-    numbered = re.match(r"(?:\d+[.)]|\d+(?:\.\d+)+)\s+\S", line)
-    return line if numbered and len(line) <= 180 and line.count("。") + line.count(".") <= 4 else None
+    short = len(line) <= HEADING_LONGEST and line.count("。") + line.count(".") <= HEADING_STOPS
+    return line if NUMBERED.match(line) and short else None
 
 
 def passages(text: str, sep: str, size: int, overlap: int, least: int):
@@ -130,13 +135,19 @@ def inline_metadata(docs: DataFrame, key: str, text: str, marks: str = ":") -> D
     return rows.groupBy(key, "key").agg(F.max_by("value", "pos").alias("value"))
 
 
+# Section numbers of the layers.
+RULE_SECTIONS = (1, 5)
+DYNAMIC_SECTIONS, DYNAMIC_SECTION = (36, 40), 48
+SITUATION_SECTIONS, SITUATION_SECTION = (49, 85), 96
+
+
 def infer_layer(heading: Column, text: Column) -> Column:
     """Section number range first, then keyword precedence."""
     section = F.regexp_extract(F.coalesce(heading, F.lit("")), r"^(\d+)(?:[.)]|\.\d+)", 1).try_cast("int")
     words = F.concat_ws("\n", heading, text)
-    return (F.when(section.between(1, 5), RULES)
-            .when(section.between(36, 40) | (section == 48), DYNAMIC)
-            .when(section.between(49, 85) | (section == 96), SITUATIONS)
+    return (F.when(section.between(*RULE_SECTIONS), RULES)
+            .when(section.between(*DYNAMIC_SECTIONS) | (section == DYNAMIC_SECTION), DYNAMIC)
+            .when(section.between(*SITUATION_SECTIONS) | (section == SITUATION_SECTION), SITUATIONS)
             .when(section.isNotNull(), TACTICS)
             .when(tx.has_any(words, DYNAMIC_TERMS), DYNAMIC)
             .when(tx.has_any(words, SITUATION_TERMS), SITUATIONS)

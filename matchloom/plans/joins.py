@@ -146,7 +146,7 @@ def corrections(v: View):
    AND EXISTS (SELECT 1 FROM r WHERE r.video_id = lab.video_id AND r.rid = lab.rid)
    AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.event_id = lab.event_id AND ev.video_id = lab.video_id AND ev.rid = lab.rid))
 SELECT event_id, video_id, rid, type, t, round(confidence, 4) AS confidence, source FROM ev
-UNION ALL SELECT event_id, video_id, rid, type, t, 1.0, 'UserCorrection.manual_label' FROM ok""".replace("\n, ok", ", ok", 1), EV))
+UNION ALL SELECT event_id, video_id, rid, type, t, 1.0, 'manual_label' FROM ok""".replace("\n, ok", ", ok", 1), EV))
 def manual_events(v: View):
     own = F.concat_ws("_", "type", F.col("seq").cast("string"))
     labels = v.m.filter("k % 7 = 1").select(

@@ -8,7 +8,7 @@ from matchloom.operators import coaching as co
 from matchloom.operators import reports as rp
 from matchloom.operators import sessions as ss
 from matchloom.operators.blocks import durable
-from matchloom.operators.intervals import overlap_join
+from matchloom.operators.intervals import overlap_counts
 from matchloom.plans.combat import DEATHS, DET, engagements, status_samples
 from matchloom.plans.joins import EP, EV, engine_events, episodes
 from matchloom.plans.registry import HOUR, KEY, S, View, on_rounds, query
@@ -45,10 +45,9 @@ FROM r LEFT JOIN p ON p.video_id = r.video_id AND p.rid = r.rid GROUP BY r.video
 def round_track_counts(v: View):
     label = F.when(F.col("episode") % 3 == 0, "enemy").when(F.col("episode") % 3 == 1, "teammate").otherwise("unknown")
     rounds = v.rounds().select("video_id", "rid", "s", "e")
-    pairs = overlap_join(episodes(v).withColumn("label", label), rounds, KEY, "first_t", "last_t", "s", "e", 12 * HOUR)
-    counts = pairs.groupBy("video_id", "rid").agg(
-        F.count_if(F.col("label") == "enemy").alias("enemy_tracks"), F.count_if(F.col("label") == "teammate").alias("teammate_tracks"))
-    return rounds.select("video_id", "rid").join(counts, ["video_id", "rid"], "left").fillna(0)
+    counts = {"enemy_tracks": F.col("label") == "enemy", "teammate_tracks": F.col("label") == "teammate"}
+    tracks = episodes(v).withColumn("label", label)
+    return overlap_counts(tracks, rounds, KEY, "first_t", "last_t", "s", "e", 12 * HOUR, counts).select("video_id", "rid", *counts)
 
 
 @query("match_overview", on_rounds("""

@@ -88,3 +88,22 @@ def test_rejected_events_leave_and_labels_join_once(spark):
                                    "event_id string, video_id int, rid int, type string, t int, seq int")
     got = jj.add_manual_events(ev, rounds, labels).orderBy("event_id").collect()
     assert [(r.event_id, r.t, r.confidence) for r in got] == [("k1", 5, .5), ("m1", 7, 1.0), ("s1", 0, .9)]
+
+
+def test_overlap_counts_pair_no_open_round(spark, monkeypatch):
+    """Open rounds count what begins after them; the join sees closed ones alone."""
+    import random
+
+    from matchloom.operators import intervals
+    rnd = random.Random(8)
+    items = [(v, i, t, t + rnd.randrange(1, 60), rnd.choice("ab")) for v in (1, 2) for i, t in enumerate(rnd.randrange(0, 2_000) for _ in range(150))]
+    rounds = [(v, r, 100 * r, 100 * r + 80 if r % 3 else None) for v in (1, 2, 3) for r in range(12)]
+    joined = []
+    monkeypatch.setattr(intervals, "overlap_join", lambda left, right, *x, real=intervals.overlap_join: joined.append(right) or real(left, right, *x))
+    a = spark.createDataFrame(items, "video_id int, no int, first_t long, last_t long, kind string")
+    b = spark.createDataFrame(rounds, "video_id int, rid long, s long, e long").repartition(3)
+    got = intervals.overlap_counts(a, b, ["video_id"], "first_t", "last_t", "s", "e", 50, {"a": F.col("kind") == "a", "every": F.lit(True)})
+    meets = lambda x, r: x[0] == r[0] and ((x[2] < r[3] and x[3] >= r[2]) if r[3] is not None else x[2] >= r[2])
+    want = {(*r, sum(meets(x, r) and x[4] == "a" for x in items), sum(meets(x, r) for x in items)) for r in rounds}
+    assert {tuple(r) for r in got.collect()} == want
+    assert joined[0].filter("e IS NULL").isEmpty()
