@@ -8,8 +8,7 @@ from matchloom.operators import combat as cc
 from matchloom.operators import reports as rp
 from matchloom.operators import sessions as ss
 from matchloom.operators.blocks import durable, run_blocks
-from matchloom.operators.kernels import HysteresisRounds
-from matchloom.plans.combat import DEATHS, HYST, smoothed_ratio, status_samples
+from matchloom.plans.combat import DEATHS, HYST, TIMER, smoothed_ratio, status_samples
 from matchloom.plans.registry import HOUR, KEY, View, on_events, query
 from matchloom.plans.reports import ST, UNIT
 
@@ -18,7 +17,7 @@ TIMELINE = ["t", "ord", "seq"]
 
 
 def boundaries(v: View):
-    found = run_blocks(smoothed_ratio(v, 2), KEY, ["t", "seq"], v.block, HysteresisRounds(unit=2.0 * HOUR))
+    found = run_blocks(smoothed_ratio(v, 2), KEY, ["t", "seq"], v.block, TIMER)
     return durable(found.select("video_id", "seq", "t", F.col("kind").alias("type"), F.when(F.col("kind") == "round_end", 0).otherwise(1).alias("ord")))
 
 

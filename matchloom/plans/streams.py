@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchloom.operators.kernels import BoxTracker, CadenceGate, DebouncedEdge, DebouncedLow, HysteresisRounds
-
+from matchloom.operators.kernels import BoxTracker, CadenceGate, DebouncedEdge, DebouncedLow
 from matchloom.operators.tracking import name_tracks
-from matchloom.plans.combat import number_rounds
+from matchloom.plans.combat import TIMER, number_rounds
 from matchloom.plans.registry import HOUR, KEY, ORACLE, S, View, on_events, on_rounds, query
 from matchloom.sources import tables
 from matchloom.streaming import live
@@ -49,7 +48,7 @@ def stream_cadence(v: View):
 
 @query("stream_hysteresis", ORACLE["hysteresis_rounds"])
 def stream_hysteresis(v: View):
-    found = kernel(v, live.Smoothed(HysteresisRounds(unit=2.0 * HOUR), "ratio", 2), 
+    found = kernel(v, live.Smoothed(TIMER, "ratio", 2),
                    (F.col("k") / 10000).alias("ratio"), (F.col("k") * 3 + 1).alias("ct_px"), (F.col("k") + 5).alias("t_px"))
     return number_rounds(found, v)
 
