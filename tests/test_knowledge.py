@@ -151,6 +151,14 @@ def test_embedder_port_normalises(spark):
     assert got == [[.8944, .4472], [0.0, 0.0]]
 
 
+def test_fuzzy_labels_once_per_text(spark):
+    """No condition on the ratios is evaluated below the DISTINCT, for every row."""
+    df = spark.range(1000).selectExpr("if(id % 2 = 0, 'catwlk', 'shop') AS raw", "1.0D AS conf")
+    out = cx.canonical_positions(df, "raw", "conf")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {(r.label, r.n) for r in out.groupBy("label").agg(F.count("*").alias("n")).collect()} == {("catwalk", 500), ("shop", 500)}
+
+
 def test_fuzzy_labels_reject_ties(spark):
     df = spark.createDataFrame([("Palace Interor", .9), ("Bombsite", .9), ("xy", .9), ("Bombsite A", .2)], "raw string, conf double")
     got = {r.raw: r.label for r in cx.canonical_positions(df, "raw", "conf").collect()}
