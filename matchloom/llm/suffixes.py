@@ -14,7 +14,7 @@ A text that shares less may stand between two occurrences in the sorted order. S
 the windows of PASSAGE words around a suffix are hashed too. All occurrences of a
 window lie at suffixes of one key, that of its smallest GRAM words: a key that ends
 within a batch is settled there, the windows of a key that a batch or a partition
-may cut are counted in Spark. Hence every passage of PASSAGE words is found.
+may cut are counted in Spark, once per piece of a batch, and go back to it. Hence every passage of PASSAGE words is found.
 
 Equal texts are one text, compared once; copies of a text repeat all of it.
 """
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -40,6 +41,8 @@ LONGEST = 64
 SAMPLES = 10
 #: Suffixes of a text handled at a time.
 SLICE = 1 << 14
+#: Suffixes of a cut key whose windows are compared together; small, so that the pieces spread evenly over tasks.
+PIECE = 128
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -187,34 +190,46 @@ def window_hashes(t: pa.Table, passage: int, gram: int) -> tuple[np.ndarray, np.
 
 def repeated_windows(passage: int, gram: int):
     """Rows of a sorted batch to spans (tid, start, end, other) of windows that occur at two places, other the smallest doc_id of
-    all places, for the keys that lie within the batch; and (tid, start, other, key, hashes) for the keys that may go on outside."""
-    def run(t: pa.Table) -> tuple[list, list]:
+    all places, for the keys that lie within the batch; for the keys that may go on outside, in pieces of PIECE suffixes,
+    (tid, start, key, hashes) per suffix and (other, key, hash, low, high) per window: its smallest doc_id, the least and the largest of its places."""
+    def run(t: pa.Table) -> tuple[list, list, list]:
         key, least, tid = t.column("key").to_numpy(), t.column("least"), t.column("tid").combine_chunks()
         hashes, has, first = window_hashes(t, passage, gram)
         n, width = hashes.shape
         outside = (key == key[0]) | (key == key[-1])
-        spans, cut = [], []
-        at = np.flatnonzero(outside & has.any(axis=1))
-        if len(at):
-            ends = np.concatenate([[0], np.cumsum(has[at].sum(axis=1))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[at][has[at]].view(np.int64)))
-            begin = (first[at] + has[at].argmax(axis=1)).astype(np.int32)
-            cut.append((tid.take(pa.array(at)), pa.array(begin), least.take(pa.array(at)).combine_chunks(), pa.array(key[at]), lists))
+        spans, cut, windows = [], [], []
+        texts = np.frombuffer(b"".join(x[:8] for x in tid.to_pylist()), np.uint64)
+        by_id = pc.sort_indices(least).to_numpy()  # nulls last
+        rank = np.empty(n, np.int64)
+        rank[by_id] = np.arange(n)
+        every = np.flatnonzero(outside & has.any(axis=1))
+        for at in (every[i:i + PIECE] for i in range(0, len(every), PIECE)):
+            inside, values = has[at], hashes[at].view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[inside]))
+            begin = (first[at] + inside.argmax(axis=1)).astype(np.int32)
+            cut.append((tid.take(pa.array(at)), pa.array(begin), pa.array(key[at]), lists))
+            # each window of the piece once, with the least and the largest of its places
+            row, column = np.nonzero(inside)
+            value, row = values[inside], at[row]
+            place = (texts[row] * BASE + (first[row] + column).astype(np.uint64)).view(np.int64)
+            group = np.lexsort([value, key[row]])
+            value, place, row = value[group], place[group], row[group]
+            head = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (key[row[1:]] != key[row[:-1]])]))
+            lowest = by_id[np.minimum.reduceat(rank[row], head)]
+            windows.append((least.take(pa.array(lowest)).combine_chunks(), pa.array(key[row[head]]), pa.array(value[head]),
+                            pa.array(np.minimum.reduceat(place, head)), pa.array(np.maximum.reduceat(place, head))))
         has &= ~outside[:, None]
         flat = np.flatnonzero(has)
         if not len(flat):
-            return spans, cut
+            return spans, cut, windows
         row = flat // width
         group = np.lexsort([hashes.ravel()[flat], key[row]])
         flat, row = flat[group], row[group]
         value, owner = hashes.ravel()[flat], key[row]
         head = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]))
-        texts = np.frombuffer(b"".join(x[:8] for x in tid.to_pylist()), np.uint64)
         place = texts[row] * BASE + (first[row] + flat % width).astype(np.uint64)
         twice = np.minimum.reduceat(place, head) != np.maximum.reduceat(place, head)
-        by_id = pc.sort_indices(least).to_numpy()  # nulls last
-        rank = np.empty(n, np.int64)
-        rank[by_id] = np.arange(n)
         smallest = np.minimum.reduceat(rank[row], head)
         member = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(flat))))
         best = np.full(n * width, n, np.int64)
@@ -228,7 +243,40 @@ def repeated_windows(passage: int, gram: int):
             lowest, row = by_id[np.minimum.reduceat(best, start)], start // width
             spans.append((tid.take(pa.array(row)), pa.array((first[row] + start % width).astype(np.int32)),
                           pa.array((first[row] + end % width + passage).astype(np.int32)), least.take(pa.array(lowest)).combine_chunks()))
-        return spans, cut
+        return spans, cut, windows
+    return run
+
+
+def settled_windows(passage: int):
+    """Windows of a piece that occur at two places anywhere (key, hash, first) and the piece's suffixes (tid, start, key,
+    hashes) to spans (tid, start, end, other); neighbouring windows of a suffix are one span."""
+    def run(again: pa.Table, cut: pa.Table) -> pa.Table:
+        kind = again.schema.field("first").type
+        lists = cut.column("hashes").combine_chunks() if len(cut) and len(again) else pa.array([], pa.list_(pa.int64()))
+        value, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        row, m = np.repeat(np.arange(len(size)), size), len(again)
+        if not len(value):
+            return pa.table({"tid": pa.array([], pa.binary()), "start": pa.array([], pa.int32()), "end": pa.array([], pa.int32()), "other": pa.array([], kind)})
+        known, hashes = again.column("key").to_numpy(), again.column("hash").to_numpy()
+        owner = cut.column("key").to_numpy()[row]
+        by_id = pc.sort_indices(again.column("first")).to_numpy()  # nulls last
+        rank = np.empty(m, np.int64)
+        rank[by_id] = np.arange(m)
+        best = np.full(len(value), m, np.int64)
+        for k in np.unique(known):  # two at most: the first and the last key of a batch
+            of, own = np.flatnonzero(known == k), np.flatnonzero(owner == k)
+            of = of[np.argsort(hashes[of])]
+            at = np.minimum(np.searchsorted(hashes[of], value[own]), len(of) - 1)
+            best[own] = np.where(hashes[of[at]] == value[own], rank[of[at]], m)
+        good, edge = best < m, row[1:] != row[:-1]
+        start = np.flatnonzero(good & np.concatenate([[True], ~good[:-1] | edge]))
+        end = np.flatnonzero(good & np.concatenate([~good[1:] | edge, [True]]))
+        row, offset = row[start], np.cumsum(size) - size
+        begin = cut.column("start").to_numpy()[row] - offset[row]
+        lowest = by_id[np.minimum.reduceat(best, start)] if len(start) else start
+        return pa.table({
+            "tid": cut.column("tid").take(pa.array(row)), "start": pa.array((begin + start).astype(np.int32)),
+            "end": pa.array((begin + end + passage).astype(np.int32)), "other": again.column("first").take(pa.array(lowest))})
     return run
 
 
@@ -237,28 +285,37 @@ def sorted_spans(passage: int, gram: int, whole: bool = True):
     and, where ``whole``, the windows of keys that it or a batch may cut."""
     found, met = neighbours(passage, gram), repeated_windows(passage, gram)
     columns = ["key", "after", "before", "right", "left", "at", "least"]
+    more = {"hashes": pa.list_(pa.int64()), "piece": pa.int64(), "hash": pa.int64(), "low": pa.int64(), "high": pa.int64()}
 
     def run(batches):
         last = first = None
+        number = TaskContext.get().partitionId() << 32
 
         def edge(t: pa.Table, place: str) -> pa.RecordBatch:
             row = {c: t.column(c).combine_chunks() for c in ("tid", *columns)}
             null = pa.nulls(1, pa.int32())
             return pa.RecordBatch.from_arrays(
-                [row["tid"], null, null, pa.nulls(1, row["least"].type), pa.array([place]), *(row[c] for c in columns), pa.nulls(1, pa.list_(pa.int64()))],
-                names=["tid", "start", "end", "other", "edge", *columns, "hashes"])
+                [row["tid"], null, null, pa.nulls(1, row["least"].type), pa.array([place]), *(row[c] for c in columns), *(pa.nulls(1, k) for k in more.values())],
+                names=["tid", "start", "end", "other", "edge", *columns, *more])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             if not len(t):
                 continue
             first = first if first is not None else t.slice(0, 1)
-            kinds = {"key": pa.int64(), "after": pa.binary(), "before": pa.binary(), "right": pa.int32(), "left": pa.int32(), "at": pa.int32(), "least": t.schema.field("least").type, "hashes": pa.list_(pa.int64())}
-            spans, cut = met(t) if whole else ([], [])
-            for tid, start, other, key, hashes in cut:
-                n, own = len(tid), {"key": key, "hashes": hashes}
-                yield pa.RecordBatch.from_arrays([tid, start, pa.nulls(n, pa.int32()), other, pa.array(["cut"] * n), *(own.get(c, pa.nulls(n, k)) for c, k in kinds.items())],
-                                                 names=["tid", "start", "end", "other", "edge", *kinds])
+            kinds = {"key": pa.int64(), "after": pa.binary(), "before": pa.binary(), "right": pa.int32(), "left": pa.int32(), "at": pa.int32(), "least": t.schema.field("least").type, **more}
+            spans, cut, windows = met(t) if whole else ([], [], [])
+            pieces = [(number + i, "cut", tid, start, None, {"key": key, "hashes": hashes}) for i, (tid, start, key, hashes) in enumerate(cut)]
+            pieces += [(number + i, "window", None, None, other, {"key": key, "hash": value, "low": low, "high": high})
+                       for i, (other, key, value, low, high) in enumerate(windows)]
+            number += len(cut)
+            for piece, edge_of, tid, start, other, own in pieces:
+                n = len(own["key"])
+                own["piece"] = pa.array(np.full(n, piece))
+                yield pa.RecordBatch.from_arrays(
+                    [tid if tid is not None else pa.nulls(n, pa.binary()), start if start is not None else pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
+                     other if other is not None else pa.nulls(n, kinds["least"]), pa.array([edge_of] * n), *(own.get(c, pa.nulls(n, k)) for c, k in kinds.items())],
+                    names=["tid", "start", "end", "other", "edge", *kinds])
             # the last suffix of the batch before stands ahead of this one
             t = pa.concat_tables([last, t]) if last is not None else t
             for b in [*spans, *(b.columns for b in found(t))]:
@@ -304,7 +361,7 @@ def repeated(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "after", "before", "tid", "at"]
     array = sparse.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    out = array.mapInArrow(sorted_spans(passage, gram), f"tid binary, start int, end int, other {kind}, edge string, key long, after binary, before binary, right int, left int, at int, least {kind}, hashes array<long>")
+    out = array.mapInArrow(sorted_spans(passage, gram), f"tid binary, start int, end int, other {kind}, edge string, key long, after binary, before binary, right int, left int, at int, least {kind}, hashes array<long>, piece long, hash long, low long, high long")
     with few_samples(spark):
         out = saved(out, "spans")
     # two rows per partition: the last suffix of each and the first of the next, sorted once more
@@ -312,11 +369,13 @@ def repeated(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
     across = edges.mapInArrow(sorted_spans(passage, gram, False), out.schema).filter("edge IS NULL")
     spans = out.filter("edge IS NULL").unionByName(across).select("tid", "start", "end", "other")
     # the windows of keys that a batch or a partition may have cut
-    cut = out.filter("edge = 'cut'").select("tid", "start", "other", "key", F.posexplode("hashes").alias("k", "hash"))
-    cut = cut.select("tid", "key", "hash", "other", (F.col("start") + F.col("k")).alias("start"))
-    place = F.xxhash64("tid", "start")
-    again = durable(cut.groupBy("key", "hash").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("other").alias("first")).filter("a <> b").select("key", "hash", "first"))
-    spans = spans.unionByName(cut.join(again, ["key", "hash"]).select("tid", "start", (F.col("start") + passage).alias("end"), F.col("first").alias("other")))
+    windows = out.filter("edge = 'window'").select("piece", "key", "hash", "low", "high", "other")
+    again = windows.groupBy("key", "hash").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.min("other").alias("first"))
+    again = durable(again.filter("a <> b").select("key", "hash", "first"))
+    again = windows.select("piece", "key", "hash").join(again, ["key", "hash"])
+    cut = out.filter("edge = 'cut'").select(*[F.col(c).alias(c) for c in ("piece", "tid", "start", "key", "hashes")])
+    settled = again.groupBy("piece").cogroup(cut.groupBy("piece")).applyInArrow(settled_windows(passage), f"tid binary, start int, end int, other {kind}")
+    spans = spans.unionByName(settled)
     whole = texts.filter((F.col("copies") > 1) & (F.col("words") >= passage)).select("tid", F.lit(0).alias("start"), F.col("words").alias("end"), F.col("least").alias("other"))
     spans = united(spans.unionByName(whole).groupBy("tid", "start", "end").agg(F.min("other").alias("other")))
     spans = durable(spans.join(texts.select("tid", "least"), "tid").select("tid", "start", "end", F.least("other", "least").alias("first_doc_id")))

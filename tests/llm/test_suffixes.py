@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from matchloom.llm import suffixes
 
@@ -81,6 +82,27 @@ def test_first_doc_id_is_the_smallest_of_all_holders(spark):
     assert sorted((r.n_words, r.first_doc_id) for r in got) == [(50, 9001)] * 4 + [(60, 7)] * 3000
 
 
+def test_windows_of_a_cut_key_are_compared_once_per_piece():
+    """100 suffixes of one key with the same words around them: 31 windows, and one span each."""
+    rng, n = np.random.default_rng(13), 100
+    words = rng.integers(0, 2 ** 32, 80, dtype=np.uint32)
+    t = pa.table({"key": pa.array(np.full(n, 5)), "after": [words[30:].tobytes()] * n, "before": [words[29::-1].tobytes()] * n,
+                  "tid": [k.to_bytes(16, "little") for k in range(1, n + 1)], "at": pa.array(np.full(n, 30, np.int32)),
+                  "right": pa.array(np.full(n, 50, np.int32)), "left": pa.array(np.full(n, 30, np.int32)), "least": pa.array([None, *range(n - 1, 0, -1)])})
+    spans, [(tid, start, key, hashes)], [(other, keys, values, low, high)] = suffixes.repeated_windows(50, 20)(t)
+    assert not spans and len(tid) == n and len(values) == 31 and (low.to_numpy() < high.to_numpy()).all() and set(other.to_pylist()) == {1}
+    again = pa.table({"key": keys, "hash": values, "first": other})
+    cut = pa.table({"tid": tid, "start": start, "key": key, "hashes": hashes})
+    got = suffixes.settled_windows(50)(again, cut).to_pylist()
+    assert [(r["start"], r["end"], r["other"]) for r in got] == [(0, 80, 1)] * n and [r["tid"] for r in got] == t.column("tid").to_pylist()
+    some = again.filter(pa.array([k not in (3, 4) for k in np.argsort(np.argsort(values.to_numpy()))]))
+    holes = [h not in set(some.column("hash").to_pylist()) for h in hashes[0].as_py()]
+    want = {k for k in range(31) if not holes[k]}
+    got = suffixes.settled_windows(50)(some, cut.slice(0, 1)).to_pylist()
+    assert {k for r in got for k in range(r["start"], r["end"] - 49)} == want and len(some) == 29
+    assert suffixes.settled_windows(50)(again.slice(0, 0), cut).num_rows == 0
+
+
 def test_minimisers_are_shared():
     rng = np.random.default_rng(1)
     passage = rng.integers(0, 2 ** 63, 50, dtype=np.uint64)
