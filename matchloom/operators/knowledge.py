@@ -6,6 +6,8 @@ import bisect
 import math
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -141,17 +143,21 @@ DYNAMIC_SECTIONS, DYNAMIC_SECTION = (36, 40), 48
 SITUATION_SECTIONS, SITUATION_SECTION = (49, 85), 96
 
 
-def infer_layer(heading: Column, text: Column) -> Column:
-    """Section number range first, then keyword precedence."""
+def infer_layer(heading: Column, text: Column, lowered: Column | None = None) -> Column:
+    """Section number range first, then keyword precedence.
+
+    ``lowered`` may name a column that holds heading and text, joined by a line break and lower-cased.
+    """
     section = F.regexp_extract(F.coalesce(heading, F.lit("")), r"^(\d+)(?:[.)]|\.\d+)", 1).try_cast("int")
     words = F.concat_ws("\n", heading, text)
+    has_any = lambda terms: tx.has_any(words, terms) if lowered is None else reduce(or_, map(lowered.contains, terms))
     return (F.when(section.between(*RULE_SECTIONS), RULES)
             .when(section.between(*DYNAMIC_SECTIONS) | (section == DYNAMIC_SECTION), DYNAMIC)
             .when(section.between(*SITUATION_SECTIONS) | (section == SITUATION_SECTION), SITUATIONS)
             .when(section.isNotNull(), TACTICS)
-            .when(tx.has_any(words, DYNAMIC_TERMS), DYNAMIC)
-            .when(tx.has_any(words, SITUATION_TERMS), SITUATIONS)
-            .when(tx.has_any(words, RULE_TERMS), RULES)
+            .when(has_any(DYNAMIC_TERMS), DYNAMIC)
+            .when(has_any(SITUATION_TERMS), SITUATIONS)
+            .when(has_any(RULE_TERMS), RULES)
             .otherwise(TACTICS))
 
 
@@ -167,10 +173,14 @@ def annotate(df: DataFrame, inferred: Column, explicit: Column, sensitive: Colum
 
 
 def inline_value(content: Column, name: str, marks: str = ":：") -> Column:
-    """The value of the last ``name: value`` line, or null."""
+    """The value of the last ``name: value`` line, or null.
+
+    Few texts hold the name at all; only those are split into lines.
+    """
     pattern = rf"^\s*([A-Za-z_]+)\s*[{marks}]\s*(\S.*)$"
     found = F.filter(tx.lines(content), lambda x: F.lower(F.regexp_extract(x, pattern, 1)) == name)
-    return F.regexp_replace(F.regexp_extract(F.try_element_at(found, F.lit(-1)), pattern, 2), r"\s+$", "")
+    value = F.regexp_replace(F.regexp_extract(F.try_element_at(found, F.lit(-1)), pattern, 2), r"\s+$", "")
+    return F.when(F.lower(content).contains(name), value)
 
 
 def fan_out(df: DataFrame, metadata: Column, content: Column) -> DataFrame:
@@ -181,7 +191,8 @@ def fan_out(df: DataFrame, metadata: Column, content: Column) -> DataFrame:
     split at semicolons.
     """
     given = lambda name: F.when(metadata[name] != "", metadata[name])
-    inline = lambda name: F.when(inline_value(content, name) != "", inline_value(content, name))
+    # the one-element array binds the value, so the lines are read once
+    inline = lambda name: F.try_element_at(F.filter(F.array(inline_value(content, name)), lambda x: x != ""), F.lit(1))
     dates = [F.coalesce(given(n), inline(n)).alias(n) for n in ("last_verified", "effective_from", "expires_at")]
     urls = F.filter(F.array(given("source_urls")), lambda x: x.isNotNull())
     exceptions = F.coalesce(tx.split_exceptions(F.coalesce(given("exceptions"), inline("exceptions"))), F.array().cast("array<string>"))
@@ -194,7 +205,9 @@ def index_rows(docs: DataFrame, vocabulary: Sequence[str], chunker: Callable[[Da
     heading = F.col("heading") if "heading" in chunks.columns else F.lit(None).cast("string")
     chunks = chunks.withColumn("heading", heading).join(docs.select("document_id", "metadata"), "document_id")
     meta = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
-    rows = chunks.withColumn("metadata", meta).withColumn("inferred", infer_layer(F.lower("heading"), F.lower("content")))
+    # lower-cased in a step of its own, so once for all terms
+    rows = chunks.withColumn("metadata", meta).withColumn("_words", F.lower(F.concat_ws("\n", "heading", "content")))
+    rows = rows.withColumn("inferred", infer_layer(F.lower("heading"), F.lower("content"), F.col("_words"))).drop("_words")
     given, inline = F.col("metadata")["version_sensitive"], inline_value(F.col("content"), "version_sensitive")
     rows = annotate(rows, F.col("inferred"), F.col("metadata")["knowledge_layer"], F.coalesce(given, inline), F.col("metadata")["rule_strength"])
     rows = fan_out(rows, F.col("metadata"), F.col("content"))

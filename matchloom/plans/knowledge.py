@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import scoring, text as tx
 from matchloom.operators import knowledge as kn
-from matchloom.operators.blocks import durable, durable_folder
+from matchloom.operators.blocks import durable, durable_folder, written
 from matchloom.plans.context import on_context, round_context_of
 from matchloom.plans.registry import View, on_rounds, query
 
@@ -148,7 +148,8 @@ SELECT layer, count(*) AS n, count(DISTINCT doc_id) AS documents FROM l GROUP BY
 def index_build(v: View):
     """Documents to chunks to annotated, embedded rows, written to an index in two batches and read back."""
     from matchloom.sources import sinks
-    rows = durable(kn.index_rows(facts(v).select("document_id", "content", "metadata"), VOCABULARY, kn.fixed_chunks))
+    docs = written(facts(v).select("document_id", "content", "metadata"))  # chunks and metadata both read it
+    rows = durable(kn.index_rows(docs, VOCABULARY, kn.fixed_chunks))
     path = f"{durable_folder(v.spark)}/index-{uuid.uuid4().hex}"
     sinks.write_index(rows, path, writer="build", batch=0)
     sinks.write_index(rows.filter("chunk_index = 0"), path, writer="build", batch=1)

@@ -184,3 +184,18 @@ def test_gates(spark):
     assert spark.range(1).select(fresh.alias("b")).first().b is False
     parsed = spark.range(1).select(F.try_variant_get(tx.fenced_json(F.lit("```json\n{\"a\": 3}\n```")), "$.a", "int").alias("v"))
     assert parsed.first().v == 3
+
+
+def test_lines_are_read_only_where_their_name_occurs(spark):
+    """The lower-cased words are one step, and a text without the name is not split into lines."""
+    texts = ["a\n LAST_Verified ： 2024-01-02 \nlast_verified: 2024-03-04", "last_verified\nx", "plain", None, "Loss Bonus", "İ expires_at: x"]
+    df = spark.createDataFrame([(str(i), t, {}) for i, t in enumerate(texts)], "document_id string, content string, metadata map<string,string>")
+    got = {r.document_id: (r.last_verified, r.expires_at, r.layer) for r in kn.index_rows(df, ("a",), kn.fixed_chunks).collect()}
+    tactics = kn.TACTICS
+    assert got == {"0": ("2024-03-04", None, tactics), "1": (None, None, tactics), "2": (None, None, tactics), "3": (None, None, tactics), "4": (None, None, kn.DYNAMIC),
+                   "5": (None, None, tactics)}
+    value = kn.inline_value(F.col("content"), "last_verified")
+    seen = df.select(value.alias("v"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "case when contains(lower(content" in seen
+    plan = kn.index_rows(df, ("a",), kn.fixed_chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(array(" not in plan
