@@ -88,6 +88,15 @@ def test_selected_card_recovers_a_death(spark):
     assert [(r.t, r.method) for r in got] == [(us(5), "card")]
 
 
+def test_feed_samples_are_derived_once(spark):
+    """What follows the written episodes takes the scores from there."""
+    rows = [(1, i, us(20 + 4 * i), .8 + i / 100, ["a"], [.3]) for i in range(3)]
+    samples = spark.createDataFrame(rows, SAMPLES.replace("highlight_score", "raw_score")).withColumnRenamed("raw_score", "highlight_score")
+    got = cc.feed_row_tracks(samples, us(5), us(2.1), us(5.5))
+    assert "raw_score" not in got._jdf.queryExecution().analyzed().toString()
+    assert sorted((r.seq, r.track_seq, r.highlight_score) for r in got.collect()) == [(i, 0, .8 + i / 100) for i in range(3)]
+
+
 # Regression: one recording of 18 rounds with 20 kills, 10 deaths and 6 artefacts,
 # expanded at two sampling steps.
 KILLS = [1, 0, 2, 1, 1, 0, 3, 1, 0, 2, 1, 1, 0, 2, 1, 1, 2, 1]
