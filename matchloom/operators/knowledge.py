@@ -119,13 +119,13 @@ def chunk_documents(docs: DataFrame, sep: str = "\n\n", size: int = 900, overlap
     return docs.select("document_id", "content").mapInPandas(run, CHUNKS)
 
 
-def fixed_chunks(docs: DataFrame, size: int = 900, overlap: int = 120) -> DataFrame:
-    """Fixed-stride chunks as plain expressions."""
+def fixed_chunks(docs: DataFrame, size: int = 900, overlap: int = 120, keep: Sequence[str] = ()) -> DataFrame:
+    """Fixed-stride chunks as plain expressions; ``keep`` names columns of a document that its chunks have too."""
     n = F.length("content")
     last = F.ceil(F.greatest(F.lit(0), n - size) / (size - overlap)).cast("int")
-    rows = docs.select("document_id", "content", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
+    rows = docs.select("document_id", "content", *keep, F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
     return rows.select("document_id", "chunk_index",
-                       F.substring("content", F.col("chunk_index") * (size - overlap) + 1, F.lit(size)).alias("content"))
+                       F.substring("content", F.col("chunk_index") * (size - overlap) + 1, F.lit(size)).alias("content"), *keep)
 
 
 def inline_metadata(docs: DataFrame, key: str, text: str, marks: str = ":") -> DataFrame:
@@ -200,10 +200,15 @@ def fan_out(df: DataFrame, metadata: Column, content: Column) -> DataFrame:
 
 
 def index_rows(docs: DataFrame, vocabulary: Sequence[str], chunker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Documents (document_id, content, metadata) to the rows of a chunk index: annotated, dated, named and embedded."""
+    """Documents (document_id, content, metadata) to the rows of a chunk index: annotated, dated, named and embedded.
+
+    Where the chunker does not hand on ``metadata``, it is joined to the chunks.
+    """
     chunks = (chunker or chunk_documents)(docs)
     heading = F.col("heading") if "heading" in chunks.columns else F.lit(None).cast("string")
-    chunks = chunks.withColumn("heading", heading).join(docs.select("document_id", "metadata"), "document_id")
+    chunks = chunks.withColumn("heading", heading)
+    if "metadata" not in chunks.columns:
+        chunks = chunks.join(docs.select("document_id", "metadata"), "document_id")
     meta = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
     # lower-cased in a step of its own, so once for all terms
     rows = chunks.withColumn("metadata", meta).withColumn("_words", F.lower(F.concat_ws("\n", "heading", "content")))
@@ -256,14 +261,19 @@ def embedder(encode, dimensions: int):
     return embed
 
 
-def upsert(existing: DataFrame | None, incoming: DataFrame, key: str, order: Column) -> DataFrame:
-    """Latest row per key, incoming over existing; ``existing`` None is a reset."""
+def upsert(existing: DataFrame | None, incoming: DataFrame, key: str, order: Column, within: str | None = None) -> DataFrame:
+    """Latest row per key, incoming over existing; ``existing`` None is a reset.
+
+    ``within`` names a column that follows from the key: rows are dealt by it, and the result still is.
+    """
     rows = incoming.withColumn("_new", F.lit(1)).withColumn("_o", order)
     if existing is not None:
         rows = existing.withColumn("_new", F.lit(0)).withColumn("_o", order).unionByName(rows, allowMissingColumns=True)
-    rest = [c for c in rows.columns if c not in (key, "_new", "_o")]
+    keys = [key] if within is None else [within, key]
+    rest = [c for c in rows.columns if c not in (*keys, "_new", "_o")]
     best = F.max_by(F.struct(*rest), F.struct("_new", "_o"))
-    return rows.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+    rows = rows if within is None else rows.repartition(within)
+    return rows.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
 def counts_by_layer(chunks: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
 from matchloom.functions import scoring, text as tx
 from matchloom.operators import knowledge as kn
-from matchloom.operators.blocks import durable, durable_folder, written
+from matchloom.operators.blocks import durable, durable_folder
 from matchloom.plans.context import on_context, round_context_of
 from matchloom.plans.registry import View, on_rounds, query
 
@@ -93,7 +94,7 @@ FACTS = """fd AS (SELECT doc_id, lang, source, o_orderstatus AS st, o_orderprior
 
 def facts(v: View):
     """Documents with a metadata map and ``name: value`` lines, both from the order and the page of the same number."""
-    d = v.table("documents").join(v.table("orders"), F.col("doc_id") == F.col("o_orderkey"), "left")
+    d = v.spread("documents").join(v.table("orders"), F.col("doc_id") == F.col("o_orderkey"), "left")
     d = d.join(v.table("pages").select("page_id", "url"), F.col("doc_id") == F.col("page_id"), "left")
     day, status, rank, cust = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1), F.col("o_custkey")
     line = lambda when, *parts: F.coalesce(F.when(when, F.concat(F.lit("\n"), *parts)), F.lit(""))
@@ -148,8 +149,8 @@ SELECT layer, count(*) AS n, count(DISTINCT doc_id) AS documents FROM l GROUP BY
 def index_build(v: View):
     """Documents to chunks to annotated, embedded rows, written to an index in two batches and read back."""
     from matchloom.sources import sinks
-    docs = written(facts(v).select("document_id", "content", "metadata"))  # chunks and metadata both read it
-    rows = durable(kn.index_rows(docs, VOCABULARY, kn.fixed_chunks))
+    # not written on the way: the second batch makes its chunks again, which is less than a copy of all chunks
+    rows = kn.index_rows(facts(v).select("document_id", "content", "metadata"), VOCABULARY, partial(kn.fixed_chunks, keep=["metadata"]))
     path = f"{durable_folder(v.spark)}/index-{uuid.uuid4().hex}"
     sinks.write_index(rows, path, writer="build", batch=0)
     sinks.write_index(rows.filter("chunk_index = 0"), path, writer="build", batch=1)

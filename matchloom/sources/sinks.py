@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from matchloom.operators.blocks import durable
+from matchloom.operators.blocks import passing_shuffles, written
 from matchloom.operators.knowledge import upsert
 
 
@@ -42,6 +42,8 @@ def write_corrections(rows: DataFrame, path: str) -> None:
 
 #: Buckets of the chunk index; an upsert rewrites those that it touches.
 BUCKETS = 64
+#: Buckets that are merged at once, so that the shuffle and the new files beside the old ones are of a part of the index.
+AT_ONCE = 16
 
 
 def write_index(chunks: DataFrame, path: str, reset: bool = False, writer: str | None = None, batch: int | None = None) -> None:
@@ -51,26 +53,35 @@ def write_index(chunks: DataFrame, path: str, reset: bool = False, writer: str |
     chunks fall into are read and replaced, each by dynamic partition overwrite, so the
     files of all others stay. A ``writer`` numbers its batches: a row that it has
     already written in this or a later batch is left alone, so a repeated batch
-    changes nothing. ``reset`` replaces the whole index.
+    changes nothing, and one that was broken off is completed. ``reset`` replaces the whole index.
     """
     bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int")
     rows = chunks.withColumn("bucket", bucket).withColumn("writer", F.lit(writer).cast("string")).withColumn("batch", F.lit(batch).cast("long"))
     old = None if reset else _index(chunks.sparkSession, path)
-    if old is not None:
-        rows = durable(rows)
-        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        old = old.filter(F.col("bucket").isin(touched))
-        if writer is not None:
-            done = old.filter((F.col("writer") == writer) & (F.col("batch") >= batch)).select("bucket", "chunk_id")
-            rows = rows.join(done, ["bucket", "chunk_id"], "left_anti")
-            touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
-            old = old.filter(F.col("bucket").isin(touched))
-        if not touched:
-            return
-    merged = upsert(old, rows, "chunk_id", F.col("chunk_index"))
-    merged = durable(merged) if old is not None else merged
-    mode = "static" if reset or old is None else "dynamic"
-    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(path)
+    if old is None:
+        _put(upsert(None, rows, "chunk_id", F.col("chunk_index"), within="bucket"), path, "static")
+        return
+    rows = written(rows)
+
+    def fresh(here: Column) -> DataFrame:
+        if writer is None:
+            return rows.filter(here)
+        done = old.filter(here).filter((F.col("writer") == writer) & (F.col("batch") >= batch)).select("bucket", "chunk_id")
+        return rows.filter(here).join(done, ["bucket", "chunk_id"], "left_anti")
+
+    buckets = lambda df: sorted(r.bucket for r in df.select("bucket").distinct().collect())  # noqa: E731  # at most BUCKETS numbers
+    touched = buckets(rows)
+    if writer is not None:
+        touched = buckets(fresh(F.col("bucket").isin(touched)))
+    for k in range(0, len(touched), AT_ONCE):
+        here = F.col("bucket").isin(touched[k:k + AT_ONCE])
+        _put(upsert(old.filter(here), fresh(here), "chunk_id", F.col("chunk_index"), within="bucket"), path, "dynamic")
+
+
+def _put(merged: DataFrame, path: str, mode: str) -> None:
+    """Replace buckets; a dynamic overwrite has read the old files of one before it replaces them."""
+    with passing_shuffles(merged.sparkSession):
+        merged.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def _index(spark, path: str) -> DataFrame | None:

@@ -1,4 +1,5 @@
 import random
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -199,3 +200,29 @@ def test_lines_are_read_only_where_their_name_occurs(spark):
     assert "case when contains(lower(content" in seen
     plan = kn.index_rows(df, ("a",), kn.fixed_chunks)._jdf.queryExecution().optimizedPlan().toString()
     assert "exists(array(" not in plan
+
+
+def test_an_index_is_built_without_copies_of_its_chunks(spark):
+    """Documents and all chunks, as they came and merged, were written beside the index; shuffles of each step stayed."""
+    from matchloom import plans
+    from matchloom.operators.blocks import durable_folder
+    files = lambda folder: {p: p.stat().st_size for p in Path(folder.removeprefix("file:")).rglob("*") if p.is_file()}
+    folder = durable_folder(spark)
+    before = files(folder)
+    done = plans.load().QUERIES["index_build"](spark, "/root/testdata/sf0.01")
+    new = {p: n for p, n in files(folder).items() if p not in before}
+    index = sum(n for p, n in new.items() if "/index-" in str(p))
+    assert index and sum(new.values()) - index < index * 2 / 3
+    assert {r.layer for r in done.collect()} <= {kn.RULES, kn.TACTICS, kn.SITUATIONS, kn.DYNAMIC}
+    rows = spark.range(100).selectExpr("concat('c', id) AS chunk_id", "cast(id % 4 AS int) AS bucket", "id AS chunk_index", "'x' AS content")
+    merged = kn.upsert(rows, rows, "chunk_id", F.col("chunk_index"), within="bucket")
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, merged.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_chunks_keep_the_metadata_of_their_own_document(spark):
+    """Joined by id, a document without one lost its chunks and two of one id had each other's metadata."""
+    docs = [(None, "nameless", {"expires_at": "2030-01-01"}), ("1", "first", {"expires_at": "2031-01-01"}), ("1", "second", None)]
+    df = spark.createDataFrame(docs, "document_id string, content string, metadata map<string,string>")
+    rows = kn.index_rows(df, ("a",), partial(kn.fixed_chunks, keep=["metadata"])).collect()
+    assert sorted((r.content, r.expires_at) for r in rows) == [("first", "2031-01-01"), ("nameless", "2030-01-01"), ("second", None)]
